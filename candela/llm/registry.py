@@ -1,7 +1,7 @@
 """The registered queries of this subpackage."""
 
-from candela.llm import sharding, url_filter, warc
+from candela.llm import decontaminate, sharding, topk, url_filter, warc
 
-MODULES = [warc, url_filter, sharding]
+MODULES = [topk, warc, url_filter, decontaminate, sharding]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
