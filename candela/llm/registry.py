@@ -1,7 +1,7 @@
 """The registered queries of this subpackage."""
 
-from candela.llm import decontaminate, quality, sharding, topk, url_filter, warc
+from candela.llm import decontaminate, quality, sharding, simhash, topk, url_filter, warc
 
-MODULES = [topk, warc, url_filter, decontaminate, sharding, quality]
+MODULES = [topk, warc, url_filter, decontaminate, sharding, quality, simhash]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
