@@ -120,6 +120,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def powers_down(n: int) -> np.ndarray:
+    """Inverse powers of the polynomial hash's base: they move a prefix sum's range to place 0."""
+    return _powers(n)[1]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over the 64 output bits."""
     h = h ^ (h >> np.uint64(31))
