@@ -1,7 +1,7 @@
 """The registered queries of this subpackage."""
 
-from candela.llm import decontaminate, lm, quality, segment, sharding, simhash, topk, url_filter, warc
+from candela.llm import decontaminate, lm, quality, segment, sharding, simhash, suffix, topk, url_filter, warc
 
-MODULES = [topk, lm, warc, url_filter, decontaminate, sharding, quality, simhash, segment]
+MODULES = [topk, suffix, lm, warc, url_filter, decontaminate, sharding, quality, simhash, segment]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
