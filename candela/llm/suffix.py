@@ -46,7 +46,7 @@ GRAM = 24
 CHUNK = 8_000_000
 BUCKET = 8_000_000
 #: Symbols that a round holds of each file at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LAST = np.int64((1 << 63) - 1)
 
 
