@@ -146,7 +146,7 @@ def select_group(df: DataFrame, group: str, order: str, raw: str, final: str, n:
     new answers, any, and from the start again.  The pool of one group fits a task; the choice depends on what was taken before, so it is a loop."""
     schema = f"{group} {df.schema[group].dataType.simpleString()}, slot int, source long"
 
-    def choose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pool = pdf.sort_values(order, kind="stable")
         names = list(zip(pool[order], pool[raw].fillna(""), pool[final].fillna("")))
         taken: list[int] = []

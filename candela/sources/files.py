@@ -25,8 +25,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
 
 def read_jsonl_audited(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines)."""
-    both = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return both.where("_corrupt_record is null").drop("_corrupt_record"), both.where("_corrupt_record is not null").select("_corrupt_record")
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    both = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r"), "value")
+    return both.where("r._corrupt_record is null").select("r.*").drop("_corrupt_record"), both.where("r._corrupt_record is not null").select("value")
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> dict | None:
