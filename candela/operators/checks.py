@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candela.functions import geometry
 from candela.functions.stats import pearson, rate
 
 
@@ -62,3 +63,26 @@ def preflight(df: DataFrame, group: str, reward: str, answer: str) -> DataFrame:
     out = per.agg(F.count("*").alias("groups"), rate(F.col("varies")).alias("nonconstant_rate"), rate(F.col("alike")).alias("identical_answer_rate"), F.avg("std").alias("mean_std"))
     reasons = F.array_compact(F.array(F.when(F.col("nonconstant_rate") < 0.2, "reward_constant"), F.when(F.col("identical_answer_rate") > 0.8, "answers_collapsed"), F.when(F.col("mean_std") < 1e-6, "no_spread")))
     return out.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
+
+
+def other_in_group(df: DataFrame, group: str, category: str, key: str, usable: Column) -> DataFrame:
+    """(key, other): for each row the first usable row (by hash of its key) of the same group and another category.
+
+    The first of each category, and of these the first two of a group, are all that is needed: no pairs are made.
+    """
+    rank = F.struct(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("k"))
+    firsts = df.where(F.coalesce(usable, F.lit(False))).groupBy(group, category).agg(F.min(rank).alias("r"))
+    two = firsts.groupBy(group).agg(F.min(F.struct("r", category)).alias("a"))
+    second = firsts.join(two.select(F.col(group).alias("_g"), F.col("a")), F.col(group) == F.col("_g")).where(F.col(category) != F.col(f"a.{category}")).groupBy(group).agg(F.min(F.struct("r", category)).alias("b"))
+    both = two.select(group, "a").join(second, group, "left")
+    return df.join(both, group).select(key, F.when(F.col(category) != F.col(f"a.{category}"), F.col("a.r.k")).otherwise(F.col("b.r.k")).alias("other")).where("other is not null")
+
+
+def proposals(samples: DataFrame, key: str, bbox: str, width: str, height: str, k: int) -> DataFrame:
+    """One row per region of a sample: kind pos with its box (or the centre), and up to k of kind neg, drawn by the key; with area shares."""
+    w, h = F.col(width).cast("double"), F.col(height).cast("double")
+    first = samples.withColumn("_p", geometry.primary_box(w, h, ("target_bbox", F.col(bbox))))
+    boxes = [F.struct(F.lit("pos").alias("kind"), F.lit(0).alias("idx"), F.col("_p.bbox").alias("box"))]
+    boxes += [F.struct(F.lit("neg").alias("kind"), F.lit(i).alias("idx"), geometry.negative_box(F.col("_p.bbox"), w, h, F.concat_ws("#", F.col(key).cast("string"), F.lit(i))).alias("box")) for i in range(k)]
+    out = first.withColumn("_r", F.explode(F.array(*boxes))).where("_r.box is not null")
+    return out.select(key, "_r.kind", "_r.idx", F.col("_r.box").alias("box"), F.col("_p.source").alias("source"), F.col("_p.fallback").alias("fallback"), (F.col("_r.box")[2] * F.col("_r.box")[3] / F.greatest(F.lit(1.0), w * h)).alias("area_fraction"))

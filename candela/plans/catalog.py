@@ -467,6 +467,29 @@ def wording_check(spark, sf_dir):
     return rounded(checks.wording_check(c.where("candidate_id = 0"), c.where("candidate_id > 0"), "sample_id", "score_unique"))
 
 
+@query("SELECT o_orderkey, o_orderstatus, EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus <> a.o_orderstatus) AS found FROM orders a")
+def other_in_group(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    other = checks.other_in_group(o, "o_custkey", "o_orderstatus", "o_orderkey", F.lit(True))
+    # the row that is found is of the same customer and another status
+    there = o.select(F.col("o_orderkey").alias("other"), F.col("o_custkey").alias("c2"), F.col("o_orderstatus").alias("s2"))
+    return (o.join(other, "o_orderkey", "left").join(there, "other", "left")
+            .select("o_orderkey", "o_orderstatus", F.coalesce((F.col("c2") == F.col("o_custkey")) & (F.col("s2") != F.col("o_orderstatus")), F.lit(False)).alias("found")))
+
+
+@query("SELECT p_partkey, 1 + 2 AS regions, round(0.2 * 0.2, 6) AS area_fraction FROM part")
+def intervention_proposals(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit(0.0), F.lit(0.0), F.lit(20.0), F.lit(20.0)).alias("bbox"), F.lit(100).alias("w"), F.lit(100).alias("h"))
+    r = checks.proposals(p, "p_partkey", "bbox", "w", "h", 2)
+    return rounded(r.groupBy("p_partkey").agg(F.count("*").cast("int").alias("regions"), F.max("area_fraction").alias("area_fraction")))
+
+
+@query("SELECT conv_id, turn, length(regexp_replace(trim(text), '[ ]+', ' ', 'g')) AS n FROM conversations WHERE text = replace(replace(text, chr(10), ' '), chr(9), ' ')")
+def normal_text(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[\n\t]"))
+    return c.select("conv_id", "turn", F.length(text.norm(F.col("text"))).cast("bigint").alias("n"))
+
+
 # -- text functions over literal rows -----------------------------------------------------------------------------------
 
 _YN = [("Yes.",), ("no, it is not",), ("Not sure, yes",), ("I think yes",), ("yes and no",), ("",), ("maybe",), ("the the the",), ("I cannot determine.",), ("well, no",)]
