@@ -12,8 +12,9 @@ Rounds are as many as the longest string is long, so documents are not inserted
   equal windows have the same smallest hash, wherever they stand;
 * only pieces whose hash occurs in two documents at least go on; equal pieces count once per
   chunk of documents, with the smallest id;
-* a bucket of hashes is one collection, so its strings are short and its size is set by the
-  number of buckets; windows are equal where neighbours have ``length`` bytes in common;
+* a bucket of hashes is one collection of the pieces that share their hash with another, so its strings
+  are short and its size is set by the number of buckets; windows are equal where neighbours have
+  ``length`` bytes in common;
 * the chunk gets the smallest id of every window back and marks the bytes.
 
 Chunks travel once, into a bucketed table; later passes join what is small to them.
@@ -446,7 +447,18 @@ def _send(buckets: int, length: int, gram: int):
     return run
 
 
-def _sort(length: int):
+def _hashes(body: np.ndarray, begin: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The hash that each piece belongs to: that of its first window."""
+    prefix = prefix_hash(body)
+    down = powers_down(len(prefix))
+    out = np.full(len(begin), np.uint64((1 << 64) - 1))
+    for i in range(length - gram + 1):
+        at = begin + i
+        np.minimum(out, mix((prefix[at + gram] - prefix[at]) * down[at]), out=out)
+    return out
+
+
+def _sort(length: int, gram: int):
     """A bucket's pieces as one collection; each chunk gets the smallest id of each window of its pieces."""
     def solve(told: list[dict]):
         size = [np.frombuffer(r["size"], np.uint8).astype(np.int64) for r in told]
@@ -458,10 +470,18 @@ def _sort(length: int):
         _, one, of = np.unique(content, return_index=True, return_inverse=True)
         value = np.full(len(one), LAST)
         np.minimum.at(value, of, least)
-        with tempfile.TemporaryDirectory() as folder:
-            found = Collection(body, begin[one], begin[one] + sizes[one], folder).window_minima(length, value)
         windows = sizes[one] - length + 1
         where = np.cumsum(windows) - windows
+        # a piece whose hash no other piece has can share no window with one: its own id is the smallest
+        among = _hashes(body, begin[one], length, gram)
+        _, name, count = np.unique(among, return_inverse=True, return_counts=True)
+        met = np.flatnonzero(count[name] > 1)
+        found = np.repeat(value, windows)
+        if len(met):
+            with tempfile.TemporaryDirectory() as folder:
+                least = Collection(body, begin[one][met], (begin + sizes)[one][met], folder).window_minima(length, value[met])
+            n = windows[met]
+            found[np.repeat(where[met] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = least
         at = 0
         for r, s in zip(told, size):
             own = of[at: at + len(s)]
@@ -546,7 +566,7 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     met = told.repartition(spread, "bucket").mapInArrow(_meet, "chunk long, bucket int, keys binary")
     keys = stored(met.groupBy("chunk").agg(F.collect_list("keys").alias("keys")), "keys")  # a chunk's own keys, at most
     sent = chunks.join(keys.hint("shuffle_hash"), "chunk").select("chunk", "texts", "offsets", "doc_ids", "keys").mapInArrow(_send(buckets, length, gram), "bucket int, chunk long, size binary, body binary, least binary")
-    back = sent.repartition(spread, "bucket").mapInArrow(_sort(length), "chunk long, bucket int, runs binary, ids binary")
+    back = sent.repartition(spread, "bucket").mapInArrow(_sort(length, gram), "chunk long, bucket int, runs binary, ids binary")
     back = stored(back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "runs", "ids")).alias("told")), "told")
     kinds = [f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))]
     tail = "kept string" if texts else "kept_sha256 string"
