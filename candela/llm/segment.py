@@ -47,7 +47,7 @@ MODEL = os.environ.get("CANDELA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SAMPLES = 3
 ALPHA = 1.0
 SEED = 17
-SLICE = 4_000_000
+SLICE = 2_500_000
 TABLE_BITS = 18
 #: Negated log of a share of all paths that double precision does not see beside the rest.
 NEGLIGIBLE = 45.0
@@ -175,15 +175,15 @@ class Lattice:
         self.lp = np.minimum(np.where(np.isnan(share), -np.inf, share), 0.0)
         p = np.exp(self.lp)
         heads = np.flatnonzero(np.diff(self.at, prepend=-1))
-        self.rank = np.zeros(len(data) + 1, dtype=np.int64)
+        self.rank = np.zeros(len(data) + 1, dtype=np.int32)
         self.rank[self.at[heads]] = np.arange(len(heads))
-        self.lo = heads
+        self.lo = heads.astype(np.int32)
         self.hi = np.append(heads[1:], len(self.at))
         # the likeliest edge of a node is tried first; the others follow in a table of running sums
         owner = np.repeat(np.arange(len(heads)), self.hi - self.lo)
         most = np.maximum.reduceat(p, heads) if len(heads) else p
         best = np.flatnonzero(p == most[owner])
-        self.top = best[np.flatnonzero(np.diff(owner[best], prepend=-1))]
+        self.top = best[np.flatnonzero(np.diff(owner[best], prepend=-1))].astype(np.int32)
         self.p_top = p[self.top]
         p[self.top] = 0.0
         run = np.cumsum(p)
@@ -191,9 +191,41 @@ class Lattice:
         self.key = owner + np.minimum(run - base, 1.0 - 1e-12)
 
 
-def _uniform(seed: np.ndarray, at: np.ndarray, stream: int) -> np.ndarray:
-    """Draws in (0, 1) from (row seed, position, stream)."""
-    h = mix(mix(seed + np.uint64((int(_GOLD) * (stream + 1)) & ((1 << 64) - 1))) + at.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    @classmethod
+    def joined(cls, a: "Lattice", b: "Lattice") -> "Lattice":
+        """Both lattices side by side: nodes, edges and node ranks of ``b`` follow those of ``a``."""
+        out = cls.__new__(cls)
+        nodes, edges, ranks = len(a.beta) - 1, len(a.at), len(a.lo)
+        for name, shift in (("at", nodes), ("next", nodes), ("piece", 0), ("last", 0), ("lp", 0), ("lo", edges), ("hi", edges), ("top", edges), ("p_top", 0), ("key", ranks)):
+            x, y = getattr(a, name), getattr(b, name)
+            setattr(out, name, np.concatenate([x, y + x.dtype.type(shift) if shift else y]))
+        out.rank = np.concatenate([a.rank[:-1], b.rank + np.int32(ranks)])
+        out.beta = np.concatenate([a.beta[:-1], b.beta])
+        return out
+
+
+class Known:
+    """Lattice of the words that came twice or more in the first slice of a partition; later slices only add what is new."""
+
+    def __init__(self, lattice: Lattice, hashes: np.ndarray, begin: np.ndarray):
+        self.lattice, self.hashes, self.begin = lattice, hashes, begin
+
+
+def _words_lattice(pieces: "Pieces", text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[Lattice, np.ndarray]:
+    """Lattice of the words at ``start`` of ``text``, and the first node of each."""
+    begin = np.cumsum(length) - length
+    data = text[np.repeat(start - begin, length) + np.arange(int(length.sum()))]
+    return Lattice(pieces, data, begin, begin + length), begin
+
+
+def _streamed(seed: np.ndarray, stream: int) -> np.ndarray:
+    return mix(seed + np.uint64((int(_GOLD) * (stream + 1)) & ((1 << 64) - 1)))
+
+
+def _uniform(seed: np.ndarray, at: np.ndarray, stream: int | None) -> np.ndarray:
+    """Draws in (0, 1) from (row seed, position, stream); ``seed`` is streamed already where that is None."""
+    base = seed if stream is None else _streamed(seed, stream)
+    h = mix(base + at.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -204,9 +236,9 @@ def _draw(lat: Lattice, node: np.ndarray, token: np.ndarray, shift: np.ndarray,
     """
     n = len(node)
     count = np.zeros(n, dtype=np.int64)
-    steps, live, cur = [], np.arange(n), node
+    steps, live, cur, seed = [], np.arange(n), node, _streamed(seed, stream)
     while len(live):
-        u = _uniform(seed[live], cur + shift[live], stream)
+        u = _uniform(seed[live], cur + shift[live], None)
         r = lat.rank[cur]
         e = lat.top[r]
         u -= lat.p_top[r]
@@ -221,13 +253,19 @@ def _draw(lat: Lattice, node: np.ndarray, token: np.ndarray, shift: np.ndarray,
         more = ~lat.last[e]
         live, cur = live[more], lat.next[e][more]
     begin = np.cumsum(count) - count
-    out = np.zeros(int(count.sum()), dtype=np.int64)
+    out = np.zeros(int(count.sum()), dtype=np.int32)
     for s, (who, e) in enumerate(steps):
         out[begin[who] + s] = e
     return out, count
 
 
-def sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int):
+def sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int, cache: list | None = None):
+    """``_sample_slice`` with infinite logs and times as plain values."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _sample_slice(pieces, data, offsets, seeds, k, cache)
+
+
+def _sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int, cache: list | None):
     """For each text a list of up to k (ids, log_prob, log_inclusion), in the order of the search."""
     n = len(offsets) - 1
     size = np.diff(offsets)
@@ -253,11 +291,24 @@ def sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: n
     if not len(start):
         return results
     h = range_hash(prefix_hash(grown), start, end)
-    _, which, word = np.unique(h, return_index=True, return_inverse=True)
+    names, which, word, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     length = (end - start)[which]
-    wbegin = np.cumsum(length) - length
-    wdata = grown[np.repeat(start[which] - wbegin, length) + np.arange(int(length.sum()))]
-    lat = Lattice(pieces, wdata, wbegin, wbegin + length)
+    if cache is not None and not cache and (times > 1).any():
+        often = np.flatnonzero(times > 1)
+        lattice, first_node = _words_lattice(pieces, grown, start[which[often]], length[often])
+        cache.append(Known(lattice, names[often], first_node))
+    wbegin = np.zeros(len(names), dtype=np.int64)
+    fresh = np.ones(len(names), dtype=bool)
+    if cache:
+        at = np.minimum(np.searchsorted(cache[0].hashes, names), len(cache[0].hashes) - 1)
+        fresh = cache[0].hashes[at] != names
+        wbegin[~fresh] = cache[0].begin[at[~fresh]]
+    fresh = np.flatnonzero(fresh)
+    lat = cache[0].lattice if cache else None
+    if len(fresh):
+        more, first_node = _words_lattice(pieces, grown, start[which[fresh]], length[fresh])
+        wbegin[fresh] = first_node + (len(lat.beta) - 1 if lat else 0)
+        lat = Lattice.joined(lat, more) if lat else more
     root = wbegin[word]
     shift = start - doc_at[doc_of] - root
     seed = seeds[doc_of]
@@ -273,19 +324,18 @@ def sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: n
     def arrivals(d: int, path: np.ndarray, tok: np.ndarray, since: int, logt: float, stream: int) -> None:
         """Add the path of text d; its sets from edge ``since`` on go to the frontier."""
         lp = lat.lp[path]
-        before = np.cumsum(lp) - lp
+        total_lp = np.cumsum(lp)
+        before = total_lp - lp
         # sets of shares below e^-NEGLIGIBLE in all arrive among the first with a chance below double precision
-        until = max(since + 8 * k, int(np.searchsorted(-before, NEGLIGIBLE)))
-        with np.errstate(divide="ignore"):
-            left = np.log(-np.expm1(lp[since:until]))
-        rate = before[since:until] + left
-        e = np.log(-np.log(_uniform(np.full(len(rate), seeds[d]), np.arange(since, since + len(rate)), stream)))
-        with np.errstate(invalid="ignore"):
-            times = np.where(np.isfinite(rate), np.logaddexp(logt, e - rate), np.inf)
-        paths[d].append((path, tok, float(lp.sum()), logt))
-        if len(times) and np.isfinite(times.min()):
+        until = max(since + 8 * k, int(np.count_nonzero(before > -NEGLIGIBLE)))
+        rate = before[since:until] + np.log(-np.expm1(lp[since:until]))
+        e = np.log(-np.log(_uniform(seeds[d: d + 1], np.arange(since, since + len(rate)), stream)))
+        times = np.logaddexp(logt, e - rate)  # infinite where nothing leaves the path
+        paths[d].append((path, tok, float(total_lp[-1]), logt))
+        if len(times):
             at = int(np.argmin(times))
-            heapq.heappush(front[d], (float(times[at]), len(paths[d]) - 1, at + since, (), times, since))
+            if times[at] < np.inf:
+                heapq.heappush(front[d], (float(times[at]), len(paths[d]) - 1, at + since, (), times, since))
 
     for d in docs.tolist():
         a, b = cut[token_cut[d]], cut[token_cut[d + 1]]
@@ -351,13 +401,13 @@ def _seeds(keys, seed: int) -> np.ndarray:
 
 def _segmenter(shared, k: int, seed: int, digests: bool):
     def run(batches):
-        pieces = shared.value
+        pieces, cache = shared.value, []
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
             seeds = _seeds(b.column("_seed").to_numpy(), seed)
             for lo, hi in slices(offsets, SLICE):
                 part, offs = data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
-                found = sample_slice(pieces, part, offs, seeds[lo:hi], k)
+                found = sample_slice(pieces, part, offs, seeds[lo:hi], k, cache)
                 row = np.repeat(np.arange(lo, hi), [len(f) for f in found])
                 flat = [x for f in found for x in f]
                 cols = [b.column(0).take(pa.array(row)), pa.array(np.concatenate([np.arange(1, len(f) + 1) for f in found]).astype(np.int32)) if found else pa.array([], pa.int32()),
