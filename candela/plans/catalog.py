@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.functions import arrays, geometry, stats, style, text
+from candela.functions import arrays, geometry, style, text
 from candela.operators import audit, checks, dataset, evaluate, groups, rewards, telemetry
 from candela.plans.tables import AUDIT, CAND, STEPS, audit as audit_table, candidates, steps as step_table, table
 
