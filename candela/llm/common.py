@@ -8,7 +8,6 @@ time; a single text longer than the bound is handled whole.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
