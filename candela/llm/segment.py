@@ -47,7 +47,7 @@ MODEL = os.environ.get("CANDELA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SAMPLES = 3
 ALPHA = 1.0
 SEED = 17
-SLICE = 2_500_000
+SLICE = 1_000_000
 TABLE_BITS = 18
 #: Negated log of a share of all paths that double precision does not see beside the rest.
 NEGLIGIBLE = 45.0
