@@ -37,8 +37,10 @@ RADIUS = 2
 K = 5
 SIMILARITY = 0.8
 CANDIDATE_RADIUS = 8
-#: Members of a candidate component that one task verifies among themselves; larger ones go through rounds first.
-GROUP = 256
+#: Members, and bytes of text, of a candidate component that one task verifies among themselves; larger ones go
+#: through rounds first. The result is the same either way.
+GROUP = 4096
+GROUP_BYTES = 32_000_000
 #: Rows of (long, long) up to which a table is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 _EVEN = np.uint64(0x5555555555555555)
@@ -283,7 +285,7 @@ def near_duplicates(documents: DataFrame, k: int = K, threshold: float = SIMILAR
     active = stored(texts.select(F.col("_node").alias("node"), "root", "first", "text"), "texts")
     covered = None
     while True:
-        large = active.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("first", "node")).alias("lead")).where(F.col("n") > GROUP)
+        large = active.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.struct("first", "node")).alias("lead")).where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES))
         large = stored(large.select("root", F.col("lead.node").alias("leader")), "large")
         if large.isEmpty():
             break
