@@ -20,6 +20,9 @@ their row; an empty table gives an empty table; other columns are not read, what
 ``near_duplicates`` decides by similarity: candidates are linked by fingerprints of their
 distinct words at CANDIDATE_RADIUS or less (and, as similar sets have similar sizes, sizes within
 the threshold), then verified by the exact Jaccard similarity of their k-word shingles.
+Pairs that the radius misses come from an exact prefix filter: with all shingles in one order,
+rare ones first, two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each,
+and the places of the first one they share bound what they can have in common.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import components, local_roots, lowered, shingle_hashes, slices, stored, text_buffers, text_or_empty, word_hashes, words
+from candela.llm.common import components, local_roots, lowered, mix, shingle_hashes, slices, stored, text_buffers, text_or_empty, word_hashes, words
 
 SEED = 42
 RADIUS = 2
@@ -43,6 +46,16 @@ GROUP = 4096
 GROUP_BYTES = 32_000_000
 #: Rows of (long, long) up to which a table is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Shingles at least, and one text in how many at most, in the sample that tells frequent ones; the least count there, and
+#: how many are kept. They only order the shingles, and any order gives the same result.
+SAMPLE = 1_000_000
+SAMPLE_ONE_IN = 16
+FREQUENT = 4
+FREQUENT_ROWS = 1 << 20
+#: Neighbours in a cell that are compared before what is still apart there.
+NEIGHBOURS = 2
+#: Prefix shingles that one task meets, about.
+CELL_ROWS = 1_000_000
 _EVEN = np.uint64(0x5555555555555555)
 
 
@@ -216,6 +229,143 @@ def linked_fingerprints(documents: DataFrame, k: int = 3, radius: int = RADIUS,
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# -- prefix filter -----------------------------------------------------------------
+
+def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct k-word shingles, ascending in each row, and the number of them."""
+    data = lowered(data)
+    starts, ends, counts = words(data, offsets)
+    s, per = shingle_hashes(word_hashes(data, starts, ends), counts, k)
+    row = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((s, row))
+    r, x = row[order], s[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
+    return x[new], np.bincount(r[new], minlength=len(per))
+
+
+def _sampled(k: int, one_in: int):
+    """Counts of the shingles of the texts whose node is in the sample."""
+    def run(batches):
+        for b in batches:
+            node = b.column("node").to_numpy().view(np.uint64)
+            b = b.filter(pa.array(mix(node) % np.uint64(one_in) == 0))
+            data, offsets = text_buffers(b.column("text"))
+            for lo, hi in slices(offsets):
+                s, _ = distinct_shingles(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], k)
+                names, n = np.unique(s, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+    return run
+
+
+def prefixes(data: np.ndarray, offsets: np.ndarray, k: int, threshold: float, frequent: np.ndarray, times: np.ndarray):
+    """Prefix of each row's shingles, rare ones first: shingle, row, place in the row, and the size of each row.
+
+    ``frequent``: ascending hashes of frequent shingles, ``times``: their counts.  A row without
+    shingles has the one entry 0.
+    """
+    s, size = distinct_shingles(data, offsets, k)
+    row = np.repeat(np.arange(len(size)), size)
+    often = np.zeros(len(s), dtype=np.int64)
+    if len(frequent) and len(s):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        often = np.where(frequent[at] == s, times[at], 0)
+    order = np.lexsort((s, often, row))
+    place = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
+    long = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    keep = place < long[row]
+    none = np.flatnonzero(size == 0)
+    return np.concatenate([s[order][keep], np.zeros(len(none), np.uint64)]), np.concatenate([row[keep], none]), np.concatenate([place[keep], np.zeros(len(none), np.int64)]), size
+
+
+def _prefix_rows(k: int, threshold: float, shared):
+    """(node, text) to (cell, node, size, place), each node once in a task."""
+    def run(batches):
+        frequent, times = shared.value
+        seen: set[int] = set()
+        for b in batches:
+            fresh = []
+            for x in b.column("node").to_pylist():
+                fresh.append(x not in seen)
+                seen.add(x)
+            b = b.filter(pa.array(fresh, pa.bool_()))
+            node = b.column("node").to_numpy()
+            data, offsets = text_buffers(b.column("text"))
+            for lo, hi in slices(offsets):
+                cell, row, place, size = prefixes(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], k, threshold, frequent, times)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(node[lo:hi][row]), pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32))],
+                                                 names=["cell", "node", "size", "place"])
+    return run
+
+
+def near_in_cells(cell: np.ndarray, size: np.ndarray, place: np.ndarray, threshold: float, first: int = 1, last: int | None = None):
+    """Positions (a, b) of pairs in the cells that may be similar, in portions; sorted by cell and size."""
+    at, step = np.arange(len(cell)), first
+    while last is None or step <= last:
+        at = at[at + step < len(cell)]
+        to = at + step
+        at = at[(cell[at] == cell[to]) & (size[at] >= threshold * size[to] - 1e-9)]  # rows past the window stay past it at greater steps
+        if not len(at):
+            return
+        to = at + step
+        # of the first shingle they share, all before it in either set is apart
+        most = np.minimum(size[at] - place[at], size[to] - place[to])
+        hit = most >= threshold / (1 + threshold) * (size[at] + size[to]) - 1e-9
+        hit |= size[at] + size[to] == 0
+        if hit.any():
+            yield at[hit], to[hit]
+        step += 1
+
+
+def _in_cells(batches):
+    t = pa.Table.from_batches(batches)
+    cell, node, size, place = (t.column(n).to_numpy() for n in ("cell", "node", "size", "place"))
+    order = np.lexsort((node, size, cell))
+    order = order[np.concatenate([[True], (cell[order][1:] != cell[order][:-1]) | (node[order][1:] != node[order][:-1])])]
+    return t, order, cell[order], node[order], size[order].astype(np.int64), place[order].astype(np.int64)
+
+
+def _met(threshold: float):
+    """The rows that may be similar to another of their cell, each node once."""
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t, order, cell, _, size, place = _in_cells(got)
+        some = np.zeros(len(order), dtype=bool)
+        for a, b in near_in_cells(cell, size, place, threshold):
+            some[a] = some[b] = True
+        yield from t.take(pa.array(order[some])).combine_chunks().to_batches()
+    return run
+
+
+def _cell_pairs(threshold: float, first: int, last: int | None):
+    """Pairs (a, b) of nodes at ``first`` to ``last`` steps in a cell; with a column root, of those with different ones."""
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t, order, cell, node, size, place = _in_cells(got)
+        root = t.column("root").to_numpy()[order] if "root" in t.column_names else node
+        names, which = np.unique(node, return_inverse=True)
+        held, n = [], 0
+
+        def pairs():
+            ab = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(names[ab // len(names)]), pa.array(names[ab % len(names)])], names=["a", "b"])
+        for a, b in near_in_cells(cell, size, place, threshold, first, last):
+            apart = root[a] != root[b]
+            a, b = which[a[apart]], which[b[apart]]
+            held.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+            n += len(a)
+            if n > 2_000_000:
+                yield pairs()
+                held, n = [], 0
+        if n:
+            yield pairs()
+    return run
+
+
 # -- near-duplicates by similarity -------------------------------------------------
 
 def _shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -260,6 +410,50 @@ def _against_leader(k: int, threshold: float):
     return run
 
 
+def _similar_pairs(k: int, threshold: float):
+    def run(batches):
+        for b in batches:
+            one, two = _shingle_sets(b.column("text_a"), k), _shingle_sets(b.column("text_b"), k)
+            yield b.select(["a", "b"]).filter(pa.array([similar(x, y, threshold) for x, y in zip(one, two)], pa.bool_()))
+    return run
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are similar; ``rows``: (rid, text), ``classes``: (node, rid)."""
+    pairs = stored(pairs.distinct(), "pairs")
+    wanted = stored(pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
+                    .join(classes.select("node", F.col("rid").alias("_rid")), F.col("_node") == F.col("node")).select("_node", "_rid"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = stored(rows.join(F.broadcast(wanted) if few else wanted, F.col("rid") == F.col("_rid")).select("_node", "text"), "pair_texts")
+    one, two = texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b"))
+    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar_pairs(k, threshold), "a long, b long"), "similar")
+
+
+def similar_links(keyed: DataFrame, classes: DataFrame, known: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Edges (a, b) that with ``known`` ones connect all pairs of similar texts; ``keyed``: (rid, node, text).
+
+    Neighbours in each cell are verified first, then all pairs that are still in different
+    components, so that a large group of copies is not compared pair by pair.
+    """
+    spark = keyed.sparkSession
+    shingles = int(classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    texts = keyed.select("node", "text")
+    often = (texts.mapInArrow(_sampled(k, min(SAMPLE_ONE_IN, max(1, shingles // SAMPLE))), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+             .where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "cell").limit(FREQUENT_ROWS).toArrow())  # at most FREQUENT_ROWS rows
+    cell, n = often.column("cell").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(cell)
+    shared = spark.sparkContext.broadcast((cell[order], n[order]))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // 4 // CELL_ROWS)
+    schema = "cell long, node long, size int, place int"
+    met = stored(texts.mapInArrow(_prefix_rows(k, threshold, shared), schema).repartition(parts, "cell").mapInArrow(_met(threshold), schema), "met")
+    near = _verified(met.repartition("cell").mapInArrow(_cell_pairs(threshold, 1, NEIGHBOURS), "a long, b long"), keyed, classes, k, threshold)
+    roots = stored(components(known.unionByName(near)), "roots").withColumnRenamed("node", "_node")
+    few = roots.count() <= BROADCAST_ROWS
+    apart = met.join(F.broadcast(roots) if few else roots, F.col("node") == F.col("_node"), "left").select("cell", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    far = _verified(apart.repartition("cell").mapInArrow(_cell_pairs(threshold, NEIGHBOURS + 1, None), "a long, b long"), keyed, classes, k, threshold)
+    return near.unionByName(far)
+
+
 def near_duplicates(documents: DataFrame, k: int = K, threshold: float = SIMILARITY, radius: int = CANDIDATE_RADIUS,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(rid, kept) of every row: ``rid`` is its monotonically_increasing_id in ``documents``, a stored table.
@@ -267,8 +461,8 @@ def near_duplicates(documents: DataFrame, k: int = K, threshold: float = SIMILAR
     Rows of equal texts form a class.  In the order of their smallest ids (nulls
     last) classes either lead or are covered by the first leader that is similar; the
     row of the smallest id of each leading class is kept.  So every row that goes has a
-    similar one that stays, and no two that stay are similar, as far as the candidates reach: pairs
-    with more than ``radius`` bits between the fingerprints of their words are not compared.
+    similar one that stays, and no two that stay are similar.  ``radius`` says which pairs meet
+    by fingerprint; the others meet in the prefix filter, so the result is the same at any.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     keyed = rows.withColumn("node", F.xxhash64("text", F.octet_length("text")))
@@ -276,7 +470,8 @@ def near_duplicates(documents: DataFrame, k: int = K, threshold: float = SIMILAR
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("first"), "rid")
     classes = stored(prints.groupBy("node").agg(F.min(order).alias("o"), F.first("fp").alias("fp"), F.first("size").alias("size"))
                      .select("node", "o.first", "o.rid", "fp", "size"), "classes")
-    found = stored(components(links(classes.select("node", "fp", "size"), radius, banded=True)), "candidates")
+    near = stored(links(classes.select("node", "fp", "size"), radius, banded=True), "near")
+    found = stored(components(near.unionByName(similar_links(keyed, classes, near, k, threshold))), "candidates")
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     members = stored(members.distinct().join(classes.select("node", "first", "rid"), "node"), "members")
     few = members.count() <= BROADCAST_ROWS
