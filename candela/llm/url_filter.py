@@ -28,7 +28,9 @@ from candela.llm.common import stored
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
-ROUNDS = 10
+#: Summed distance of either mass from its limit at which the power steps end, and the steps between two looks at it.
+TOLERANCE = 1e-6
+STEPS = 8
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
@@ -70,12 +72,13 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.unionByName(ties).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank; ``seeds``: (host, trusted, blocked) page counts.
 
     Both directions run in one pass, as rows of kind +1 (trust, along the edges)
     and -1 (distrust, against them).  Mass at a host without edges stays with the
-    host's own seed share: it ends there.
+    host's own seed share: it ends there.  Without ``rounds`` the steps go on until the
+    limit is within TOLERANCE: each shortens the distance by ``damping``, which is below 1.
     """
     both = edges.select(F.lit(1).alias("kind"), "src", "dst", "w").unionByName(
         edges.select(F.lit(-1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
@@ -85,16 +88,28 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     sums = start.groupBy("kind").agg(F.sum("mass").alias("all"))  # two rows
     start = stored(start.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass")), "seeds")
     kept = start.select("kind", "host", (F.lit(1.0 - damping) * F.col("mass")).alias("mass"))
-    now = start
-    for _ in range(rounds if not steps.isEmpty() else 0):
-        moved = now.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("p")).alias("mass"))
-        now = moved.unionByName(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+
+    def moved(now: DataFrame, times: int) -> DataFrame:
+        for _ in range(times):
+            there = now.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("p")).alias("mass"))
+            now = there.unionByName(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        return now
+
+    now, linked = start, not steps.isEmpty()
+    if linked and rounds is not None:
+        now = moved(now, rounds)
+    short = damping ** STEPS
+    while linked and rounds is None:
+        before, now = now, stored(moved(now, STEPS), "mass")
+        change = now.unionByName(before.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("x")).groupBy("kind").agg(F.sum("x").alias("x")).agg(F.max("x")).first()[0]
+        if (change or 0.0) * short / (1 - short) <= TOLERANCE:
+            break
     return now.groupBy("host").agg(F.sum(F.when(F.col("kind") == 1, F.col("mass")).otherwise(0.0)).alias("trust"),
                                    F.sum(F.when(F.col("kind") == -1, F.col("mass")).otherwise(0.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, page_id: str = "page_id", url: str = "url",
-          html: str = "html", bias: float = 1.0, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+          html: str = "html", bias: float = 1.0, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, trust, distrust."""
     seen = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     seen = seen.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
