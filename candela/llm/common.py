@@ -8,8 +8,10 @@ time; a single text longer than the bound is handled whole.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,21 @@ _POWERS: dict[str, np.ndarray] = {}
 
 # -- storage -----------------------------------------------------------------
 
+#: Folders and tables that ``stored`` and others have made and no scope has dropped yet.
+_MADE: list[tuple[str, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
+    Only on one machine (master local), and where the session names none, a temporary
+    folder is made and set as the checkpoint folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="candela-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -48,10 +57,63 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(("path", path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_table(name: str) -> str:
+    """Notes a table for the scope around it."""
+    _MADE.append(("table", name))
+    return name
+
+
+def drop(spark: SparkSession, kind: str, name: str) -> None:
+    if kind == "table":
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *also: str):
+    """Drops what is stored inside the scope when it ends, but for the last table stored.
+
+    That one, the scope's result, belongs to the scope around it, if any.  ``also``: names of stored tables to
+    leave as well.
+    """
+    begin = len(_MADE)
+    try:
+        yield
+    finally:
+        made = _MADE[begin:]
+        del _MADE[begin:]
+        last = max((i for i, (kind, _) in enumerate(made) if kind == "path"), default=-1)
+        for i, (kind, name) in enumerate(made):
+            if i == last or any(f"/{x}-" in name for x in also):
+                _MADE.append((kind, name))
+            else:
+                drop(spark, kind, name)
+
+
+def trimmed() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system: workers live longer than their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -180,6 +242,10 @@ def pack_rows(values: np.ndarray, counts: np.ndarray):
 
 # -- components --------------------------------------------------------------
 
+#: Edges up to which one task could hold those of any node.
+MANY_EDGES = 1_000_000
+
+
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index of the component of each of n nodes, for undirected edges (a, b)."""
     root = np.arange(n)
@@ -204,8 +270,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps; every step is a group-by that
     combines before it shuffles, each round is stored, and the rounds end when no
-    edge changes.  A node of many edges never meets all of them in one task: its
-    neighbours are joined to its minimum instead of being gathered.
+    edge changes.  A node's neighbours are joined to its minimum, not gathered; beyond MANY_EDGES,
+    nodes with a thousandth of all edges are joined where their edges are, by a broadcast of these few nodes.
     """
     e = (edges.where("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -213,12 +279,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, edges: int) -> DataFrame:
         pairs = e.select("u", "v")
         if large:
             pairs = pairs.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        linked = pairs.join(low, "u")
+        low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        if edges <= MANY_EDGES:
+            linked = pairs.join(low, "u")
+        else:  # an edge has two ends, so at most 2000 nodes have a thousandth of the edges
+            top = F.broadcast(low.where(F.col("n") >= edges // 1000))
+            linked = pairs.join(top, "u").unionByName(pairs.join(top, "u", "left_anti").join(low, "u"))
         if large:
             out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -231,7 +301,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     before = mark(e)
     for _ in range(most_rounds):
-        e = stored(star(star(e, True), False), "star")
+        e = stored(star(star(e, True, before[0]), False, before[0]), "star")
         now = mark(e)
         if now == before:
             break

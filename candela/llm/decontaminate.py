@@ -1,12 +1,12 @@
 """Benchmark items inside documents: size-partitioned MinHash containment, verified by exact shingles.
 
 Items are dealt into partitions by their number of shingles (powers of two).  An
-item's sketch is the SKETCH smallest hashes of its shingles (all, if it has no
-more): a uniform sample of them.  The share of the sketch that a document's
-shingles hold estimates how much of the item it contains, however long the
-document is, which a sketch of the document itself could not.  A partition has a
-number of sketch hits from which on a document is a candidate: exact where the sketch is
-the whole item, five standard deviations below the threshold otherwise.  Documents with
+item's sketch is the smallest hashes of its shingles, a uniform sample of them: membership of the
+sketch in a document's shingles tells how much of the item it contains, however long the
+document is, which a sketch of the document itself could not.  A document that holds the
+threshold's share of an item's n shingles lacks at most m of them, so with a sketch of s > m hashes
+it has s - m of these at least.  A sketch has SKETCH hashes, or m + 1 for items whose m is larger (or
+n, if the item has no more): so no pair is lost.  Documents with
 too few shingles for a partition's items are skipped for it.  Each candidate is then
 verified by the words themselves.
 
@@ -32,7 +32,7 @@ from candela.llm.common import lowered, shingle_hashes, slices, text_buffers, te
 
 K = 5
 THRESHOLD = 0.8
-SKETCH = 64
+SKETCH = 16
 #: Bytes of items that one pass sends to the executors.
 ITEM_BLOCK = 4_000_000
 _WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,12 +59,11 @@ class Items:
         for i, n in enumerate(per):
             own = np.unique(h[at: at + n])
             at += n
-            keys.append(own[:sketch])
-            owners.append(np.full(len(own[:sketch]), i))
-            full = len(own) <= sketch
-            expected = threshold * min(len(own), sketch)
-            spread = 0.0 if full else 5 * np.sqrt(sketch * threshold * (1 - threshold))
-            need.append(max(1, int(np.ceil(expected - spread - 1e-9))))
+            lacked = len(own) - int(np.ceil(threshold * len(own) - 1e-9))
+            taken = own[:max(sketch, lacked + 1)]
+            keys.append(taken)
+            owners.append(np.full(len(taken), i))
+            need.append(max(1, len(taken) - lacked))
         self.need = np.array(need, dtype=np.int64)
         #: partition of each item, and by partition the fewest shingles a document must have
         self.part = np.floor(np.log2(np.maximum(self.sizes, 1))).astype(np.int64)
@@ -104,14 +103,14 @@ class Items:
 
 
 def _search(rows: list[tuple[int, str]], k: int, threshold: float, sketch: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("also", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())])
 
     def run(batches):
         items = Items(rows, k, threshold, sketch)
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            ids = b.column("doc_id").to_pylist()
-            out = [(ids[lo + r], items.ids[i], n, int(items.sizes[i])) for lo, hi in slices(offsets)
+            ids, also = b.column("doc_id").to_pylist(), b.column("also").to_pylist()
+            out = [(ids[lo + r], also[lo + r], items.ids[i], n, int(items.sizes[i])) for lo, hi in slices(offsets)
                    for r, i, n in items.pairs(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
@@ -119,18 +118,21 @@ def _search(rows: list[tuple[int, str]], k: int, threshold: float, sketch: int):
 
 
 def contained(documents: DataFrame, items: DataFrame, k: int = K, threshold: float = THRESHOLD, sketch: int = SKETCH,
-              doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) of all pairs with containment >= threshold."""
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+              doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", also: str | None = None) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) of all pairs with containment >= threshold; ``also``: a second
+    long column of documents, carried by this name."""
+    second = F.col(also).cast("long") if also else F.lit(None).cast("long")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), second.alias("also"), text_or_empty(text).alias("text"))
     wanted = items.select(F.col(item_id).cast("long").alias("i"), text_or_empty(item_text).alias("t")).where("t <> ''")
     n_bytes = wanted.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-int(n_bytes) // ITEM_BLOCK))
     out = None
     for block in range(blocks):
         rows = [(r.i, r.t) for r in wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]
-        part = docs.mapInArrow(_search(rows, k, threshold, sketch), "doc_id long, item_id long, n_shared long, n_item long")
+        part = docs.mapInArrow(_search(rows, k, threshold, sketch), "doc_id long, also long, item_id long, n_shared long, n_item long")
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    out = out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    return out if also else out.drop("also")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +140,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows without doc_id are judged like others by way of their text."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_or_empty()))
-    bad = contained(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, with all their columns, whatever their names; rows are judged by their texts, so null and
+    repeated ids don't matter."""
+    rows = docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))
+    keyed = rows.select("row", "text", F.xxhash64("text", F.octet_length("text")).alias("key"), F.xxhash64(F.octet_length("text"), "text").alias("other"))
+    found = contained(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key", also="other")
+    bad = found.select(F.col("doc_id").alias("_key"), F.col("also").alias("_other")).distinct()
+    return keyed.join(bad, (F.col("key") == F.col("_key")) & (F.col("other") == F.col("_other")), "left_anti").select("row.*")
 
 
 OP6_SQL = r"""

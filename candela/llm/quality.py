@@ -201,9 +201,11 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, rows: int = TRAIN_RO
     chosen = (labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("quality")).where("id is not null and quality in (0, 1)").where(keep)
               .groupBy("id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = _texts(docs, text, n_chars, F.col(doc_id).alias("_id"))
-    # at most `rows` rows of two numbers
-    found = texts.join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("text", "n_chars", "quality")
-    got = found.mapInArrow(_extract, "quality int, place binary, value binary, stats binary").collect()
+    # at most `rows` rows of two numbers, and at most `rows` texts: where ids repeat, the first by hash
+    found = texts.join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("text", "n_chars", "quality", "id")
+    if found.count() > rows:
+        found = found.orderBy(F.xxhash64("id"), F.xxhash64("text"), "n_chars").limit(rows)
+    got = found.select("text", "n_chars", "quality").mapInArrow(_extract, "quality int, place binary, value binary, stats binary").collect()
     got.sort(key=lambda r: (bytes(r.stats), r.quality, bytes(r.place)))  # the fit doesn't depend on the tasks' order
     y = np.array([r.quality for r in got], dtype=np.float64)
     share = float(y.mean()) if len(y) else 0.5
@@ -233,12 +235,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
+    """The documents whose score reaches the threshold, with all their columns, whatever their names."""
     machine, share = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("id")))
-    carried = docs.withColumns({"_text": F.col("text"), "_n_chars": F.col("n_chars")})
-    out = scored(carried, machine, share, *[F.col(c) for c in carried.columns if c not in ("text", "n_chars")])
-    kept = out.where(F.col("score") >= THRESHOLD)
-    return kept.select(*[F.col("_" + c).alias(c) if c in ("text", "n_chars") else F.col(c) for c in docs.columns])
+    packed = docs.select("text", *(["n_chars"] if "n_chars" in docs.columns else []), F.struct("*").alias("row"))
+    return scored(packed, machine, share, F.col("row")).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 QUERIES = {"op9_quality": op9_quality}

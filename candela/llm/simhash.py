@@ -2,11 +2,12 @@
 
 A fingerprint of 64 bits is cut into 32 segments of two bits; the bit counts of the
 segments are a point whose Manhattan distance to another's never exceeds the
-Hamming distance.  For links at distance r or less the segments are dealt into
-r + 1 groups: of two linked fingerprints one group at least has equal counts, and
-their total counts differ by r at most.  So points are joined on a grid whose cells
-are (group, counts of its segments), within a window of r on the total count, and each
-pair met is verified on the fingerprints themselves.
+Hamming distance.  Points are joined within Manhattan distance r on a grid: the segments are dealt
+into r + j groups, and as at most r groups can differ, two points within r have the counts of j
+groups at least in common.  So the cells are (j of the groups, their counts); j grows with the
+number of points, so that cells stay small, and the result is the same at any.  In a cell, points are sorted by
+their total count, which differs by r at most; each pair in that window is kept if the Manhattan
+distance of the counts is r or less, and then verified on the fingerprints themselves.
 
 Each distinct point is joined once, however many rows share it, and each task
 hands on a spanning forest of the links it has found, not the pairs; the
@@ -17,33 +18,36 @@ zero and links like any other; null ids take part and get the
 component of their fingerprint, which is null only if all its ids are; repeated rows each get
 their row; an empty table gives an empty table; other columns are not read, whatever their names.
 
-``near_duplicates`` decides by similarity: candidates are linked by fingerprints of their
+``near_duplicates`` decides by similarity, the exact Jaccard similarity of the sets of k-word shingles; groups are
+connected by pairs of at least the threshold.  Pairs first meet by fingerprints of their
 distinct words at CANDIDATE_RADIUS or less (and, as similar sets have similar sizes, sizes within
-the threshold), then verified by the exact Jaccard similarity of their k-word shingles.
-Pairs that the radius misses come from an exact prefix filter: with all shingles in one order,
+the threshold).  What these miss comes from an exact prefix filter: with all shingles in one order,
 rare ones first, two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each,
 and the places of the first one they share bound what they can have in common.
+Shingles and texts are told apart by 64 and 128 bits of hash.
+
+Defined results of ``near_duplicates``: null texts are empty, texts without words are similar to each other and to
+nothing else, those of fewer than k words have one shingle; null ids come after all others, and equal rows count once;
+an empty table gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import components, local_roots, lowered, mix, shingle_hashes, slices, stored, text_buffers, text_or_empty, word_hashes, words
+from candela.llm.common import components, local_roots, lowered, mix, scratch, shingle_hashes, slices, stored, text_buffers, text_or_empty, trimmed, word_hashes, words
 
 SEED = 42
 RADIUS = 2
 K = 5
 SIMILARITY = 0.8
-CANDIDATE_RADIUS = 8
-#: Members, and bytes of text, of a candidate component that one task verifies among themselves; larger ones go
-#: through rounds first. The result is the same either way.
-GROUP = 4096
-GROUP_BYTES = 32_000_000
+CANDIDATE_RADIUS = 3
 #: Rows of (long, long) up to which a table is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Shingles at least, and one text in how many at most, in the sample that tells frequent ones; the least count there, and
@@ -51,11 +55,13 @@ BROADCAST_ROWS = 1_000_000
 SAMPLE = 1_000_000
 SAMPLE_ONE_IN = 16
 FREQUENT = 4
-FREQUENT_ROWS = 1 << 20
-#: Neighbours in a cell that are compared before what is still apart there.
-NEIGHBOURS = 2
-#: Prefix shingles that one task meets, about.
-CELL_ROWS = 1_000_000
+FREQUENT_ROWS = 1 << 18
+#: Neighbours in a cell that are compared in each round, before all that is still apart there.
+NEIGHBOURS = (2, 64)
+#: Prefix shingles, and points, that one task meets, about.
+CELL_ROWS = 300_000
+#: Points in a cell, about, up to which the grid has cells of fewer groups.
+CELL_POINTS = 16
 _EVEN = np.uint64(0x5555555555555555)
 
 
@@ -131,8 +137,8 @@ def _print_words(k: int):
             parts = [word_fingerprints(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], k) for lo, hi in slices(offsets)]
             fp = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             size = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("node"), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64))],
-                                             names=["rid", "doc_id", "node", "fp", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), b.column("other"), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64))], names=["id", "node", "other", "fp", "size"])
+        trimmed()
     return run
 
 
@@ -143,28 +149,46 @@ def segment_counts(fp: np.ndarray) -> np.ndarray:
     return fp - ((fp >> np.uint64(1)) & _EVEN)
 
 
-def cells(fp: np.ndarray, radius: int) -> np.ndarray:
-    """Grid cells of each point: a column for each of the radius + 1 groups of segments."""
-    counts, groups = segment_counts(fp), radius + 1
+def unary(fp: np.ndarray) -> np.ndarray:
+    """The segments' counts with as many set bits each: differing bits are then the Manhattan distance."""
+    counts = segment_counts(fp)
+    return counts | ((counts >> np.uint64(1)) & _EVEN)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of points in the form of ``unary``."""
+    return np.bitwise_count(a ^ b)
+
+
+def cells(fp: np.ndarray, radius: int, alike: int = 1) -> np.ndarray:
+    """Grid cells of each point: a column for each choice of ``alike`` of the radius + ``alike`` groups of segments."""
+    counts, groups = segment_counts(fp), radius + alike
     cut = [2 * (32 * g // groups) for g in range(groups + 1)]
+    masks = [np.uint64(((1 << (hi - lo)) - 1) << lo) for lo, hi in zip(cut[:-1], cut[1:])]
     out = []
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        part = (counts >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1 if hi - lo < 64 else (1 << 64) - 1)
-        out.append(part)
-    return np.stack(out, axis=1) if len(fp) else np.zeros((0, groups), np.uint64)
+    for n, chosen in enumerate(combinations(range(groups), alike)):
+        mask = np.uint64(0)
+        for g in chosen:
+            mask |= masks[g]
+        out.append(mix((counts & mask) ^ mix(np.full(1, n + 1, np.uint64))))
+    return np.stack(out, axis=1) if len(fp) else np.zeros((0, len(out)), np.uint64)
 
 
-def _dealt(radius: int, banded: bool):
-    """(node, fp, size) to (cell, node, fp): one row for each group, and twice for the bands of size."""
+def alike_groups(points: int, radius: int) -> int:
+    """Groups that a cell has in common: so many that evenly spread points (1.5 bits a segment) are about CELL_POINTS in a cell."""
+    return next((j for j in range(1, 5) if 48 * j / (radius + j) >= np.log2(max(1, points / CELL_POINTS))), 5)
+
+
+def _dealt(radius: int, alike: int, banded: bool):
+    """(node, fp, size) to (cell, node, fp): a row for each cell, and twice for the bands of size."""
     def run(batches):
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
             node = b.column("node").to_numpy()
-            c = cells(fp, radius)
-            key = c * np.uint64(64) + np.arange(radius + 1, dtype=np.uint64)
+            key = cells(fp, radius, alike)
             if banded:
-                band = np.floor(np.log(np.maximum(b.column("size").to_numpy(), 1)) / np.log(1 / SIMILARITY) + 1e-9).astype(np.uint64)
-                key = np.concatenate([key + (band << np.uint64(40))[:, None], key + ((band + np.uint64(1)) << np.uint64(40))[:, None]], axis=1)
+                band = np.floor(np.log(np.maximum(b.column("size").to_numpy(), 1)) / np.log(1 / SIMILARITY) + 1e-9).astype(np.uint64) + np.uint64(1)
+                key = np.concatenate([mix(key + band[:, None]), mix(key + (band + np.uint64(1))[:, None])], axis=1)
             times = key.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, times)), pa.array(np.repeat(fp.view(np.int64), times))], names=["cell", "node", "fp"])
     return run
@@ -175,6 +199,7 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, radius: int):
     weight = np.bitwise_count(fp).astype(np.int64)
     order = np.lexsort((weight, cell))
     cell, fp, weight = cell[order], fp[order], weight[order]
+    point = unary(fp)
     at, step = np.arange(len(cell)), 1
     while True:
         at = at[at + step < len(cell)]
@@ -182,7 +207,8 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, radius: int):
         at = at[near]  # rows past the window stay past it at greater steps
         if not len(at):
             return
-        hit = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+        hit = at[manhattan(point[at], point[at + step]) <= radius]
+        hit = hit[np.bitwise_count(fp[hit] ^ fp[hit + step]) <= radius]
         if len(hit):
             yield order[hit], order[hit + step]
         step += 1
@@ -197,33 +223,56 @@ def _forest(radius: int):
         cell, node, fp = (t.column(n).to_numpy() for n in ("cell", "node", "fp"))
         names, which = np.unique(node, return_inverse=True)
         root, held, n = np.arange(len(names)), [], 0
+        found: list[np.ndarray] = []
+
+        def grown(root: np.ndarray) -> np.ndarray:
+            """Roots with the held links in, of which one for each union is kept."""
+            ab = np.concatenate(held, axis=1)
+            for a, b in ab.T.tolist():
+                ra, rb = a, b
+                while root[ra] != ra:
+                    ra = root[ra]
+                while root[rb] != rb:
+                    rb = root[rb]
+                if ra != rb:
+                    root[max(ra, rb)] = min(ra, rb)
+                    found.append((a, b))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    return root
+                root = up
         for a, b in links_in_cells(cell, fp.view(np.uint64), radius):
-            a, b = root[which[a]], root[which[b]]
-            held.append(np.stack([a, b])[:, a != b])
+            a, b = which[a], which[b]
+            held.append(np.stack([a, b])[:, root[a] != root[b]])
             n += held[-1].shape[1]
-            if n > 500_000:
-                root, held, n = local_roots(*np.concatenate(held, axis=1), len(names))[root], [], 0
-        if held:
-            root = local_roots(*np.concatenate(held, axis=1), len(names))[root]
-        away = np.flatnonzero(root != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[away]), pa.array(names[root[away]])], names=["a", "b"])
+            if n > 100_000:
+                root, held, n = grown(root), [], 0
+        if n:
+            grown(root)
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(names[pairs[:, 0]]), pa.array(names[pairs[:, 1]])], names=["a", "b"])
+        trimmed()
     return run
 
 
 def links(points: DataFrame, radius: int, banded: bool = False) -> DataFrame:
-    """Edges (a, b) that connect what links connect; ``points``: distinct (node, fp[, size])."""
-    dealt = points.mapInArrow(_dealt(radius, banded), "cell long, node long, fp long")
-    return dealt.repartition("cell").mapInArrow(_forest(radius), "a long, b long")
+    """Links (a, b) that connect what all links connect; ``points``: distinct (node, fp[, size]), a stored table."""
+    spread, n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count()
+    alike = alike_groups(n, radius)
+    dealt = points.mapInArrow(_dealt(radius, alike, banded), "cell long, node long, fp long")
+    rows = n * len(list(combinations(range(radius + alike), alike))) * (2 if banded else 1)
+    return dealt.repartition(max(spread, rows // CELL_ROWS), "cell").mapInArrow(_forest(radius), "a long, b long")
 
 
 def linked_fingerprints(documents: DataFrame, k: int = 3, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint as hex, component_id) of every row."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     prints = stored(docs.mapInArrow(_print_shingles(k), "doc_id long, fp long"), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = components(links(classes.select(F.col("fp").alias("node"), "fp"), radius))
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted")
+    with scratch(documents.sparkSession):
+        classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+        found = components(links(classes.select(F.col("fp").alias("node"), "fp"), radius))
+        rooted = stored(classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -384,32 +433,6 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return shared >= threshold * (len(a) + len(b) - shared) - 1e-9
 
 
-def _cover(k: int, threshold: float):
-    """Members of one candidate component, first id first: each is covered by an earlier leader or leads."""
-    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64())])
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("first", "ascending"), ("node", "ascending")])
-        sets = _shingle_sets(t.column("text"), k)
-        node, leaders, out = t.column("node").to_pylist(), [], []
-        for i, own in enumerate(sets):
-            by = next((j for j in leaders if similar(own, sets[j], threshold)), i)
-            if by == i:
-                leaders.append(i)
-            out.append(node[by])
-        return pa.table([node, out], schema=schema)
-    return run
-
-
-def _against_leader(k: int, threshold: float):
-    def run(batches):
-        for b in batches:
-            own, lead = _shingle_sets(b.column("text"), k), _shingle_sets(b.column("lead_text"), k)
-            hit = [similar(x, y, threshold) for x, y in zip(own, lead)]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("leader"), pa.array(hit, pa.bool_())], names=["node", "leader", "hit"])
-    return run
-
-
 def _similar_pairs(k: int, threshold: float):
     def run(batches):
         for b in batches:
@@ -418,26 +441,31 @@ def _similar_pairs(k: int, threshold: float):
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are similar; ``rows``: (rid, text), ``classes``: (node, rid)."""
-    pairs = stored(pairs.distinct(), "pairs")
-    wanted = stored(pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-                    .join(classes.select("node", F.col("rid").alias("_rid")), F.col("_node") == F.col("node")).select("_node", "_rid"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = stored(rows.join(F.broadcast(wanted) if few else wanted, F.col("rid") == F.col("_rid")).select("_node", "text"), "pair_texts")
-    one, two = texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b"))
-    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar_pairs(k, threshold), "a long, b long"), "similar")
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are similar; ``rows``: (id, node, text), ``nodes``: (node, first)."""
+    with scratch(pairs.sparkSession):
+        pairs = stored(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return pairs
+        wanted = stored(pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
+                        .join(nodes.select("node", F.col("first.id").alias("_id")), F.col("_node") == F.col("node")).select("_node", "_id"), "wanted")
+        few = wanted.count() <= BROADCAST_ROWS
+        one_each = (rows.join(F.broadcast(wanted) if few else wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
+                    .select("node", "text").dropDuplicates(["node"]))
+        texts = stored(one_each, "pair_texts")
+        one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar_pairs(k, threshold), "a long, b long"), "similar")
 
 
-def similar_links(keyed: DataFrame, classes: DataFrame, known: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Edges (a, b) that with ``known`` ones connect all pairs of similar texts; ``keyed``: (rid, node, text).
+def similar_groups(rows: DataFrame, nodes: DataFrame, known: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(node, root) of what similar pairs connect, some of which are ``known``; ``rows``: (id, node, text).
 
-    Neighbours in each cell are verified first, then all pairs that are still in different
+    Neighbours in each cell are verified first, then more distant ones and at last all pairs that are still in different
     components, so that a large group of copies is not compared pair by pair.
     """
-    spark = keyed.sparkSession
-    shingles = int(classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    texts = keyed.select("node", "text")
+    spark = rows.sparkSession
+    shingles = int(nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    texts = rows.select("node", "text")
     often = (texts.mapInArrow(_sampled(k, min(SAMPLE_ONE_IN, max(1, shingles // SAMPLE))), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "cell").limit(FREQUENT_ROWS).toArrow())  # at most FREQUENT_ROWS rows
     cell, n = often.column("cell").to_numpy().view(np.uint64), often.column("n").to_numpy()
@@ -446,62 +474,69 @@ def similar_links(keyed: DataFrame, classes: DataFrame, known: DataFrame, k: int
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // 4 // CELL_ROWS)
     schema = "cell long, node long, size int, place int"
     met = stored(texts.mapInArrow(_prefix_rows(k, threshold, shared), schema).repartition(parts, "cell").mapInArrow(_met(threshold), schema), "met")
-    near = _verified(met.repartition("cell").mapInArrow(_cell_pairs(threshold, 1, NEIGHBOURS), "a long, b long"), keyed, classes, k, threshold)
-    roots = stored(components(known.unionByName(near)), "roots").withColumnRenamed("node", "_node")
-    few = roots.count() <= BROADCAST_ROWS
-    apart = met.join(F.broadcast(roots) if few else roots, F.col("node") == F.col("_node"), "left").select("cell", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    far = _verified(apart.repartition("cell").mapInArrow(_cell_pairs(threshold, NEIGHBOURS + 1, None), "a long, b long"), keyed, classes, k, threshold)
-    return near.unionByName(far)
+    first, out, roots = 1, known, None
+    for last in (*NEIGHBOURS, None):
+        held = met
+        if roots is not None:
+            held = met.join(F.broadcast(roots) if few else roots, F.col("node") == F.col("_node"), "left").select("cell", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+        near = _verified(held.repartition("cell").mapInArrow(_cell_pairs(threshold, first, last), "a long, b long"), rows, nodes, k, threshold)
+        out, first = out.unionByName(near), (last or 0) + 1
+        if roots is None or not near.isEmpty():
+            roots = stored(components(out), "roots").withColumnRenamed("node", "_node")
+            few = roots.count() <= BROADCAST_ROWS
+    return roots.withColumnRenamed("_node", "node")
+
+
+def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text, node, other): the two hashes tell texts apart."""
+    rows = documents.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text"))
+    return rows.select("id", "text", F.xxhash64("text", F.octet_length("text")).alias("node"), F.xxhash64(F.octet_length("text"), "text").alias("other"))
 
 
 def near_duplicates(documents: DataFrame, k: int = K, threshold: float = SIMILARITY, radius: int = CANDIDATE_RADIUS,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, kept) of every row: ``rid`` is its monotonically_increasing_id in ``documents``, a stored table.
+    """A row for each distinct id and text: id, node and other (hashes of the text), n (such rows),
+    group_id (the smallest id of what similar pairs connect) and kept: whether it is that id's first text.
 
-    Rows of equal texts form a class.  In the order of their smallest ids (nulls
-    last) classes either lead or are covered by the first leader that is similar; the
-    row of the smallest id of each leading class is kept.  So every row that goes has a
-    similar one that stays, and no two that stay are similar.  ``radius`` says which pairs meet
-    by fingerprint; the others meet in the prefix filter, so the result is the same at any.
+    ``radius`` says which pairs meet by fingerprint first; the others meet in the prefix filter, so the result
+    is the same at any.  A text whose ``node`` is another's as well is kept, as a group of its own.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    keyed = rows.withColumn("node", F.xxhash64("text", F.octet_length("text")))
-    prints = stored(keyed.mapInArrow(_print_words(k), "rid long, doc_id long, node long, fp long, size long"), "prints")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("first"), "rid")
-    classes = stored(prints.groupBy("node").agg(F.min(order).alias("o"), F.first("fp").alias("fp"), F.first("size").alias("size"))
-                     .select("node", "o.first", "o.rid", "fp", "size"), "classes")
-    near = stored(links(classes.select("node", "fp", "size"), radius, banded=True), "near")
-    found = stored(components(near.unionByName(similar_links(keyed, classes, near, k, threshold))), "candidates")
-    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    members = stored(members.distinct().join(classes.select("node", "first", "rid"), "node"), "members")
-    few = members.count() <= BROADCAST_ROWS
-    wanted = members.withColumnRenamed("node", "_node").withColumnRenamed("rid", "_rid")
-    texts = rows.select("rid", "text").join(F.broadcast(wanted) if few else wanted, F.col("rid") == F.col("_rid"))
-    active = stored(texts.select(F.col("_node").alias("node"), "root", "first", "text"), "texts")
-    covered = None
-    while True:
-        large = active.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.struct("first", "node")).alias("lead")).where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES))
-        large = stored(large.select("root", F.col("lead.node").alias("leader")), "large")
-        if large.isEmpty():
-            break
-        lead = active.join(large, (active.node == large.leader) & (active.root == large.root)).select(large.root.alias("_root"), "leader", F.col("text").alias("lead_text"))
-        judged = active.join(lead, active.root == lead._root).select("node", "leader", "text", "lead_text").mapInArrow(_against_leader(k, threshold), "node long, leader long, hit boolean")
-        gone = stored(judged.where("hit").select("node", "leader"), "gone")
-        covered = gone if covered is None else covered.unionByName(gone)
-        active = stored(active.join(gone.select("node"), "node", "left_anti"), "active")
-    rest = active.groupBy("root").applyInArrow(_cover(k, threshold), "node long, leader long")
-    covered = rest if covered is None else covered.unionByName(rest)
-    lost = covered.where("node <> leader").select(F.col("node").alias("_node"))
-    keep = classes.join(lost, F.col("node") == F.col("_node"), "left_anti").select(F.col("rid").alias("_rid"))
-    return prints.join(keep, F.col("rid") == F.col("_rid"), "left").select("rid", F.col("_rid").isNotNull().alias("kept"))
+    with scratch(documents.sparkSession):
+        rows = _keyed(documents, doc_id, text)
+        prints = stored(rows.mapInArrow(_print_words(k), "id long, node long, other long, fp long, size long"), "prints")
+        counted = stored(prints.groupBy("node", "other", "id").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size")), "counted")
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "other", "fp", "size")).alias("first")
+        nodes = stored(counted.groupBy("node").agg(first).select("node", "first", F.col("first.fp").alias("fp"), F.col("first.size").alias("size")), "nodes")
+        near = _verified(links(nodes.select("node", "fp", "size"), radius, banded=True), rows, nodes, k, threshold)
+        found = similar_groups(rows, nodes, near, k, threshold)
+        rooted = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+        rooted = stored(rooted, "rooted")
+        lead = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "node")).alias("lead"))
+        named = rooted.join(lead, "root").select("node", F.col("first.other").alias("_other"), F.col("first.id").alias("_first"), "lead")
+        own = F.col("other") == F.col("_other")
+        kept = ~own | ((F.col("node") == F.col("lead.node")) & F.col("id").eqNullSafe(F.col("lead.id")))
+        return stored(counted.join(named, "node").select("id", "node", "other", "n", F.when(own, F.col("lead.id")).otherwise(F.col("id")).alias("group_id"), kept.alias("kept")), "near_duplicates")
+
+
+def without_near_duplicates(documents: DataFrame, k: int = K, threshold: float = SIMILARITY, radius: int = CANDIDATE_RADIUS,
+                            doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns as they are, whose id and text ``near_duplicates`` keeps; of equal ones any one."""
+    with scratch(documents.sparkSession):
+        judged = near_duplicates(documents, k, threshold, radius, doc_id, text)
+        acted = stored(judged.where("not kept or n > 1").select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("other").alias("_other"), "kept"), "acted")
+    few, again = acted.count() <= BROADCAST_ROWS, not acted.where("kept").isEmpty()
+    rows = documents.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text"), F.struct("*").alias("row"))
+    rows = rows.select("row", "id", F.xxhash64("text", F.octet_length("text")).alias("node"), F.xxhash64(F.octet_length("text"), "text").alias("other"))
+    met = rows.join(F.broadcast(acted) if few else acted, (F.col("node") == F.col("_node")) & (F.col("other") == F.col("_other")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    out = met.where("kept is null").select("row.*")
+    if again:
+        out = out.unionByName(met.where("kept").groupBy("node", "other", "id").agg(F.first("row").alias("row")).select("row.*"))
+    return out
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8), with all its columns."""
-    gone = stored(near_duplicates(docs).where("not kept").select(F.col("rid").alias("_gone")), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(F.broadcast(gone) if few else gone, F.col("_rid") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates (five words, similarity 0.8), with all its columns, whatever their names."""
+    return without_near_duplicates(docs)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,12 @@ Rounds are as many as the longest string is long, so documents are not inserted
 * only pieces whose hash occurs in two documents at least go on; equal pieces count once per
   chunk of documents, with the smallest id;
 * a bucket of hashes is one collection of the pieces that share their hash with another, so its strings
-  are short and its size is set by the number of buckets; windows are equal where neighbours have
-  ``length`` bytes in common;
+  are short and its size is set by the number of buckets; a task takes its buckets one after another; windows are equal
+  where neighbours have ``length`` bytes in common;
 * the chunk gets the smallest id of every window back and marks the bytes.
 
-Chunks travel once, into a bucketed table; later passes join what is small to them.
+Chunks travel once, into a bucketed table; later passes join what is small to them.  A chunk sends a row to each bucket
+that it has pieces for: no more rows than pieces.  What passes write is dropped once the result is written.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all; a null id
 comes after all ids: its repeats go, and nothing goes because of it; rows with the
@@ -39,13 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import mix, powers_down, prefix_hash, range_hash, shared_dir, slices, stored, text_buffers, text_or_empty
+from candela.llm.common import made_table, mix, powers_down, prefix_hash, range_hash, scratch, shared_dir, slices, stored, text_buffers, text_or_empty, trimmed
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of text in a chunk, and of text for which a further bucket is made.
-CHUNK = 8_000_000
-BUCKET = 8_000_000
+CHUNK = 4_000_000
+BUCKET = 4_000_000
 #: Symbols that a round holds of each file at a time.
 BLOCK = 1 << 18
 LAST = np.int64((1 << 63) - 1)
@@ -346,6 +347,10 @@ class Chunk:
         return start, windows, row, of, o[new], bucket[o[new]]
 
 
+#: Pieces whose windows are looked at together.
+_PIECES = 20_000
+
+
 # -- passes ---------------------------------------------------------------------------------
 
 _CHUNK_TYPE = "chunk long, texts binary, offsets binary, doc_ids binary, rest binary"
@@ -397,28 +402,37 @@ def _tell(buckets: int, length: int, gram: int):
     return run
 
 
-def _meet(batches):
-    """Keys that two chunks hold, or two ids of one: a bit for each key told."""
-    held: dict[int, list] = {}
+def _by_bucket(batches):
+    """The rows of each bucket in turn, from batches in the order of their buckets."""
+    bucket, held = None, []
     for b in batches:
         for r in b.to_pylist():
-            held.setdefault(r["bucket"], []).append((r["chunk"], r["keys"], r["more"]))
-    for bucket in sorted(held):
-        told = held.pop(bucket)
-        keys = [_unsix(k) for _, k, _ in told]
-        more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for k, (_, _, m) in zip(keys, told)]).astype(bool)
-        flat = np.concatenate(keys)
-        _, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+            if r["bucket"] != bucket and held:
+                yield bucket, held
+                held = []
+            bucket = r["bucket"]
+            held.append(r)
+    if held:
+        yield bucket, held
+
+
+def _meet(batches):
+    """Keys that two chunks hold, or two ids of one: a bit for each key told."""
+    for bucket, told in _by_bucket(batches):
+        keys = [_unsix(r["keys"]) for r in told]
+        more = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8), count=len(k)) for k, r in zip(keys, told)]).astype(bool)
+        _, where, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         hit = (count > 1)[where] | more
         twice = np.zeros(len(count), dtype=bool)
         twice[where[hit]] = True
         hit, at, rows = twice[where], 0, []
-        for (chunk, _, _), k in zip(told, keys):
+        for r, k in zip(told, keys):
             if hit[at: at + len(k)].any():
-                rows.append((chunk, bucket, _six(k[hit[at: at + len(k)]])))
+                rows.append((r["chunk"], _six(k[hit[at: at + len(k)]])))
             at += len(k)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "bucket", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "bucket", "keys"])
+    trimmed()
 
 
 def _row_keys(row: dict) -> np.ndarray:
@@ -493,13 +507,10 @@ def _sort(length: int, gram: int):
             yield r["chunk"], _pack(runs.astype(np.int32).tobytes()), _pack(m[head].tobytes())
 
     def run(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                held.setdefault(r["bucket"], []).append(r)
-        for bucket in sorted(held):
-            rows = list(solve(held.pop(bucket)))
+        for bucket, told in _by_bucket(batches):
+            rows = list(solve(told))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "bucket", "runs", "ids"])
+        trimmed()
     return run
 
 
@@ -508,14 +519,21 @@ def covered(c: Chunk, keys: np.ndarray, buckets: int, told: list[dict]) -> np.nd
     start, windows, row, of, one, _ = c.distinct(keys, buckets)
     n = windows[one]
     where = np.cumsum(n) - n
-    least = np.concatenate([np.repeat(np.frombuffer(_unpack(r["ids"]), np.int64), np.frombuffer(_unpack(r["runs"]), np.int32)) for r in sorted(told, key=lambda r: r["bucket"])]) if told else np.zeros(0, np.int64)
-    step = np.zeros(len(c.data) + 1, dtype=np.int64)
-    at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = least[np.repeat(where[of], windows) + at] < np.repeat(c.ids[row], windows)
-    first = (np.repeat(start, windows) + at)[gone]
-    np.add.at(step, first, 1)
-    np.subtract.at(step, first + c.length, 1)
-    return np.cumsum(step[:-1]) > 0
+    told = sorted(told, key=lambda r: r["bucket"])
+    runs = np.concatenate([np.frombuffer(_unpack(r["runs"]), np.int32) for r in told]).astype(np.int64) if told else np.zeros(0, np.int64)
+    ids = np.concatenate([np.frombuffer(_unpack(r["ids"]), np.int64) for r in told]) if told else np.zeros(0, np.int64)
+    begins = np.cumsum(runs) - runs  # the distinct pieces' windows, one after another, in runs of one smallest id
+    step = np.zeros(len(c.data) + 1, dtype=np.int32)
+    for lo in range(0, len(start), _PIECES):
+        hi = min(lo + _PIECES, len(start))
+        w = windows[lo:hi]
+        at = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        least = ids[np.searchsorted(begins, np.repeat(where[of[lo:hi]], w) + at, side="right") - 1]
+        gone = least < np.repeat(c.ids[row[lo:hi]], w)
+        first = (np.repeat(start[lo:hi], w) + at)[gone]
+        np.add.at(step, first, 1)
+        np.subtract.at(step, first + c.length, 1)
+    return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 
 def _finish(buckets: int, length: int, gram: int, texts: bool):
@@ -543,36 +561,40 @@ def _finish(buckets: int, length: int, gram: int, texts: bool):
                 else:
                     cols["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in texts_kept], pa.string())
                 yield from pa.table(cols).to_batches() if n else []
+        trimmed()
     return run
 
 
 def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, length: int = LENGTH,
                     gram: int = GRAM, texts: bool = False) -> DataFrame:
     """The columns ``carry`` (doc_id alone if none are named), n_bytes, n_removed, n_spans and kept_sha256 of
-    every row, or with ``texts`` the text ``kept``."""
+    every row, or with ``texts`` the text ``kept``; carried columns of these names are refused."""
     if not 0 < gram < length <= 120:
         raise ValueError("0 < gram < length <= 120")
+    carry = carry or [doc_id]
+    tail = "kept string" if texts else "kept_sha256 string"
+    if {c.lower() for c in carry} & {"n_bytes", "n_removed", "n_spans", tail.split()[0]}:
+        raise ValueError("a carried column has the name of a result; carry it in a struct")
     spark = documents.sparkSession
     shared_dir(spark)
-    carry = carry or [doc_id]
     rows = documents.select(F.col(doc_id).cast("long").alias("_id"), text_or_empty(text).alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"candela_chunks_{uuid.uuid4().hex}"
-    rows.mapInArrow(_chunked(CHUNK), _CHUNK_TYPE).write.bucketBy(spread, "chunk").option("compression", "none").saveAsTable(name)
-    chunks = spark.table(name)
-    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(n_bytes) // BUCKET))
-    told = chunks.select("chunk", "texts", "offsets", "doc_ids").mapInArrow(_tell(buckets, length, gram), "bucket int, chunk long, keys binary, more binary")
-    met = told.repartition(spread, "bucket").mapInArrow(_meet, "chunk long, bucket int, keys binary")
-    keys = stored(met.groupBy("chunk").agg(F.collect_list("keys").alias("keys")), "keys")  # a chunk's own keys, at most
-    sent = chunks.join(keys.hint("shuffle_hash"), "chunk").select("chunk", "texts", "offsets", "doc_ids", "keys").mapInArrow(_send(buckets, length, gram), "bucket int, chunk long, size binary, body binary, least binary")
-    back = sent.repartition(spread, "bucket").mapInArrow(_sort(length, gram), "chunk long, bucket int, runs binary, ids binary")
-    back = stored(back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "runs", "ids")).alias("told")), "told")
-    kinds = [f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))]
-    tail = "kept string" if texts else "kept_sha256 string"
-    done = (chunks.join(keys.hint("shuffle_hash"), "chunk", "left").join(back.hint("shuffle_hash"), "chunk", "left")
-            .mapInArrow(_finish(buckets, length, gram, texts), ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long", tail])))
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", tail.split()[0])
+    with scratch(spark):
+        name = made_table(f"candela_chunks_{uuid.uuid4().hex}")
+        rows.mapInArrow(_chunked(CHUNK), _CHUNK_TYPE).write.bucketBy(spread, "chunk").option("compression", "none").saveAsTable(name)
+        chunks = spark.table(name)
+        n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+        buckets = max(1, -(-int(n_bytes) // BUCKET))
+        told = chunks.select("chunk", "texts", "offsets", "doc_ids").mapInArrow(_tell(buckets, length, gram), "bucket int, chunk long, keys binary, more binary")
+        met = told.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "chunk long, bucket int, keys binary")
+        keys = stored(met.groupBy("chunk").agg(F.collect_list("keys").alias("keys")), "keys")  # a chunk's own keys, at most
+        sent = chunks.join(keys.hint("shuffle_hash"), "chunk").select("chunk", "texts", "offsets", "doc_ids", "keys").mapInArrow(_send(buckets, length, gram), "bucket int, chunk long, size binary, body binary, least binary")
+        back = sent.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort(length, gram), "chunk long, bucket int, runs binary, ids binary")
+        back = stored(back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "runs", "ids")).alias("told")), "told")
+        kinds = [f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))]
+        done = (chunks.join(keys.hint("shuffle_hash"), "chunk", "left").join(back.hint("shuffle_hash"), "chunk", "left")
+                .mapInArrow(_finish(buckets, length, gram, texts), ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long", tail])))
+        return stored(done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", tail.split()[0]), "kept")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -580,11 +602,13 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 bytes that earlier ones hold; n_chars follows the text, and texts that lose everything stay, empty."""
+    """Documents without the passages of 50 bytes that earlier ones hold; n_chars follows the text, and texts that lose everything
+    stay, empty; other columns are carried as they are, whatever their names."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = without_repeats(docs, carry=rest, texts=True)
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    out = without_repeats(packed, carry=["row"], texts=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}

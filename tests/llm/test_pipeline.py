@@ -47,12 +47,14 @@ def test_stages(spark):
     assert set(seen["quality"]) == {r.doc_id for r in quality.scored(table, machine, share, F.col("doc_id")).collect() if r.score >= 0.3}
     assert all(seen["quality"][i] == source[i] for i in seen["quality"])
 
-    leaders = []
-    for i, text in sorted(seen["quality"].items()):
-        own = shingles(text)
-        if not any(len(own & other) >= 0.8 * len(own | other) if own | other else True for _, other in leaders):
-            leaders.append((i, own))
-    assert set(seen["near_duplicates"]) == {i for i, _ in leaders}
+    ids = sorted(seen["quality"])
+    sets, root = {i: shingles(seen["quality"][i]) for i in ids}, {i: i for i in ids}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            own, other = sets[i], sets[j]
+            if (len(own & other) >= 0.8 * len(own | other) if own | other else True) and root[i] != root[j]:
+                root = {x: min(root[i], root[j]) if r in (root[i], root[j]) else r for x, r in root.items()}
+    assert set(seen["near_duplicates"]) == set(root.values())
 
     assert seen["suffix_dedup"] == without_repeats(seen["near_duplicates"])
 
