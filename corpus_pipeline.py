@@ -2,14 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet in the
 shared folder and reads again as the next one's docs.  All but the last return the
-columns of documents.
+columns of documents.  Each works on ids, texts that are null, empty or repeated, and further columns of any name, as its
+docstring says; an empty table goes through all of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm.common import stored
+from candela.llm.common import scratch, stored
 from candela.llm.decontaminate import stage_decontaminate
 from candela.llm.quality import stage_quality
 from candela.llm.segment import stage_segmentation
@@ -29,10 +30,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; the last one's rows."""
+    """All stages over the table documents; the last one's rows. What a stage read is dropped once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    with scratch(spark):
+        for name, stage in STAGES:
+            with scratch(spark):
+                docs = stored(stage(spark, docs, sf_dir), name)
     return docs
 
 
