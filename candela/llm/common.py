@@ -31,6 +31,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 # -- storage -----------------------------------------------------------------
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders and tables that ``stored`` and others have made and no scope has dropped yet.
 _MADE: list[tuple[str, str]] = []
 
@@ -54,11 +55,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _MADE.append(("path", path))
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -234,6 +240,16 @@ def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.n
     return out, per
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """Order by the last key, ties by the one before it and so on; small whole numbers are sorted by radix."""
+    out = np.argsort(keys[0])
+    for key in keys[1:]:
+        key = key[out]
+        small = len(key) and key.dtype.kind in "iu" and key.min() >= 0 and key.max() < 1 << 16
+        out = out[np.argsort(key.astype(np.uint16) if small else key, kind="stable")]
+    return out
+
+
 def pack_rows(values: np.ndarray, counts: np.ndarray):
     """Arrow list array with ``counts[i]`` of the values in row i."""
     offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -269,8 +285,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of each node: (node, root) from undirected edges (a, b).
 
     Alternates large-star and small-star steps; every step is a group-by that
-    combines before it shuffles, each round is stored, and the rounds end when no
-    edge changes.  A node's neighbours are joined to its minimum, not gathered; beyond MANY_EDGES,
+    combines before it shuffles, each round is stored, and the rounds end when every
+    edge leads to a root.  A node's neighbours are joined to its minimum, not gathered; beyond MANY_EDGES,
     nodes with a thousandth of all edges are joined where their edges are, by a broadcast of these few nodes.
     """
     e = (edges.where("a is not null and b is not null and a <> b")
@@ -296,16 +312,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                 low.select("u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def settled(e: DataFrame, n: int) -> bool:
+        """Whether each node has one edge, to a node without any."""
+        return n == e.select(F.count_distinct("u")).first()[0] and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
-    before = mark(e)
     for _ in range(most_rounds):
-        e = stored(star(star(e, True, before[0]), False, before[0]), "star")
-        now = mark(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        n = e.count()
+        if settled(e, n):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        e = stored(star(star(e, True, n), False, n), "star")
+    raise RuntimeError(f"components have not settled after {most_rounds} rounds")

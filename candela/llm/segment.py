@@ -32,7 +32,6 @@ read, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 import os
 
 import numpy as np
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import mix, powers_down, prefix_hash, range_hash, slices, text_buffers, text_or_empty
+from candela.llm.common import mix, powers_down, prefix_hash, range_hash, slices, text_buffers, text_or_empty, trimmed
 
 MODEL = os.environ.get("CANDELA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SAMPLES = 3
@@ -49,8 +48,11 @@ ALPHA = 1.0
 SEED = 17
 SLICE = 1_000_000
 TABLE_BITS = 18
+NONE, SEVERAL = -1, -2
 #: Negated log of a share of all paths that double precision does not see beside the rest.
 NEGLIGIBLE = 45.0
+#: Units of fixed-point logarithms and shares.
+_FIXED, _SHARES = float(1 << 32), float(1 << 40)
 _CHAR = np.ones(256, dtype=np.int64)
 _CHAR[0xC0:0xE0], _CHAR[0xE0:0xF0], _CHAR[0xF0:] = 2, 3, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,10 +88,15 @@ class Pieces:
             own, longer = ids[self.size[ids] == n], ids[self.size[ids] > n]
             h = plain_hash(prefix, self.start[own], n)
             order = np.argsort(h)
-            seen, on = np.zeros(1 << TABLE_BITS, dtype=bool), np.zeros(1 << TABLE_BITS, dtype=bool)
-            seen[slot(h)] = True
+            h, own = h[order], own[order]
+            # by slot: the only piece there, NONE, or SEVERAL
+            which = np.full(1 << TABLE_BITS, NONE, dtype=np.int32)
+            place, count = np.unique(slot(h), return_counts=True)
+            which[slot(h)] = np.arange(len(h))
+            which[place[count > 1]] = SEVERAL
+            on = np.zeros(1 << TABLE_BITS, dtype=bool)
             on[slot(plain_hash(prefix, self.start[longer], n))] = True
-            self.tables.append((n, h[order], own[order].astype(np.int32), seen, on))
+            self.tables.append((n, h, own.astype(np.int32), which, on))
 
     @classmethod
     def load(cls, path: str = MODEL, alpha: float = ALPHA) -> "Pieces":
@@ -121,86 +128,99 @@ class Pieces:
 
 
 class Lattice:
-    """Edges of the lattices of distinct words, by node, with their shares among completions."""
+    """Edges of the lattices of distinct words, those of a node together, with their shares among completions."""
 
     def __init__(self, pieces: Pieces, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        size = len(data)
         stop = np.repeat(end, end - begin).astype(np.int32)
         prefix = prefix_hash(data)
         first = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
         width = _CHAR[data]
-        at, nxt, pid = [], [], []
-        alone = np.zeros(len(data) + 1, dtype=bool)
+        at, wide, pid = [], [], []
+        alone = np.zeros(size + 1, dtype=bool)
         pos = first
-        for n, hashes, ids, seen, on in pieces.tables:
+        for n, hashes, ids, which, on in pieces.tables:
             pos = pos[pos + n <= stop[pos]]
             if not len(pos):
                 break
             h = plain_hash(prefix, pos, n)
             place = slot(h)
-            maybe = np.flatnonzero(seen[place])
+            x = which[place]
+            maybe = np.flatnonzero(x != NONE)
             if len(maybe):
-                where = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
-                hit = hashes[where] == h[maybe]
-                at.append(pos[maybe[hit]])
-                nxt.append(at[-1] + np.int32(n))
-                pid.append(ids[where[hit]])
+                x, hm = x[maybe], h[maybe]
+                many = np.flatnonzero(x == SEVERAL)
+                if len(many):
+                    x[many] = np.minimum(np.searchsorted(hashes, hm[many]), len(hashes) - 1)
+                hit = hashes[x] == hm
+                own = pos[maybe[hit]]
+                at.append(own)
+                wide.append(np.full(len(own), n, dtype=np.int32))
+                pid.append(ids[x[hit]])
                 if n <= 4:
-                    alone[at[-1][width[at[-1]] == n]] = True
+                    alone[own[width[own] == n]] = True
             pos = pos[on[place]]
         lost = first[~alone[first]]
-        n = width[lost]
-        inner = (np.repeat(lost - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))).astype(np.int32)
-        at, nxt, pid = np.concatenate([*at, inner]), np.concatenate([*nxt, inner + np.int32(1)]), np.concatenate([*pid, pieces.byte_ids[data[inner]].astype(np.int32)])
+        if len(lost):
+            inner = _ragged(lost.astype(np.int64), width[lost]).astype(np.int32)
+            at, wide, pid = [*at, inner], [*wide, np.ones(len(inner), np.int32)], [*pid, pieces.byte_ids[data[inner]].astype(np.int32)]
+        at, wide, pid = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (at, wide, pid))
+        # from the words' ends to their starts, node by node
         order = np.argsort(at, kind="stable")
-        self.at, self.next, self.piece = at[order], nxt[order], pid[order]
-        self.last = self.next == stop[self.at]
-        logp = pieces.logp[self.piece]
-        beta = np.full(len(data) + 1, -np.inf)
-        level = stop[self.at] - self.at
+        level = (stop[at[order]] - at[order]) if size else at
         by_level = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level, kind="stable")
-        cut = np.flatnonzero(np.diff(level[by_level], prepend=-1))
-        for a, b in zip(cut, np.append(cut[1:], len(by_level))):
-            e = by_level[a:b]
-            x = logp[e] + np.where(self.last[e], 0.0, beta[self.next[e]])
-            heads = np.flatnonzero(np.diff(self.at[e], prepend=-1))
-            most = np.maximum.reduceat(x, heads)
-            safe = np.where(np.isfinite(most), most, 0.0)
-            total = np.add.reduceat(np.exp(x - np.repeat(safe, np.diff(np.append(heads, len(e))))), heads)
-            with np.errstate(divide="ignore"):
-                beta[self.at[e][heads]] = safe + np.log(total)
-        self.logp = logp
+        order = order[by_level]
+        self.at, self.piece = at[order], pid[order]
+        self.next = self.at + wide[order]
+        self.last = self.next == stop[self.at] if size else np.zeros(0, bool)
+        head = np.empty(len(self.at), dtype=bool)
+        head[:1] = True
+        np.not_equal(self.at[1:], self.at[:-1], out=head[1:])
+        heads = np.flatnonzero(head)
+        owner = np.cumsum(head) - 1
+        goes = np.where(self.last, size, self.next)
+        beta = np.zeros(size + 1)
+        self.lp = pieces.logp[self.piece]
+        level = level[by_level]
+        cut = np.flatnonzero(np.diff(level, prepend=-1)).tolist()
+        node_cut = [*owner[cut].tolist(), len(heads)]
+        for a, z, i, j in zip(cut, [*cut[1:], len(level)], node_cut[:-1], node_cut[1:]):
+            x = self.lp[a:z] + beta[goes[a:z]]
+            own, begins = owner[a:z] - i, heads[i:j] - a
+            most = np.maximum.reduceat(x, begins)
+            best = most + np.log(np.add.reduceat(np.exp(x - most[own]), begins))
+            beta[self.at[heads[i:j]]] = best
+            self.lp[a:z] = x - best[own]
         self.beta = beta
-        with np.errstate(invalid="ignore"):
-            share = logp + np.where(self.last, 0.0, beta[self.next]) - beta[self.at]
-        self.lp = np.minimum(np.where(np.isnan(share), -np.inf, share), 0.0)
+        np.minimum(self.lp, 0.0, out=self.lp)
         p = np.exp(self.lp)
-        heads = np.flatnonzero(np.diff(self.at, prepend=-1))
-        self.rank = np.zeros(len(data) + 1, dtype=np.int32)
+        self.rank = np.zeros(size + 1, dtype=np.int32)
         self.rank[self.at[heads]] = np.arange(len(heads))
         self.lo = heads.astype(np.int32)
-        self.hi = np.append(heads[1:], len(self.at))
+        self.hi = np.append(heads[1:], len(self.at)).astype(np.int32)
         # the likeliest edge of a node is tried first; the others follow in a table of running sums
-        owner = np.repeat(np.arange(len(heads)), self.hi - self.lo)
         most = np.maximum.reduceat(p, heads) if len(heads) else p
         best = np.flatnonzero(p == most[owner])
-        self.top = best[np.flatnonzero(np.diff(owner[best], prepend=-1))].astype(np.int32)
-        self.p_top = p[self.top]
-        p[self.top] = 0.0
-        run = np.cumsum(p)
-        base = np.repeat(run[heads] - p[heads], self.hi - self.lo)
-        self.key = owner + np.minimum(run - base, 1.0 - 1e-12)
-
+        best = best[np.flatnonzero(np.diff(owner[best], prepend=-1))]
+        self.top, self.p_top = np.zeros(size + 1, dtype=np.int32), np.ones(size + 1)
+        self.top[self.at[best]], self.p_top[self.at[best]] = best, p[best]
+        p[best] = 0.0
+        # sums of fixed-point numbers are exact, so they don't depend on the words beside
+        run = np.cumsum(np.rint(p * _SHARES).astype(np.int64))
+        base = np.concatenate([[0], run])[heads]
+        self.key = (owner << 41) + (run - base[owner])
 
     @classmethod
     def joined(cls, a: "Lattice", b: "Lattice") -> "Lattice":
         """Both lattices side by side: nodes, edges and node ranks of ``b`` follow those of ``a``."""
         out = cls.__new__(cls)
         nodes, edges, ranks = len(a.beta) - 1, len(a.at), len(a.lo)
-        for name, shift in (("at", nodes), ("next", nodes), ("piece", 0), ("last", 0), ("lp", 0), ("lo", edges), ("hi", edges), ("top", edges), ("p_top", 0), ("key", ranks)):
+        for name, shift in (("at", nodes), ("next", nodes), ("piece", 0), ("last", 0), ("lp", 0), ("lo", edges), ("hi", edges), ("key", ranks << 41)):
             x, y = getattr(a, name), getattr(b, name)
             setattr(out, name, np.concatenate([x, y + x.dtype.type(shift) if shift else y]))
-        out.rank = np.concatenate([a.rank[:-1], b.rank + np.int32(ranks)])
-        out.beta = np.concatenate([a.beta[:-1], b.beta])
+        for name, shift in (("rank", ranks), ("beta", 0), ("top", edges), ("p_top", 0)):
+            x, y = getattr(a, name), getattr(b, name)
+            setattr(out, name, np.concatenate([x[:-1], y + y.dtype.type(shift) if shift else y]))
         return out
 
 
@@ -238,20 +258,19 @@ def _draw(lat: Lattice, node: np.ndarray, token: np.ndarray, shift: np.ndarray,
     count = np.zeros(n, dtype=np.int64)
     steps, live, cur, seed = [], np.arange(n), node, _streamed(seed, stream)
     while len(live):
-        u = _uniform(seed[live], cur + shift[live], None)
-        r = lat.rank[cur]
-        e = lat.top[r]
-        u -= lat.p_top[r]
+        u = _uniform(seed, cur + shift, None)
+        e = lat.top[cur]
+        u -= lat.p_top[cur]
         off = np.flatnonzero(u >= 0)
         if len(off):
-            ro = r[off]
-            x = np.searchsorted(lat.key, ro + u[off], side="right")
+            ro = lat.rank[cur[off]].astype(np.int64)
+            x = np.searchsorted(lat.key, (ro << 41) + (u[off] * _SHARES).astype(np.int64), side="right")
             # rounding may pass the node's last edge: the likeliest stands for it
             e[off] = np.where(x < lat.hi[ro], x, e[off])
         steps.append((live, e))
+        more = np.flatnonzero(~lat.last[e])
         count[live] += 1
-        more = ~lat.last[e]
-        live, cur = live[more], lat.next[e][more]
+        live, cur, seed, shift = live[more], lat.next[e[more]], seed[more], shift[more]
     begin = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), dtype=np.int32)
     for s, (who, e) in enumerate(steps):
@@ -259,14 +278,164 @@ def _draw(lat: Lattice, node: np.ndarray, token: np.ndarray, shift: np.ndarray,
     return out, count
 
 
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions begin[i], begin[i] + 1, ... of ``size[i]`` places for each i, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Paths:
+    """The paths that one draw gave some of the texts: edges and tokens, and where each text's begin."""
+
+    def __init__(self, n: int, rows: np.ndarray, edges: np.ndarray, tokens: np.ndarray, size: np.ndarray):
+        self.edges, self.tokens = edges, tokens
+        self.begin, self.size = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.begin[rows], self.size[rows] = np.cumsum(size) - size, size
+        self.log_prob = np.full(n, -np.inf)
+        # sets that leave the path: arrival (one of each text is infinite and stands for none), edge, and log share before it
+        self.first = np.arange(n)
+        self.times, self.edge, self.before = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n)
+
+    def soonest(self) -> np.ndarray:
+        return np.minimum.reduceat(self.times, self.first)
+
+    def taken(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges, and log shares before them, of the soonest sets of ``rows``, which are gone then."""
+        owner = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.times))))
+        hit = np.flatnonzero(self.times == self.soonest()[owner])
+        at = hit[np.searchsorted(owner[hit], rows)]
+        self.times[at] = np.inf
+        return self.edge[at], self.before[at]
+
+
+class Search:
+    """Perturbed A* over the lattices of some texts together; a row of each array is a text."""
+
+    def __init__(self, lat: Lattice, first: Paths, seeds: np.ndarray, token_end: np.ndarray, root: np.ndarray, shift: np.ndarray, token_seed: np.ndarray, k: int):
+        n = len(seeds)
+        self.lat, self.seeds, self.k, self.n = lat, seeds, k, n
+        self.token_end, self.root, self.shift, self.token_seed = token_end, root, shift, token_seed
+        self.paths = [first]
+        # sets that lost an edge already: arrival, path, place, log share before it and the edges lost
+        self.again = np.full((n, k), np.inf)
+        self.again_of, self.again_at, self.again_before = np.zeros((n, k), dtype=np.int64), np.zeros((n, k), dtype=np.int64), np.zeros((n, k))
+        self.again_lost = np.full((n, k, k + 1), -1, dtype=np.int64)
+        rows = np.arange(n)
+        self._arrive(first, rows, np.zeros(n, dtype=np.int64), np.log(-np.log(_uniform(seeds, np.zeros(n, np.int64), 1))), 2)
+        for j in range(1, k):
+            if not self._next(j):
+                break
+
+    def _arrive(self, p: Paths, rows: np.ndarray, since: np.ndarray, logt: np.ndarray, stream: int) -> None:
+        """Log-probabilities of the paths of ``rows``, and arrivals of their sets from edge ``since`` on."""
+        begin, size = p.begin[rows], p.size[rows]
+        lp = np.maximum(self.lat.lp[p.edges], -1e6)
+        p.log_prob[rows] = np.add.reduceat(lp, begin)
+        # sums of fixed-point numbers are exact, so they don't depend on the texts beside
+        fixed = np.rint(lp * _FIXED).astype(np.int64)
+        ahead = np.cumsum(fixed) - fixed
+        ahead -= np.repeat(ahead[begin], size)
+        col = np.arange(len(lp)) - np.repeat(begin, size)
+        # sets of shares below e^-NEGLIGIBLE in all arrive among the first with a chance below double precision
+        at = np.flatnonzero((ahead > -NEGLIGIBLE * _FIXED) | (col < np.repeat(since + 8 * self.k, size)))
+        owner = np.searchsorted(begin, at, side="right") - 1
+        late = col[at] >= since[owner]
+        at, owner = at[late], owner[late]
+        before = ahead[at] / _FIXED
+        e = np.log(-np.log(_uniform(_streamed(self.seeds[rows], stream)[owner], col[at], None)))
+        times = np.logaddexp(logt[owner], e - before - np.log(-np.expm1(lp[at])))  # infinite where nothing leaves the path
+        count = np.ones(self.n, dtype=np.int64)
+        count[rows] += np.bincount(owner, minlength=len(rows))
+        p.first = np.cumsum(count) - count
+        p.times, p.edge, p.before = np.full(int(count.sum()), np.inf), np.zeros(int(count.sum()), dtype=np.int64), np.zeros(int(count.sum()))
+        to = _ragged(p.first[rows], count[rows] - 1)
+        p.times[to], p.edge[to], p.before[to] = times, col[at], before
+
+    def _next(self, j: int) -> bool:
+        """Pop the set that arrives next of each text and draw its first path."""
+        lat, all_rows = self.lat, np.arange(self.n)
+        ahead = np.stack([p.soonest() for p in self.paths] + [self.again[:, m] for m in range(j - 1)], axis=1)
+        pick = ahead.argmin(axis=1)
+        logt = ahead[all_rows, pick]
+        rows = np.flatnonzero(np.isfinite(logt))
+        if not len(rows):
+            return False
+        pick, logt = pick[rows], logt[rows]
+        of, at, before = pick.copy(), np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+        lost = np.full((len(rows), self.k + 1), -1, dtype=np.int64)
+        for i, p in enumerate(self.paths):
+            own = np.flatnonzero(pick == i)
+            at[own], before[own] = p.taken(rows[own])  # the next of the path's other sets takes its place
+            lost[own, 0] = p.edges[p.begin[rows[own]] + at[own]]
+        own = np.flatnonzero(pick >= j)
+        slot_of = pick[own] - j
+        of[own], at[own], before[own], lost[own] = self.again_of[rows[own], slot_of], self.again_at[rows[own], slot_of], self.again_before[rows[own], slot_of], self.again_lost[rows[own], slot_of]
+        self.again[rows[own], slot_of] = np.inf
+        base = np.cumsum([0, *[len(p.edges) for p in self.paths]])
+        edges, tokens = np.concatenate([p.edges for p in self.paths]), np.concatenate([p.tokens for p in self.paths])
+        begin = base[of] + np.stack([p.begin for p in self.paths])[of, rows]
+        r = lat.rank[lat.at[edges[begin + at]]]
+        lo, hi = lat.lo[r].astype(np.int64), lat.hi[r].astype(np.int64)
+        among = lo[:, None] + np.arange(int((hi - lo).max()))
+        free = (among < hi[:, None]) & ~(among[:, :, None] == lost[:, None, :]).any(axis=2)
+        share = np.where(free, np.exp(lat.lp[np.minimum(among, len(lat.lp) - 1)]), 0.0)
+        whole = share.sum(axis=1)
+        seeds, mark = self.seeds[rows], j * 1_000_003 + at
+        u = _uniform(seeds, mark, 3) * whole
+        last_free = among.shape[1] - 1 - free[:, ::-1].argmax(axis=1)
+        x = np.minimum((np.cumsum(share, axis=1) <= u[:, None]).sum(axis=1), last_free)
+        taken = among[np.arange(len(rows)), x]
+        rest = whole - share[np.arange(len(rows)), x]
+        more = np.flatnonzero((free.sum(axis=1) > 1) & (rest > 0))
+        v = _uniform(seeds[more], mark[more], 4)
+        self.again[rows[more], j - 1] = np.logaddexp(logt[more], np.log(-np.log(v)) - before[more] - np.log(rest[more]))
+        lost[np.arange(len(rows)), (lost >= 0).sum(axis=1)] = taken
+        self.again_of[rows, j - 1], self.again_at[rows, j - 1], self.again_before[rows, j - 1], self.again_lost[rows, j - 1] = of, at, before, lost
+        token = tokens[begin + at].astype(np.int64)
+        through = lat.last[taken]
+        own = token + through
+        m = self.token_end[rows] - own
+        tail = _ragged(own, m)
+        node = self.root[tail]
+        inner = np.flatnonzero(~through)
+        node[(np.cumsum(m) - m)[inner]] = lat.next[taken[inner]]
+        drawn, count = _draw(lat, node, tail, self.shift[tail], self.token_seed[tail], 10 + j)
+        steps = np.concatenate([[0], np.cumsum(count)])
+        cut = np.concatenate([[0], np.cumsum(m)])
+        tail_size = steps[cut[1:]] - steps[cut[:-1]]
+        size = at + 1 + tail_size
+        to = np.cumsum(size) - size
+        new_edges, new_tokens = np.empty(int(size.sum()), dtype=np.int32), np.empty(int(size.sum()), dtype=np.int32)
+        head_to, head_from = _ragged(to, at), _ragged(begin, at)
+        tail_to = _ragged(to + at + 1, tail_size)
+        new_edges[head_to], new_edges[to + at], new_edges[tail_to] = edges[head_from], taken, drawn
+        new_tokens[head_to], new_tokens[to + at], new_tokens[tail_to] = tokens[head_from], token, np.repeat(tail, count)
+        p = Paths(self.n, rows, new_edges, new_tokens, size)
+        self.paths.append(p)
+        self._arrive(p, rows, at + 1, logt, 20 + j)
+        return True
+
+    def found(self):
+        """Text, number from 0, edges, log-probability among all and log inclusion of each path, text by text, and the sizes of the paths."""
+        ahead = np.concatenate([p.soonest()[:, None] for p in self.paths] + [self.again], axis=1).min(axis=1)
+        size = np.stack([p.size for p in self.paths], axis=1)
+        row, j = np.nonzero(size)
+        log_prob = np.stack([p.log_prob for p in self.paths], axis=1)[row, j]
+        base = np.cumsum([0, *[len(p.edges) for p in self.paths]])
+        begin = base[j] + np.stack([p.begin for p in self.paths], axis=1)[row, j]
+        edges = np.concatenate([p.edges for p in self.paths])[_ragged(begin, size[row, j])]
+        x = log_prob + ahead[row]
+        log_in = np.where(x > 4, 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 5.0))))))
+        return row, j, edges, size[row, j], log_prob, log_in
+
+
 def sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int, cache: list | None = None):
-    """``_sample_slice`` with infinite logs and times as plain values."""
-    with np.errstate(divide="ignore", invalid="ignore"):
+    """Of each text up to k samples, in the order of the search: rows of text, number from 1, size, log_prob,
+    log_inclusion, and all ids one after another."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         return _sample_slice(pieces, data, offsets, seeds, k, cache)
 
 
 def _sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int, cache: list | None):
-    """For each text a list of up to k (ids, log_prob, log_inclusion), in the order of the search."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     some = size > 0
@@ -276,7 +445,6 @@ def _sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds:
     body = np.ones(len(grown), dtype=bool)
     body[doc_at[some]] = False
     grown[body] = data
-    doc_end = doc_at + size + some
     space = grown == 0x20
     first = space.copy()
     first[1:] &= ~space[:-1]
@@ -287,112 +455,42 @@ def _sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds:
     tokens[~some] = 0
     doc_of = np.repeat(np.arange(n), tokens)
     token_cut = np.concatenate([[0], np.cumsum(tokens)])
-    results: list[list] = [[] if s else [(np.zeros(0, np.int64), 0.0, 0.0)] for s in some]
-    if not len(start):
-        return results
-    h = range_hash(prefix_hash(grown), start, end)
-    names, which, word, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    length = (end - start)[which]
-    if cache is not None and not cache and (times > 1).any():
-        often = np.flatnonzero(times > 1)
-        lattice, first_node = _words_lattice(pieces, grown, start[which[often]], length[often])
-        cache.append(Known(lattice, names[often], first_node))
-    wbegin = np.zeros(len(names), dtype=np.int64)
-    fresh = np.ones(len(names), dtype=bool)
-    if cache:
-        at = np.minimum(np.searchsorted(cache[0].hashes, names), len(cache[0].hashes) - 1)
-        fresh = cache[0].hashes[at] != names
-        wbegin[~fresh] = cache[0].begin[at[~fresh]]
-    fresh = np.flatnonzero(fresh)
-    lat = cache[0].lattice if cache else None
-    if len(fresh):
-        more, first_node = _words_lattice(pieces, grown, start[which[fresh]], length[fresh])
-        wbegin[fresh] = first_node + (len(lat.beta) - 1 if lat else 0)
-        lat = Lattice.joined(lat, more) if lat else more
-    root = wbegin[word]
-    shift = start - doc_at[doc_of] - root
-    seed = seeds[doc_of]
-    edges, count = _draw(lat, root, np.arange(len(start)), shift, seed, 0)
-    cut = np.concatenate([[0], np.cumsum(count)])
-    docs = np.flatnonzero(some)
-    # per text: paths found (edges, token of each), and the frontier of sets still to arrive
-    paths: dict[int, list] = {d: [] for d in docs.tolist()}
-    front: dict[int, list] = {d: [] for d in docs.tolist()}
-    logt0 = np.log(-np.log(_uniform(seeds, np.zeros(n, np.int64), 1)))
-    total = np.add.reduceat(lat.beta[root], token_cut[:-1][docs])  # log of the sum of all paths' weights
-
-    def arrivals(d: int, path: np.ndarray, tok: np.ndarray, since: int, logt: float, stream: int) -> None:
-        """Add the path of text d; its sets from edge ``since`` on go to the frontier."""
-        lp = lat.lp[path]
-        total_lp = np.cumsum(lp)
-        before = total_lp - lp
-        # sets of shares below e^-NEGLIGIBLE in all arrive among the first with a chance below double precision
-        until = max(since + 8 * k, int(np.count_nonzero(before > -NEGLIGIBLE)))
-        rate = before[since:until] + np.log(-np.expm1(lp[since:until]))
-        e = np.log(-np.log(_uniform(seeds[d: d + 1], np.arange(since, since + len(rate)), stream)))
-        times = np.logaddexp(logt, e - rate)  # infinite where nothing leaves the path
-        paths[d].append((path, tok, float(total_lp[-1]), logt))
-        if len(times):
-            at = int(np.argmin(times))
-            if times[at] < np.inf:
-                heapq.heappush(front[d], (float(times[at]), len(paths[d]) - 1, at + since, (), times, since))
-
-    for d in docs.tolist():
-        a, b = cut[token_cut[d]], cut[token_cut[d + 1]]
-        arrivals(d, edges[a:b], np.repeat(np.arange(token_cut[d], token_cut[d + 1]), count[token_cut[d]: token_cut[d + 1]]), 0, float(logt0[d]), 2)
-
-    for j in range(1, k):
-        jobs, node, token = [], [], []
-        for d in docs.tolist():
-            if not front[d]:
-                continue
-            logt, of, at, banned, times, since = heapq.heappop(front[d])
-            path, tok, _, _ = paths[d][of]
-            if times is not None:  # the next of the path's other sets takes its place
-                times = times.copy()
-                times[at - since] = np.inf
-                if np.isfinite(times.min()):
-                    nxt = int(np.argmin(times))
-                    heapq.heappush(front[d], (float(times[nxt]), of, nxt + since, (), times, since))
-            banned = (*banned, int(path[at])) if times is not None or not banned else banned
-            r = int(lat.rank[lat.at[path[at]]])
-            among = np.array([e for e in range(int(lat.lo[r]), int(lat.hi[r])) if e not in banned], dtype=np.int64)
-            p = np.exp(lat.lp[among])
-            u = float(_uniform(seeds[d: d + 1], np.array([j * 1_000_003 + at]), 3)[0])
-            taken = int(among[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(among) - 1)])
-            rest = p.sum() - np.exp(lat.lp[taken])
-            if len(among) > 1 and rest > 0:
-                before = float(lat.lp[path[:at]].sum())
-                v = float(_uniform(seeds[d: d + 1], np.array([j * 1_000_003 + at]), 4)[0])
-                again = float(np.logaddexp(logt, np.log(-np.log(v)) - before - np.log(rest)))
-                heapq.heappush(front[d], (again, of, at, (*banned, taken), None, since))
-            t = int(tok[at])
-            own = np.arange(t, token_cut[d + 1])
-            starts = root[own].copy()
-            starts[0] = lat.next[taken]
-            if lat.last[taken]:
-                own, starts = own[1:], starts[1:]
-            jobs.append((d, logt, path[:at], tok[:at], taken, t, len(own)))
-            node.append(starts)
-            token.append(own)
-        if not jobs:
-            break
-        node, token = np.concatenate(node), np.concatenate(token)
-        edges, count = _draw(lat, node, token, shift[token], seed[token], 10 + j)
-        done = np.concatenate([[0], np.cumsum(count)])
-        x = 0
-        for d, logt, head, head_tok, taken, t, m in jobs:
-            tail = edges[done[x]: done[x + m]]
-            tail_tok = np.repeat(token[x: x + m], count[x: x + m])
-            arrivals(d, np.concatenate([head, [taken], tail]), np.concatenate([head_tok, [t], tail_tok]), len(head) + 1, logt, 20 + j)
-            x += m
-    for i, d in enumerate(docs.tolist()):
-        log_tau = front[d][0][0] if front[d] else np.inf
-        for path, _, lp, _ in paths[d]:
-            x = lp + log_tau
-            log_in = 0.0 if x == np.inf or x > 4 else (x if x < -30 else float(np.log(-np.expm1(-np.exp(x)))))
-            results[d].append((lat.piece[path], lp + float(total[i]), log_in))
-    return results
+    empty = np.flatnonzero(~some)
+    parts = [(empty, np.zeros(len(empty), np.int64), np.zeros(0, np.int32), np.zeros(len(empty), np.int64), np.zeros(len(empty)), np.zeros(len(empty)))]
+    if len(start):
+        h = range_hash(prefix_hash(grown), start, end)
+        names, which, word, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        length = (end - start)[which]
+        if cache is not None and not cache and (times > 1).any():
+            often = np.flatnonzero(times > 1)
+            lattice, first_node = _words_lattice(pieces, grown, start[which[often]], length[often])
+            cache.append(Known(lattice, names[often], first_node))
+        wbegin = np.zeros(len(names), dtype=np.int64)
+        fresh = np.ones(len(names), dtype=bool)
+        if cache:
+            at = np.minimum(np.searchsorted(cache[0].hashes, names), len(cache[0].hashes) - 1)
+            fresh = cache[0].hashes[at] != names
+            wbegin[~fresh] = cache[0].begin[at[~fresh]]
+        fresh = np.flatnonzero(fresh)
+        lat = cache[0].lattice if cache else None
+        if len(fresh):
+            more, first_node = _words_lattice(pieces, grown, start[which[fresh]], length[fresh])
+            wbegin[fresh] = first_node + (len(lat.beta) - 1 if lat else 0)
+            lat = Lattice.joined(lat, more) if lat else more
+        root = wbegin[word]
+        shift = start - doc_at[doc_of] - root
+        token_seed = seeds[doc_of]
+        edges, count = _draw(lat, root, np.arange(len(start)), shift, token_seed, 0)
+        cut = np.concatenate([[0], np.cumsum(count)])
+        docs = np.flatnonzero(some)
+        total = np.add.reduceat(lat.beta[root], token_cut[:-1][docs])  # log of the sum of all paths' weights
+        begun = Paths(len(docs), np.arange(len(docs)), edges, np.repeat(np.arange(len(start), dtype=np.int32), count), cut[token_cut[docs + 1]] - cut[token_cut[docs]])
+        row, j, ids, sizes, log_prob, log_in = Search(lat, begun, seeds[docs], token_cut[docs + 1], root, shift, token_seed, k).found()
+        parts.append((docs[row], j, lat.piece[ids], sizes, log_prob + total[row], log_in))
+    row, j, ids, sizes, log_prob, log_in = (np.concatenate(x) for x in zip(*parts))
+    begin = np.cumsum(sizes) - sizes
+    order = np.lexsort((j, row))
+    return row[order], j[order] + 1, sizes[order], log_prob[order], log_in[order], ids[_ragged(begin[order], sizes[order])]
 
 
 def _seeds(keys, seed: int) -> np.ndarray:
@@ -407,31 +505,43 @@ def _segmenter(shared, k: int, seed: int, digests: bool):
             seeds = _seeds(b.column("_seed").to_numpy(), seed)
             for lo, hi in slices(offsets, SLICE):
                 part, offs = data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
-                found = sample_slice(pieces, part, offs, seeds[lo:hi], k, cache)
-                row = np.repeat(np.arange(lo, hi), [len(f) for f in found])
-                flat = [x for f in found for x in f]
-                cols = [b.column(0).take(pa.array(row)), pa.array(np.concatenate([np.arange(1, len(f) + 1) for f in found]).astype(np.int32)) if found else pa.array([], pa.int32()),
-                        pa.array([len(x[0]) for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())]
-                names = ["key", "sample", "n_pieces", "log_prob", "log_inclusion"]
+                row, number, sizes, log_prob, log_in, ids = sample_slice(pieces, part, offs, seeds[lo:hi], k, cache)
+                cols = [b.column(0).take(pa.array(row + lo)), pa.array(number.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(log_prob), pa.array(log_in)]
+                names = ["key", "sample", "n_pieces", "log_prob", "log_inclusion", "ids"]
+                cut = np.concatenate([[0], np.cumsum(sizes)])
+                cols.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 if digests:
-                    cols.append(pa.array([f"{xxhash.xxh64_intdigest(x[0].astype(np.int32).tobytes()):016x}" for x in flat], pa.string()))
-                    cols.append(pa.array([pieces.decode(x[0]) == part[offs[r - lo]: offs[r - lo + 1]].tobytes() for r, x in zip(row.tolist(), flat)], pa.bool_()))
+                    raw = np.ascontiguousarray(ids.astype(np.int32)).tobytes()
+                    cols.append(pa.array([f"{xxhash.xxh64_intdigest(raw[4 * a: 4 * z]):016x}" for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.string()))
+                    cols.append(pa.array(_decodes(pieces, ids, sizes, part, offs, row), pa.bool_()))
                     names += ["pieces_hash", "decoded"]
-                else:
-                    cols.append(pa.array([x[0].astype(np.int32) for x in flat], pa.list_(pa.int32())))
-                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        trimmed()
     return run
 
 
+def _decodes(pieces: Pieces, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether the pieces of each path stand for its text, byte by byte."""
+    n = pieces.size[ids]
+    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+    got, wanted = np.diff(ends) - (sizes > 0), np.diff(offsets)[row]
+    same = got == wanted
+    text = pieces.text_of(ids)
+    fit = np.flatnonzero(same & (wanted > 0))
+    equal = text[_ragged(ends[:-1][fit] + 1, wanted[fit])] == data[_ragged(offsets[:-1][row[fit]], wanted[fit])]
+    if len(fit):
+        same[fit] = np.logical_and.reduceat(equal, np.cumsum(wanted[fit]) - wanted[fit])
+    return same
+
+
 def sampled(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, seed: int = SEED, model: str = MODEL,
             alpha: float = ALPHA, digests: bool = False) -> DataFrame:
     """Per row and sample: the key, sample (from 1), n_pieces, log_prob (natural log of the path's weight),
-    log_inclusion, and ids; with ``digests`` in place of ids their hash and whether they decode to the text."""
+    log_inclusion, and ids; with ``digests`` also their hash and whether they decode to the text."""
     rows = documents.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("_seed"), text_or_empty(text).alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(Pieces.load(model, alpha))  # the piece file's size
     kind = rows.schema["key"].dataType.simpleString()
-    tail = "pieces_hash string, decoded boolean" if digests else "ids array<int>"
+    tail = "ids array<int>" + (", pieces_hash string, decoded boolean" if digests else "")
     out = rows.mapInArrow(_segmenter(shared, k, seed, digests), f"key {kind}, sample int, n_pieces int, log_prob double, log_inclusion double, {tail}")
     return out.withColumnRenamed("key", key)
 
@@ -458,7 +568,7 @@ def op10_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of what is left: the query's columns, for the documents kept."""
+    """Sampled segmentations of what is left, as ids of pieces that decode to the texts: the query's columns, for the documents kept."""
     return sampled(docs, digests=True)
 
 

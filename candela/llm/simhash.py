@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import components, local_roots, lowered, mix, scratch, shingle_hashes, slices, stored, text_buffers, text_or_empty, trimmed, word_hashes, words
+from candela.llm.common import components, local_roots, lowered, mix, ordered, scratch, shingle_hashes, slices, stored, text_buffers, text_or_empty, trimmed, word_hashes, words
 
 SEED = 42
 RADIUS = 2
@@ -106,14 +106,14 @@ def word_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np
     h = word_hashes(data, starts, ends)
     n = len(counts)
     row = np.repeat(np.arange(n), counts)
-    order = np.lexsort((h, row))
+    order = ordered(h, row)
     r, x = row[order], h[order]
     new = np.ones(len(x), dtype=bool)
     new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
     fp = majority_bits(x[new], np.bincount(r[new], minlength=n))
     s, per = shingle_hashes(h, counts, k)
     row = np.repeat(np.arange(n), per)
-    order = np.lexsort((s, row))
+    order = ordered(s, row)
     r, x = row[order], s[order]
     new = np.ones(len(x), dtype=bool)
     new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
@@ -286,7 +286,7 @@ def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np
     starts, ends, counts = words(data, offsets)
     s, per = shingle_hashes(word_hashes(data, starts, ends), counts, k)
     row = np.repeat(np.arange(len(per)), per)
-    order = np.lexsort((s, row))
+    order = ordered(s, row)
     r, x = row[order], s[order]
     new = np.ones(len(x), dtype=bool)
     new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
@@ -319,7 +319,7 @@ def prefixes(data: np.ndarray, offsets: np.ndarray, k: int, threshold: float, fr
     if len(frequent) and len(s):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         often = np.where(frequent[at] == s, times[at], 0)
-    order = np.lexsort((s, often, row))
+    order = ordered(s, often, row)
     place = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
     long = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     keep = place < long[row]
@@ -436,8 +436,12 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 def _similar_pairs(k: int, threshold: float):
     def run(batches):
         for b in batches:
-            one, two = _shingle_sets(b.column("text_a"), k), _shingle_sets(b.column("text_b"), k)
-            yield b.select(["a", "b"]).filter(pa.array([similar(x, y, threshold) for x, y in zip(one, two)], pa.bool_()))
+            sides = []
+            for node, text in (("a", "text_a"), ("b", "text_b")):  # a text of many pairs is read once a batch
+                _, first, which = np.unique(b.column(node).to_numpy(), return_index=True, return_inverse=True)
+                sets = _shingle_sets(b.column(text).take(pa.array(first)), k)
+                sides.append([sets[i] for i in which])
+            yield b.select(["a", "b"]).filter(pa.array([similar(x, y, threshold) for x, y in zip(*sides)], pa.bool_()))
     return run
 
 

@@ -299,6 +299,15 @@ def test_segmentation_round_trip(spark, docs, no_docs):
     assert segment.sampled(no_docs).count() == 0
 
 
+def by_text(found, n):
+    """A list of (ids, log_prob, log_inclusion) for each text."""
+    row, _, sizes, log_prob, log_in, ids = found
+    out, cut = [[] for _ in range(n)], np.concatenate([[0], np.cumsum(sizes)])
+    for i, r in enumerate(row.tolist()):
+        out[r].append((ids[cut[i]: cut[i + 1]], log_prob[i], log_in[i]))
+    return out
+
+
 def test_samples_follow_their_weights():
     import pyarrow as pa
 
@@ -317,7 +326,7 @@ def test_samples_follow_their_weights():
     walk(b" tea", 0, [], 0.0)
     z, n = sum(weight.values()), 8000
     data, offsets = text_buffers(pa.array(["tea"] * n))
-    got = segment.sample_slice(p, data, offsets, segment._seeds(np.arange(n), 5), 3)
+    got = by_text(segment.sample_slice(p, data, offsets, segment._seeds(np.arange(n), 5), 3), n)
     firsts, seconds = (collections.Counter(tuple(g[k][0].tolist()) for g in got) for k in (0, 1))
     for s, w in weight.items():
         pr = w / z
