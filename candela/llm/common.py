@@ -26,7 +26,16 @@ _WS[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Here(dict):
+    """Values worked out in this process: a pickled kernel, which takes this module along, leaves them behind."""
+
+    def __reduce__(self):
+        return _Here, ()
+
+
+_POWERS: dict[str, np.ndarray] = _Here()
 
 
 # -- storage -----------------------------------------------------------------

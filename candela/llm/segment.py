@@ -63,8 +63,8 @@ def plain_hash(prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return (prefix[at + n] - prefix[at]) * powers_down(len(prefix))[at]
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return ((h * _GOLD) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+def slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h * _GOLD) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 class Pieces:
@@ -90,12 +90,14 @@ class Pieces:
             order = np.argsort(h)
             h, own = h[order], own[order]
             # by slot: the only piece there, NONE, or SEVERAL
-            which = np.full(1 << TABLE_BITS, NONE, dtype=np.int32)
-            place, count = np.unique(slot(h), return_counts=True)
-            which[slot(h)] = np.arange(len(h))
+            starts = np.unique(plain_hash(prefix, self.start[longer], n))
+            bits = int(min(TABLE_BITS, max(10, np.ceil(np.log2(max(len(h), len(starts), 1))) + 4)))
+            which = np.full(1 << bits, NONE, dtype=np.int32)
+            place, count = np.unique(slot(h, bits), return_counts=True)
+            which[slot(h, bits)] = np.arange(len(h))
             which[place[count > 1]] = SEVERAL
-            on = np.zeros(1 << TABLE_BITS, dtype=bool)
-            on[slot(plain_hash(prefix, self.start[longer], n))] = True
+            on = np.zeros(1 << bits, dtype=bool)
+            on[slot(starts, bits)] = True
             self.tables.append((n, h, own.astype(np.int32), which, on))
 
     @classmethod
@@ -144,7 +146,7 @@ class Lattice:
             if not len(pos):
                 break
             h = plain_hash(prefix, pos, n)
-            place = slot(h)
+            place = slot(h, len(on).bit_length() - 1)
             x = which[place]
             maybe = np.flatnonzero(x != NONE)
             if len(maybe):
