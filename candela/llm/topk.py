@@ -9,8 +9,10 @@ bound is below the k-th best score: no candidate left can enter.
 Queries and candidates meet in a grid of cells, each holding at most about
 QUERY_BLOCK queries and DATA_BLOCK candidates; the k best of each cell are merged per query.
 
-Defined results: vectors that are null or hold null, non-finite or (beyond
-+-2^20 after scaling) oversized components, and rows without an id, take no part; vectors of
+Scores are exact integers: products of doubles where |q||x| stays below 2^52, whole numbers of Python where it does not.  A score or
+component that no long can hold ends in an error.
+
+Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part; vectors of
 different lengths are not compared; a query's own row is every row with its id; repeated
 query rows are one query, repeated candidate rows are candidates each; an empty table
 gives an empty table; other columns are not read, whatever their names.
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 512
+QUERY_BLOCK = 1024
 DATA_BLOCK = 4096
-PIVOTS = 32
+PIVOTS = 16
 #: Vectors (the first by hash of the id) from which the pivots are chosen; results don't depend on them.
 PIVOT_SAMPLE = 2048
 FIRST = 192
@@ -59,7 +61,7 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _table(pivots: np.ndarray):
-    """mapInArrow: (id, q, v list<int>) to (id, q, dim, v binary of int32, d binary of float32)."""
+    """mapInArrow: (id, q, v list<long>) to (id, q, dim, v binary of int64, d binary of float64)."""
     schema = pa.schema([("id", pa.int64()), ("q", pa.bool_()), ("dim", pa.int32()), ("v", pa.binary()), ("d", pa.binary())])
 
     def run(batches):
@@ -67,36 +69,46 @@ def _table(pivots: np.ndarray):
             if not b.num_rows:
                 continue
             lists = b.column("v")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.diff(lists.offsets.to_numpy())
             begins = np.cumsum(sizes) - sizes
             vs, ds = [None] * b.num_rows, [b""] * b.num_rows
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 x = flat[(begins[rows][:, None] + np.arange(size)[None])]
-                d = _distances(x.astype(np.float64), pivots).astype(np.float32)
+                d = _distances(x.astype(np.float64), pivots)
                 for i, r in enumerate(rows):
                     vs[r], ds[r] = x[i].tobytes(), d[i].tobytes()
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("q"), pa.array(sizes.astype(np.int32)), pa.array(vs, pa.binary()), pa.array(ds, pa.binary())], schema=schema)
     return run
 
 
+def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products as whole numbers of any size."""
+    own = q.tolist()
+    return np.array([sum(a * b for a, b in zip(row, own)) for row in x.tolist()], dtype=object)
+
+
 def search_block(qv: np.ndarray, qd: np.ndarray, qid: np.ndarray, xv: np.ndarray, xd: np.ndarray, xid: np.ndarray, k: int):
     """Per query the k best of the block: (query row, candidate row, score), by elimination."""
+    qi, xi, qv, xv = qv, xv, qv.astype(np.float64), xv.astype(np.float64)
     q2, x2 = (qv * qv).sum(axis=1), (xv * xv).sum(axis=1)
     low = np.zeros((len(qv), len(xv)), dtype=np.float32)
+    qf, xf = qd.astype(np.float32), xd.astype(np.float32)
     for p in range(qd.shape[1]):
-        np.maximum(low, np.abs(qd[:, p][:, None] - xd[:, p][None]), out=low)
-    # distances are rounded to float32: their errors are taken off the bound
-    slack = np.float32(1e-3) + np.float32(1e-6) * (qd.max(initial=0.0) + xd.max(initial=0.0))
+        np.maximum(low, np.abs(qf[:, p][:, None] - xf[:, p][None]), out=low)
+    # distances are rounded to float32: their errors are taken off the bound, and those of the squares put on it
+    slack = np.float32(1e-3) + np.float32(1e-6) * (qf.max(initial=0.0) + xf.max(initial=0.0))
     low = np.maximum(low - slack, 0).astype(np.float64)
-    bound = np.floor((q2[:, None] + x2[None] - low * low) / 2 + 1e-6)
+    half = (q2[:, None] + x2[None]) / 2
+    bound = np.floor(half - low * low / 2 + 1e-6 + 1e-12 * half)
+    wide = float(np.sqrt(q2.max(initial=0.0) * x2.max(initial=0.0))) >= float(1 << 52)
     out_q, out_x, out_s = [], [], []
     for i in range(len(qv)):
         ub = bound[i]
         own = xid == qid[i]
         best = np.zeros(0, np.int64)
-        score = np.zeros(0, np.float64)
+        score = np.zeros(0, object if wide else np.float64)
         done, take, order = 0, min(FIRST, len(ub)), None
         while done < len(ub):
             if order is None:
@@ -113,8 +125,8 @@ def search_block(qv: np.ndarray, qd: np.ndarray, qid: np.ndarray, xv: np.ndarray
             part = part[~own[part]]
             if len(part):
                 best = np.concatenate([best, part])
-                score = np.concatenate([score, xv[part] @ qv[i]])
-                first = np.lexsort((xid[best], -score))[:k]
+                score = np.concatenate([score, exact_scores(xi[part], qi[i]) if wide else xv[part] @ qv[i]])
+                first = sorted(range(len(best)), key=lambda j: (-score[j], xid[best[j]]))[:k] if wide else np.lexsort((xid[best], -score))[:k]
                 best, score = best[first], score[first]
             if len(score) >= k and rest < score[k - 1]:
                 break
@@ -140,17 +152,18 @@ def _cell(k: int):
         if not q.num_rows or not x.num_rows:
             return schema.empty_table()
         qid, xid = q.column("id").to_numpy(), x.column("id").to_numpy()
-        a, b, s = search_block(matrix(q, "v", np.int32).astype(np.float64), matrix(q, "d", np.float32), qid,
-                               matrix(x, "v", np.int32).astype(np.float64), matrix(x, "d", np.float32), xid, k)
+        a, b, s = search_block(matrix(q, "v", np.int64), matrix(q, "d", np.float64), qid,
+                               matrix(x, "v", np.int64), matrix(x, "d", np.float64), xid, k)
         return pa.table([qid[a], q.column("qh").to_numpy()[a], xid[b], s], schema=schema)
     return run
 
 
 def scaled(column: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component as int; null where the vector takes no part."""
+    """floor(scale * x) of each component as long; null where the vector takes no part."""
     v = F.transform(column, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    fit = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * F.lit(float(scale))) <= F.lit(float(1 << 20))))
-    return F.when(fit, v.cast("array<int>"))
+    fit = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
+    large = F.exists(column, lambda x: F.abs(x.cast("double") * F.lit(float(scale))) >= F.lit(float(1 << 62)))
+    return F.when(fit, F.when(large, F.raise_error(F.lit("a component is too large for a long"))).otherwise(v).cast("array<long>"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id: str = "vec_id",

@@ -39,6 +39,15 @@ def test_components(spark):
 
 # -- 1 -------------------------------------------------------------------------------------
 
+def test_topk_keeps_large_components(spark):
+    rows = [(0, [20000.0, 1.0]), (1, [20000.0, -1.0]), (2, [3.0, 1.0]), (3, [1e7, 1e7]), (4, [3e7, -2.0 ** -6]), (5, [1e400, 1.0]), (6, None), (7, [1.0, None]), (8, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") >= 0, k=10).collect()
+    v = {i: [math.floor(64 * x) for x in e] for i, e in rows if i < 5}
+    want = {(q, rank, i, s) for q in v for rank, (s, i) in enumerate(sorted(((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)), 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, -r.score) for r in got} == want
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8).round(2)]) for i in range(300)]
