@@ -1,4 +1,7 @@
-"""Kernels over arrays of logits, probabilities and vectors, without leaving generated code."""
+"""Kernels over arrays of logits, probabilities and vectors, as built-in higher-order functions.
+
+A value that every element needs (a maximum, a sum) is bound once, by ``bound``, instead of being worked out anew for each.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,11 @@ from pyspark.sql import functions as F
 TINY = 1e-12
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def doubles(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double"))
 
@@ -22,15 +30,15 @@ def average(a: Column) -> Column:
 
 
 def logsumexp(a: Column) -> Column:
-    m = F.array_max(a)
-    return F.when(F.size(a) > 0, m + F.log(total(F.transform(a, lambda x: F.exp(x - m))))).otherwise(F.lit(float("-inf")))
+    found = bound(F.array_max(a), lambda m: m + F.log(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - m))))
+    return F.when(F.size(a) > 0, found).otherwise(F.lit(float("-inf")))
 
 
 def softmax(a: Column, tau: float = 1.0) -> Column:
-    scaled = F.transform(a, lambda x: x / tau)
-    m = F.array_max(scaled)
-    e = F.transform(scaled, lambda x: F.exp(x - m))
-    return F.transform(e, lambda x: x / total(e))
+    def shares(m: Column) -> Column:
+        e = F.transform(a, lambda x: F.exp((x - m) / tau))
+        return bound(F.struct(e.alias("e"), total(e).alias("s")), lambda b: F.transform(b["e"], lambda x: x / b["s"]))
+    return bound(F.array_max(a), shares)
 
 
 def _safe(x: Column) -> Column:
@@ -75,7 +83,7 @@ def gather(a: Column, idx: Column) -> Column:
 
 
 def renormalised(p: Column) -> Column:
-    return F.transform(p, lambda x: x / F.greatest(total(p), F.lit(TINY)))
+    return bound(F.greatest(total(p), F.lit(TINY)), lambda s: F.transform(p, lambda x: x / s))
 
 
 def top_js(p: Column, q: Column, k: int) -> Column:
@@ -107,7 +115,7 @@ def replaced(seq: Column, targets: Column, mode: str, around: Column | None = No
         value = F.when(F.size(picked) > 0, F.transform(summed, lambda x: x / F.size(picked))).otherwise(zero)
     else:
         value = zero
-    return F.transform(seq, lambda v, i: F.when(F.array_contains(targets, i), value).otherwise(v))
+    return bound(value, lambda own: F.transform(seq, lambda v, i: F.when(F.array_contains(targets, i), own).otherwise(v)))
 
 
 def abs_delta(a: Column, b: Column) -> Column:

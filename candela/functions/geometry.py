@@ -131,10 +131,13 @@ def overlapping_tokens(spans: Column, start: Column, end: Column) -> Column:
 
 
 def token_spans(tokens: Column) -> Column:
-    """Character spans struct(start, end) of tokens written one after another."""
-    n = F.transform(tokens, F.length)
-    ends = F.transform(n, lambda _, i: F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
-    return F.zip_with(ends, n, lambda e, k: F.struct((e - k).alias("start"), e.alias("end")))
+    """Character spans struct(start, end) of tokens written one after another: one pass with a running end."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def grown(s: Column, t: Column) -> Column:
+        end = s["at"] + F.length(t)
+        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), end.alias("end")))).alias("spans"))
+    return F.aggregate(tokens, F.struct(F.lit(0).alias("at"), none.alias("spans")), grown, lambda s: s["spans"])
 
 
 def absolute(ids: Column, relative: Column, image_token: Column) -> Column:

@@ -40,9 +40,3 @@ def sample_std(x: Column) -> Column:
 
 def group_std(x: Column) -> Column:
     return F.stddev_pop(number(x))
-
-
-def upper_median(n: Column) -> Column:
-    """Aggregate: the element at count / 2 of the sorted values, by exact percentile of position."""
-    values = F.array_sort(F.collect_list(n))
-    return F.try_element_at(values, (F.size(values) / 2).cast("int") + 1)

@@ -1,7 +1,6 @@
 """Text parsing and grading of answers, as Column expressions.
 
-Every function takes and returns Columns and stays inside generated code.  Null
-texts count as empty.
+Every function takes and returns Columns of built-in functions.  Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from candela.functions.arrays import bound
+
 # Labels that name a task family.
 FAMILIES = ("counting", "attribute", "spatial", "existence", "other")
 EVIDENCE_FAMILIES = ("counting", "attribute", "spatial")
@@ -124,16 +125,16 @@ def uncertain(x: Column) -> Column:
 
 def yesno_with_source(x: Column) -> Column:
     """struct(label, source): yes, no or other, and what told."""
-    low = strip(F.lower(text(x)))
-    first = first_token(low)
-    yes, no = low.rlike(r"(?iU)\byes\b"), low.rlike(r"(?iU)\bno\b")
-
     def said(label: str, source: str) -> Column:
         return F.struct(F.lit(label).alias("label"), F.lit(source).alias("source"))
 
-    return (F.when(low == "", said("other", "other")).when(first == "yes", said("yes", "first_token")).when(first == "no", said("no", "first_token"))
-            .when(uncertain(low), said("other", "uncertain")).when(yes & ~no, said("yes", "boundary_regex")).when(no & ~yes, said("no", "boundary_regex"))
-            .otherwise(said("other", "other")))
+    def told(low: Column) -> Column:
+        first = first_token(low)
+        yes, no = low.rlike(r"(?iU)\byes\b"), low.rlike(r"(?iU)\bno\b")
+        return (F.when(low == "", said("other", "other")).when(first == "yes", said("yes", "first_token")).when(first == "no", said("no", "first_token"))
+                .when(uncertain(low), said("other", "uncertain")).when(yes & ~no, said("yes", "boundary_regex")).when(no & ~yes, said("no", "boundary_regex"))
+                .otherwise(said("other", "other")))
+    return bound(strip(F.lower(text(x))), told)
 
 
 def yesno(x: Column) -> Column:
@@ -156,8 +157,7 @@ def exact_form(x: Column) -> Column:
 
 
 def exact_match(a: Column, b: Column) -> Column:
-    p, g = exact_form(a), exact_form(b)
-    return F.when((p != "") & (g != "") & (p == g), 1.0).otherwise(0.0)
+    return bound(exact_form(a), lambda p: F.when((p != "") & (p == exact_form(b)), 1.0).otherwise(0.0))
 
 
 def count_exact(x: Column) -> Column:
@@ -172,19 +172,18 @@ def fits_family(answer: Column, family: Column) -> Column:
 
 def slice_decision(question: Column, task_type: Column, gold: Column, allowed: tuple[str, ...] = ("counting", "existence")) -> Column:
     """struct(keep, family, reason): keeps a row whose gold answer fits its family."""
-    fam = task_family(task_type, question)
-    ok = fits_family(gold, fam)
-    reason = (F.when(~fam.isin(*allowed), "family_not_allowed").when(~fam.isin("counting", "existence"), "unsupported_family").when(ok, "ok")
-              .when(fam == "counting", "counting_gt_not_integer").otherwise("existence_gt_not_yesno"))
-    return F.struct((reason == "ok").alias("keep"), fam.alias("family"), reason.alias("reason"))
+    def decided(fam: Column) -> Column:
+        reason = (F.when(~fam.isin(*allowed), "family_not_allowed").when(~fam.isin("counting", "existence"), "unsupported_family").when(fits_family(gold, fam), "ok")
+                  .when(fam == "counting", "counting_gt_not_integer").otherwise("existence_gt_not_yesno"))
+        return F.struct((reason == "ok").alias("keep"), fam.alias("family"), reason.alias("reason"))
+    return bound(task_family(task_type, question), decided)
 
 
 def answer_score(pred: Column, gold: Column, family: Column) -> Column:
     """1.0 or 0.0 by the rule of the family: yes/no, count, or exact match."""
-    p, g = yesno(pred), yesno(gold)
-    yes = F.when(p.isin("yes", "no") & (p == g), 1.0).otherwise(0.0)
+    yes = bound(yesno(pred), lambda p: F.when(p.isin("yes", "no") & (p == yesno(gold)), 1.0).otherwise(0.0))
     count = F.when(count_exact(pred) == count_exact(gold), 1.0).otherwise(0.0)
-    return F.when(family == "existence", yes).when(family == "counting", count).otherwise(exact_match(pred, gold))
+    return bound(family, lambda f: F.when(f == "existence", yes).when(f == "counting", count).otherwise(exact_match(pred, gold)))
 
 
 def dedup_key(x: Column, family: Column) -> Column:
@@ -218,27 +217,30 @@ def subset_either_way(a: Column, b: Column) -> Column:
 
 
 def attribute_match(pred: Column, gold: Column) -> Column:
-    p, g = label_form(pred), label_form(gold)
-    return (p != "") & (g != "") & ((p == g) | subset_either_way(F.split(p, " "), F.split(g, " ")))
+    def near(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        return (p != "") & (g != "") & ((p == g) | subset_either_way(F.split(p, " "), F.split(g, " ")))
+    return bound(F.struct(label_form(pred).alias("p"), label_form(gold).alias("g")), near)
 
 
 def open_ended_correct(task_type: Column, pred: Column, gold: Column) -> Column:
-    fam = task_family(task_type)
-    return (F.when(fam == "counting", F.coalesce(count_label(pred) == count_label(gold), F.lit(False)))
-            .when(fam == "attribute", attribute_match(pred, gold)).otherwise(label_form(pred) == label_form(gold)))
+    return bound(task_family(task_type), lambda fam: F.when(fam == "counting", F.coalesce(count_label(pred) == count_label(gold), F.lit(False)))
+                 .when(fam == "attribute", attribute_match(pred, gold)).otherwise(label_form(pred) == label_form(gold)))
 
 
 def behavior(pred: Column, gold: Column, present: Column, task_type: Column, aliases: Column | None = None) -> Column:
     """correct_positive, correct_negative, miss, hallucination or other."""
-    g, p = strip(F.lower(text(gold))), strip(F.lower(text(pred)))
-    here, yn = F.coalesce(present, F.lit(False)), yesno(p)
-    right = open_ended_correct(task_type, p, g)
-    if aliases is not None:
-        also = F.exists(F.coalesce(aliases, F.array().cast("array<string>")),
-                        lambda a: F.when(task_type == "attribute", attribute_match(p, a)).otherwise(open_ended_correct(task_type, p, a)))
-        right = right | also
-    closed = F.when(yn == "other", "other").when(here, F.when(yn == "yes", "correct_positive").otherwise("miss")).otherwise(F.when(yn == "no", "correct_negative").otherwise("hallucination"))
-    return F.when(F.coalesce(task_type == "existence", F.lit(False)) | (yesno(g) != "other"), closed).when(right, "correct_positive").when(here, "miss").otherwise("hallucination")
+    here = F.coalesce(present, F.lit(False))
+
+    def judged(x: Column) -> Column:
+        p, g, yn = x["p"], x["g"], x["yn"]
+        right = open_ended_correct(task_type, p, g)
+        if aliases is not None:
+            right = right | F.exists(F.coalesce(aliases, F.array().cast("array<string>")),
+                                     lambda a: F.when(task_type == "attribute", attribute_match(p, a)).otherwise(open_ended_correct(task_type, p, a)))
+        closed = F.when(yn == "other", "other").when(here, F.when(yn == "yes", "correct_positive").otherwise("miss")).otherwise(F.when(yn == "no", "correct_negative").otherwise("hallucination"))
+        return F.when(F.coalesce(task_type == "existence", F.lit(False)) | (yesno(g) != "other"), closed).when(right, "correct_positive").when(here, "miss").otherwise("hallucination")
+    return bound(F.struct(strip(F.lower(text(pred))).alias("p"), strip(F.lower(text(gold))).alias("g"), yesno(pred).alias("yn")), judged)
 
 
 def behavior_is_correct(b: Column) -> Column:
@@ -288,9 +290,10 @@ def final_answer(raw_text: Column) -> Column:
     alone and the next line; a first line of evidence and the second; one short line; the last
     short line; the whole text (start is null).
     """
-    raw = strip(raw_text)
-    lines = F.split(raw, r"\r\n|\n|\r")
+    return bound(strip(raw_text), lambda raw: bound(F.split(raw, r"\r\n|\n|\r"), lambda lines: _found(raw, lines)))
 
+
+def _found(raw: Column, lines: Column) -> Column:
     def found(answer: Column, source: Column | str, within: Column) -> Column:
         src = F.lit(source) if isinstance(source, str) else source
         return F.struct(answer.alias("answer"), src.alias("source"), F.when(answer != "", within).cast("int").alias("start"))
@@ -338,7 +341,10 @@ def final_answer(raw_text: Column) -> Column:
 
 
 def answer_prefix(raw_text: Column, found: Column) -> Column:
-    """The text before the answer: cut from the text as it is, at the place in the stripped one."""
+    """The text before the answer: cut from the text as it is, at the place in the stripped one.
+
+    Where the text has space at its start, the cut is early by so much and may fall inside the tag; so it does for those who read it this way.
+    """
     return F.when(found["start"].isNotNull(), F.substr(text(raw_text), F.lit(1), found["start"])).otherwise("")
 
 

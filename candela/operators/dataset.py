@@ -54,21 +54,44 @@ def positive_only(df: DataFrame, column: str = "gt_present") -> DataFrame:
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same for the same seed on any cluster: a top-n by hash, without a full sort."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
-def modulo_shard(df: DataFrame, shards: int, shard: int, order: str) -> DataFrame:
+#: Blocks of keys in which rows are numbered.
+BLOCKS = 1024
+
+
+def ordinals(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
+    """``name``: the place of each row, from 0, by ``order``, a numeric column, whatever gaps it has.
+
+    Rows are numbered within BLOCKS equal ranges of the column and moved by the rows of the ranges before; the table of
+    the ranges' counts is small whatever the input.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    low, width = low or 0, max(1e-9, ((high or 0) - (low or 0) + 1) / BLOCKS)
+    rows = df.withColumn("_block", F.least(F.floor((F.col(order) - F.lit(low)) / F.lit(width)), F.lit(BLOCKS - 1)).cast("int"))
+    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_block", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_n")).alias("_ahead"))
+    at = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    return rows.withColumn("_at", at).join(F.broadcast(ahead), "_block").withColumn(name, F.col("_ahead") + F.col("_at") - 1).drop("_block", "_at", "_ahead")
+
+
+def _in_range(shards: int, shard: int) -> None:
     if not 0 <= shard < shards:
         raise ValueError("shard must be in 0 .. shards - 1")
-    return df.where(F.pmod(F.col(order), F.lit(shards)) == shard)
+
+
+def modulo_shard(df: DataFrame, shards: int, shard: int, order: str) -> DataFrame:
+    """Rows whose place by ``order`` is ``shard`` modulo ``shards``."""
+    _in_range(shards, shard)
+    return ordinals(df, order, "_place").where(F.pmod(F.col("_place"), F.lit(shards)) == shard).drop("_place")
 
 
 def range_shard(df: DataFrame, shards: int, shard: int, order: str) -> DataFrame:
-    """Rows of places [k * ceil(N / n), ...); ``order`` counts from 0 without gaps."""
-    if not 0 <= shard < shards:
-        raise ValueError("shard must be in 0 .. shards - 1")
+    """Rows of places [k * ceil(N / n), ...) by ``order``."""
+    _in_range(shards, shard)
     size = -(-df.count() // shards)
-    return df.where(F.col(order).between(shard * size, (shard + 1) * size - 1))
+    return ordinals(df, order, "_place").where(F.col("_place").between(shard * size, (shard + 1) * size - 1)).drop("_place")
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

@@ -18,7 +18,10 @@ def evidence_margin(interventions: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.when(F.col("kind") == "orig", lp)).alias("o"), F.max(F.when(F.col("kind") == "pos", lp)).alias("p"), F.avg(F.when(F.col("kind") == "neg", lp)).alias("m"),
         F.stddev_pop(F.when(F.col("kind") == "neg", lp)).alias("d"), F.count_if(F.col("kind") == "neg").alias("n_negatives"))
     s_pos = F.col("o") - F.col("p")
-    margin = F.when(F.col("n_negatives") > 0, F.tanh((s_pos - (F.col("o") - F.col("m"))) / (F.col("d") + 1e-6))).otherwise(F.tanh(s_pos))
+    # rounding noise counts as zero: over 1e-6 it would be as large as a margin
+    away = s_pos - (F.col("o") - F.col("m"))
+    away, spread = F.when(F.abs(away) < 1e-12, 0.0).otherwise(away), F.when(F.col("d") < 1e-12, 0.0).otherwise(F.col("d"))
+    margin = F.when(F.col("n_negatives") > 0, F.tanh(away / (spread + 1e-6))).otherwise(F.tanh(s_pos))
     return per.select(*keys, "n_negatives", s_pos.alias("s_pos"), margin.alias("margin"))
 
 
@@ -120,27 +123,26 @@ def sampling_settings(family: Column, slot: Column, attempt: Column, temperature
 
 
 # What is known of each reward.
-# name: (scope, source, family, strategy suffix taken from the name, rerank, verifier, grpo, ground truth, verifier only, training only,
-#        response conditioned, default for training, diagnostic only, excluded because)
+# name: (scope, source, family, whether strategies select by it, its flags, why it is left out of the default pool)
 REGISTRY = {
-    "reward_logits_js": ("candidate", "ced", "counterfactual", 1, 1, 1, 0, 0, 1, 0, 0, 0, 0, None),
-    "reward_logits_cosine_dist": ("candidate", "ced", "counterfactual", 1, 1, 1, 0, 0, 1, 0, 0, 0, 0, None),
-    "reward_layer24_prompt_last_cosine": ("sample_probe", "ced", "probe", 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, "sample_level_probe"),
-    "reward_mix_js_promptlast": ("sample_probe", "derived", "mix", 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, "fake_mix_rank_equivalent_when_probe_constant"),
-    "reward_mix_cosine_promptlast": ("sample_probe", "derived", "mix", 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, "fake_mix_rank_equivalent_when_probe_constant"),
-    "reward_action_logprob_ate": ("candidate", "response_conditioned", "action", 0, 0, 0, 0, 1, 0, 1, 1, 0, 1, "ambiguous_alias_not_for_default_training"),
-    "reward_action_logprob_ate_supervised": ("candidate", "response_conditioned", "action", 1, 0, 0, 1, 1, 0, 1, 1, 0, 0, "label_conditioned_training_reward"),
-    "reward_action_logprob_ate_nolabel": ("candidate", "response_conditioned", "action", 1, 0, 0, 1, 0, 0, 1, 1, 1, 0, "training_reward_not_verifier"),
-    "reward_main_correctness_only": ("candidate", "main_experiment", "task_routed", 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, None),
-    "reward_main_additive_evidence": ("candidate", "main_experiment", "task_routed", 1, 1, 1, 1, 1, 0, 0, 1, 0, 0, None),
-    "reward_main_routed_gated_evidence": ("candidate", "main_experiment", "task_routed", 1, 1, 1, 1, 1, 0, 0, 1, 1, 0, None),
+    "reward_logits_js": ("candidate", "ced", "counterfactual", True, {"rerank_eligible", "verifier_eligible", "verifier_only"}, None),
+    "reward_logits_cosine_dist": ("candidate", "ced", "counterfactual", True, {"rerank_eligible", "verifier_eligible", "verifier_only"}, None),
+    "reward_layer24_prompt_last_cosine": ("sample_probe", "ced", "probe", False, {"diagnostic_only"}, "sample_level_probe"),
+    "reward_mix_js_promptlast": ("sample_probe", "derived", "mix", False, {"diagnostic_only"}, "fake_mix_rank_equivalent_when_probe_constant"),
+    "reward_mix_cosine_promptlast": ("sample_probe", "derived", "mix", False, {"diagnostic_only"}, "fake_mix_rank_equivalent_when_probe_constant"),
+    "reward_action_logprob_ate": ("candidate", "response_conditioned", "action", False, {"uses_ground_truth", "training_only", "response_conditioned", "diagnostic_only"}, "ambiguous_alias_not_for_default_training"),
+    "reward_action_logprob_ate_supervised": ("candidate", "response_conditioned", "action", True, {"grpo_eligible", "uses_ground_truth", "training_only", "response_conditioned"}, "label_conditioned_training_reward"),
+    "reward_action_logprob_ate_nolabel": ("candidate", "response_conditioned", "action", True, {"grpo_eligible", "training_only", "response_conditioned", "default_training_reward"}, "training_reward_not_verifier"),
+    "reward_main_correctness_only": ("candidate", "main_experiment", "task_routed", True, {"rerank_eligible", "verifier_eligible", "grpo_eligible", "uses_ground_truth"}, None),
+    "reward_main_additive_evidence": ("candidate", "main_experiment", "task_routed", True, {"rerank_eligible", "verifier_eligible", "grpo_eligible", "uses_ground_truth", "response_conditioned"}, None),
+    "reward_main_routed_gated_evidence": ("candidate", "main_experiment", "task_routed", True, {"rerank_eligible", "verifier_eligible", "grpo_eligible", "uses_ground_truth", "response_conditioned", "default_training_reward"}, None),
 }
 _FLAGS = ("rerank_eligible", "verifier_eligible", "grpo_eligible", "uses_ground_truth", "verifier_only", "training_only", "response_conditioned", "default_training_reward", "diagnostic_only")
 
 
 def registry(spark: SparkSession, more: dict[str, tuple] | None = None) -> DataFrame:
     """A row per reward; ``more`` registers further ones in the same form."""
-    rows = [(n, r[0], r[1], r[2], f"select_by_{n}" if r[3] else None, *[bool(x) for x in r[4:13]], r[13]) for n, r in {**REGISTRY, **(more or {})}.items()]
+    rows = [(n, r[0], r[1], r[2], f"select_by_{n}" if r[3] else None, *[f in r[4] for f in _FLAGS], r[5]) for n, r in {**REGISTRY, **(more or {})}.items()]
     kinds = ", ".join(f"{f} boolean" for f in _FLAGS)
     return spark.createDataFrame(rows, f"name string, scope string, source string, family string, strategy string, {kinds}, exclude_reason string")
 

@@ -66,7 +66,11 @@ def halves(steps: DataFrame, run: str, step: str, value: str, least: int = 20) -
     w = Window.partitionBy(run)
     ranked = steps.select(run, value, F.row_number().over(w.orderBy(step)).alias("_rn"), F.count("*").over(w).alias("n")).where(F.col("n") >= least)
     early = F.col("_rn") <= F.expr("n div 2")
-    out = ranked.groupBy(run).agg(F.max("n").alias("n"), F.avg(F.when(early, F.col(value))).alias("first_half"), F.avg(F.when(~early, F.col(value))).alias("second_half"))
+
+    def exact_mean(of: Column) -> Column:
+        # a decimal sum doesn't depend on the order of the rows
+        return F.sum(F.when(of, F.col(value).cast("decimal(18,6)"))).cast("double") / F.count_if(of)
+    out = ranked.groupBy(run).agg(F.max("n").alias("n"), exact_mean(early).alias("first_half"), exact_mean(~early).alias("second_half"))
     return out.withColumn("surge", F.col("second_half") > 2 * F.col("first_half"))
 
 

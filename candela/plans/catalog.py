@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.functions import arrays, geometry, style, text
+from candela.functions import arrays, geometry, text
 from candela.operators import audit, checks, dataset, evaluate, groups, rewards, telemetry
 from candela.plans.tables import AUDIT, CAND, STEPS, audit as audit_table, candidates, steps as step_table, table
 
@@ -29,23 +29,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def cells(name: str, inputs: list[tuple], expression: Callable[..., Column], expected: list) -> None:
-    """A query of a function over literal rows; the SQL states the results, worked out by hand."""
-    kinds = {str: "string", int: "bigint", float: "double", bool: "boolean", type(None): "string"}
-    names = [f"x{i}" for i in range(len(inputs[0]))]
-    schema = ", ".join(f"{n} {next((kinds[type(r[i])] for r in inputs if r[i] is not None and not isinstance(r[i], list)), 'array<double>' if any(isinstance(r[i], list) for r in inputs) else 'string')}" for i, n in enumerate(names))
-    rows = [(i, *r) for i, r in enumerate(inputs)]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame(rows, f"id bigint, {schema}").select("id", expression(*[F.col(n) for n in names]).alias("result"))
-
-    def literal(v) -> str:
-        return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else ("true" if v else "false") if isinstance(v, bool) else f"CAST({v} AS {'DOUBLE' if isinstance(v, float) else 'BIGINT'})"
-
-    QUERIES[name] = run
-    ORACLES[name] = "SELECT id, result FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {literal(v)})" for i, v in enumerate(expected)) + ") t(id, result)"
-
-
 # -- groups and strategies ---------------------------------------------------------------
 
 _BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {score} DESC, candidate_id) AS rn FROM cand WHERE {score} IS NOT NULL) WHERE rn = 1)"
@@ -269,17 +252,18 @@ def data_split(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(geometry.data_split(F.col("o_orderkey")).alias("data_split")).groupBy("data_split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 3")
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderkey % 5 <> 2) WHERE place % 7 = 3")
 def modulo_shard(spark, sf_dir):
-    return dataset.modulo_shard(table(spark, sf_dir, "orders").select("o_orderkey"), 7, 3, "o_orderkey")
+    # keys with gaps: shards go by place
+    return dataset.modulo_shard(table(spark, sf_dir, "orders").select("o_orderkey").where("o_orderkey % 5 <> 2"), 7, 3, "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey BETWEEN CAST(ceil((SELECT count(*) FROM customer) / 4) AS BIGINT) AND 2 * CAST(ceil((SELECT count(*) FROM customer) / 4) AS BIGINT) - 1")
+@query("WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place, CAST(ceil(count(*) OVER () / 4) AS BIGINT) AS size FROM customer WHERE c_custkey % 3 <> 1) SELECT c_custkey FROM c WHERE place >= size AND place < 2 * size")
 def range_shard(spark, sf_dir):
-    return dataset.range_shard(table(spark, sf_dir, "customer").select("c_custkey"), 4, 1, "c_custkey")
+    return dataset.range_shard(table(spark, sf_dir, "customer").select("c_custkey").where("c_custkey % 3 <> 1"), 4, 1, "c_custkey")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 50")
 def hash_sample(spark, sf_dir):
     return dataset.hash_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 50, "o_orderkey")
 
@@ -350,7 +334,10 @@ def running_rate(spark, sf_dir):
     return rounded(telemetry.running_rate(step_table(spark, sf_dir), "run", "step", F.col("reward") > 50).select("run", "step", "running_rate"))
 
 
-@query(f"WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS rn, count(*) OVER (PARTITION BY run) AS n FROM steps) SELECT run, max(n) AS n, round(avg(reward) FILTER (rn <= n // 2), 4) AS first_half, round(avg(reward) FILTER (rn > n // 2), 4) AS second_half, avg(reward) FILTER (rn > n // 2) > 2 * avg(reward) FILTER (rn <= n // 2) AS surge FROM r WHERE n >= 20 GROUP BY run")
+_HALF = "CAST(sum(CAST(reward AS DECIMAL(18, 6))) FILTER (rn {op} n // 2) AS DOUBLE) / count(*) FILTER (rn {op} n // 2)"
+
+
+@query(f"WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS rn, count(*) OVER (PARTITION BY run) AS n FROM steps) SELECT run, max(n) AS n, round({_HALF.format(op='<=')}, 4) AS first_half, round({_HALF.format(op='>')}, 4) AS second_half, {_HALF.format(op='>')} > 2 * ({_HALF.format(op='<=')}) AS surge FROM r WHERE n >= 20 GROUP BY run")
 def run_halves(spark, sf_dir):
     return rounded(telemetry.halves(step_table(spark, sf_dir), "run", "step", "reward"), 4)
 
@@ -408,15 +395,11 @@ def margins(spark, sf_dir):
 
 @query(f"""WITH {CAND}, k AS (SELECT *, CASE WHEN candidate_id = 0 THEN 'orig' WHEN candidate_id = 1 THEN 'pos' ELSE 'neg' END AS kind, -score_ties AS lp FROM cand),
 a AS (SELECT sample_id, max(lp) FILTER (kind = 'orig') - max(lp) FILTER (kind = 'pos') AS s, max(lp) FILTER (kind = 'orig') - avg(lp) FILTER (kind = 'neg') AS m, stddev_pop(lp) FILTER (kind = 'neg') AS d, count(*) FILTER (kind = 'neg') AS n FROM k GROUP BY 1)
-SELECT sample_id, n AS n_negatives, round(s, 6) + 0.0 AS s_pos, CASE WHEN n = 1 OR d < 1e-12 THEN CAST(NULL AS DOUBLE) ELSE round(CASE WHEN n > 0 THEN tanh((s - m) / (d + 1e-6)) ELSE tanh(s) END, 5) + 0.0 END AS margin FROM a""")
+SELECT sample_id, n AS n_negatives, round(s, 6) + 0.0 AS s_pos, round(CASE WHEN n = 0 THEN tanh(s) WHEN abs(s - m) < 1e-12 THEN 0 ELSE tanh((s - m) / (CASE WHEN d < 1e-12 THEN 0 ELSE d END + 1e-6)) END, 5) + 0.0 AS margin FROM a""")
 def evidence_margin(spark, sf_dir):
-    c = candidates(spark, sf_dir)
     kind = F.when(F.col("candidate_id") == 0, "orig").when(F.col("candidate_id") == 1, "pos").otherwise("neg")
-    i = c.select("sample_id", kind.alias("kind"), (-F.col("score_ties")).alias("mean_logprob"))
-    flat = i.where("kind = 'neg'").groupBy("sample_id").agg(F.stddev_pop("mean_logprob").alias("d"))
-    out = rewards.evidence_margin(i, ["sample_id"]).join(flat, "sample_id", "left")
-    # with one negative, or equal ones, a rounding of 1e-16 over 1e-6 is left out of the comparison
-    return out.select("sample_id", "n_negatives", (F.round("s_pos", 6) + 0.0).alias("s_pos"), F.when((F.col("n_negatives") != 1) & ~(F.coalesce("d", F.lit(1.0)) < 1e-12), F.round("margin", 5) + 0.0).alias("margin"))
+    i = candidates(spark, sf_dir).select("sample_id", kind.alias("kind"), (-F.col("score_ties")).alias("mean_logprob"))
+    return rewards.evidence_margin(i, ["sample_id"]).select("sample_id", "n_negatives", (F.round("s_pos", 6) + 0.0).alias("s_pos"), (F.round("margin", 5) + 0.0).alias("margin"))
 
 
 @query(f"""WITH {CAND}, r AS (SELECT sample_id, candidate_id, task, CASE WHEN correct THEN 1.0 ELSE -0.25 END AS c, tanh(score_ties) AS m FROM cand)
@@ -475,55 +458,3 @@ def other_in_group(spark, sf_dir):
     there = o.select(F.col("o_orderkey").alias("other"), F.col("o_custkey").alias("c2"), F.col("o_orderstatus").alias("s2"))
     return (o.join(other, "o_orderkey", "left").join(there, "other", "left")
             .select("o_orderkey", "o_orderstatus", F.coalesce((F.col("c2") == F.col("o_custkey")) & (F.col("s2") != F.col("o_orderstatus")), F.lit(False)).alias("found")))
-
-
-@query("SELECT p_partkey, 1 + 2 AS regions, round(0.2 * 0.2, 6) AS area_fraction FROM part")
-def intervention_proposals(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit(0.0), F.lit(0.0), F.lit(20.0), F.lit(20.0)).alias("bbox"), F.lit(100).alias("w"), F.lit(100).alias("h"))
-    r = checks.proposals(p, "p_partkey", "bbox", "w", "h", 2)
-    return rounded(r.groupBy("p_partkey").agg(F.count("*").cast("int").alias("regions"), F.max("area_fraction").alias("area_fraction")))
-
-
-@query("SELECT conv_id, turn, length(regexp_replace(trim(text), '[ ]+', ' ', 'g')) AS n FROM conversations WHERE text = replace(replace(text, chr(10), ' '), chr(9), ' ')")
-def normal_text(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[\n\t]"))
-    return c.select("conv_id", "turn", F.length(text.norm(F.col("text"))).cast("bigint").alias("n"))
-
-
-# -- text functions over literal rows -----------------------------------------------------------------------------------
-
-_YN = [("Yes.",), ("no, it is not",), ("Not sure, yes",), ("I think yes",), ("yes and no",), ("",), ("maybe",), ("the the the",), ("I cannot determine.",), ("well, no",)]
-cells("yesno", _YN, text.yesno, ["yes", "no", "other", "yes", "yes", "other", "other", "other", "other", "no"])
-cells("yesno_source", _YN, lambda x: text.yesno_with_source(x)["source"], ["first_token", "first_token", "uncertain", "boundary_regex", "first_token", "other", "uncertain", "other", "uncertain", "boundary_regex"])
-_FA = [("Evidence: a dog\nFinal answer: two dogs",), ("answer: 3",), ("Final answer:\nblue",), ("Evidence: x\nred",), ("a cat",), ("one two three four five six seven eight nine ten eleven twelve thirteen",), ("long line of many words that goes on and on and on here\n- item",), ("final answer: `a b`",), ("  padded  ",), ("",)]
-cells("final_answer", _FA, lambda x: text.final_answer(x)["answer"], ["two dogs", "3", "blue", "red", "a cat", "one two three four five six seven eight nine ten eleven twelve thirteen", "item", "a b", "padded", ""])
-cells("final_answer_source", _FA, lambda x: text.final_answer(x)["source"], ["structured_tag", "answer_tag", "structured_tag", "two_line_evidence", "single_line_short", "fallback_raw", "last_short_line", "structured_tag", "single_line_short", "fallback_raw"])
-cells("answer_prefix", [("Evidence: a dog\nFinal answer: two dogs",), ("  answer: 3",), ("",)], lambda x: text.answer_prefix(x, text.final_answer(x)), ["Evidence: a dog\nFinal answer: ", "  answer", ""])
-cells("exact_form", [("Three dogs!",), ("03",), ("-5",), ("eleven  Dogs",), ("",), ("It's 007.",)], text.exact_form, ["3 dogs", "3", "5", "11 dogs", "", "it s 7"])
-cells("count_exact", [("three",), ("03",), ("-5",), ("eleven dogs",), ("about 7",), ("none",)], lambda x: text.count_exact(x).cast("bigint"), [3, 3, 5, 11, 7, None])
-cells("count_label", [("three",), ("03",), ("eleven dogs",), ("about 7",), ("none",), ("two cats",)], lambda x: text.count_label(x).cast("bigint"), [3, 3, None, 7, None, 2])
-cells("label_form", [("the Bikes",), ("cell phone",), ("glass",), ("A sofa",), ("",)], text.label_form, ["bicycle", "cell phone", "glas", "couch", ""])
-cells("attribute_match", [("small dog", "dog"), ("Bicycles", "bicycle"), ("the sofa", "couch"), ("red", "blue"), ("", "x")], text.attribute_match, [True, True, True, False, False])
-cells("task_family", [("count_exclusion", ""), ("discount", ""), ("interaction", ""), ("Location", ""), ("", "How many cats?"), ("", "Is it red?"), ("", "Where is it?"), ("", "What color is it?"), ("", "Name it"), ("zzz", "How many?")], lambda t, q: text.task_family(t, q), ["counting", "counting", "attribute", "spatial", "counting", "existence", "spatial", "attribute", "other", "other"])
-cells("answer_score", [("three", "3", "counting"), ("Yes", "yes.", "existence"), ("Red!", "red", "attribute"), ("no", "yes", "existence"), ("", "", "other")], text.answer_score, [1.0, 1.0, 1.0, 0.0, 0.0])
-cells("behavior", [("yes", "yes", True, "existence"), ("no", "yes", False, "existence"), ("no", "yes", True, "existence"), ("yes", "no", False, "existence"), ("hm", "yes", True, "existence"), ("small dog", "dog", True, "attribute"), ("cat", "dog", True, "attribute"), ("cat", "dog", False, "other")], text.behavior,
-      ["correct_positive", "correct_negative", "miss", "hallucination", "other", "correct_positive", "miss", "hallucination"])
-cells("dedup_key", [("Yes!", "existence"), ("there are -3 of", "counting"), ("A  b", "other"), ("", "counting")], text.dedup_key, ["yes", "-3", "a b", ""])
-cells("slice_decision", [("How many?", "", "three"), ("How many?", "", "some"), ("Is it?", "", "no"), ("Where?", "", "left")], lambda q, t, g: text.slice_decision(q, t, g)["reason"], ["ok", "counting_gt_not_integer", "ok", "family_not_allowed"])
-cells("repetition_rate", [("the the the",), ("yes no yes no",), ("one",), ("a b c",)], text.repetition_rate, [0.5, round(1 - 2 / 3, 16), 0.0, 0.0])
-cells("placeholder", [("<answer only>",), ("n/a",), ("",), ("cat",), ("[bbox]",)], style.placeholder, [True, True, True, False, True])
-
-
-def _penalty(a, r, t):
-    return F.round(style.style_penalty(style.style_features(a, r, t, F.lit(False))), 6)
-
-
-_ST = [("cat", "Evidence: ...\nFinal answer: cat", "attribute"), ("can't tell", "can't tell", "existence"), ("n/a", "n/a", "counting"), ("two", "two", "counting"), ("", "Evidence:\nFinal answer: <x>", "spatial")]
-cells("style_penalty", _ST, _penalty, [0.08, 0.1, 0.25, 0.0, 0.35])
-cells("style_veto", _ST, lambda a, r, t: style.style_features(a, r, t, F.lit(False))["veto_reason"], ["", "", "abstention_like", "", "placeholder_answer"])
-cells("to_bool", [("true",), ("Yes",), ("0",), ("maybe",), ("2",)], dataset.to_bool, [True, True, False, None, True])
-_BX = [([0.0, 0.0, 10.0, 10.0], [5.0, 5.0, 10.0, 10.0]), ([0.0, 0.0, 2.0, 2.0], [5.0, 5.0, 1.0, 1.0]), ([1.0, 1.0, 4.0, 4.0], [1.0, 1.0, 4.0, 4.0])]
-cells("box_iou", _BX, lambda a, b: F.round(geometry.iou(a, b), 6), [round(25 / 175, 6), 0.0, 1.0])
-cells("box_tokens", [([0.0, 0.0, 50.0, 50.0],), ([10.0, 10.0, 1.0, 1.0],), ([0.0, 0.0, 100.0, 100.0],), ([0.0, 0.0, 0.0, 5.0],)], lambda b: F.array_join(geometry.box_tokens(b, F.lit(100), F.lit(100), F.lit(4), F.lit(4), F.lit(4)).cast("array<string>"), ","), ["0", "0", "0,1,2,3", ""])
-cells("ring_tokens", [(0,), (5,), (99,)], lambda t: F.array_join(geometry.ring_tokens(F.array(t.cast("int")), F.lit(16), F.lit(4), F.lit(4), F.lit(1), 1)["tokens"].cast("array<string>"), ","),
-      ["1,4,5", "0,1,2,4,6,8,9,10", "0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,15"])
