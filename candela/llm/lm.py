@@ -8,7 +8,7 @@ All counts are over every training token.  What is clustered are units: the WORD
 most frequent words each alone, and all other words by their spelling (last bytes, first
 byte, length) in SPELLINGS units, so that every word, seen or not, has a class.  The unit
 bigrams form a table of bounded size; the exchange runs on it on the driver: each
-unit in turn moves to the class that gains most likelihood, in SWEEPS sweeps.
+unit in turn moves to the class that gains most likelihood, until a sweep moves hardly any.
 
 Word counts are kept by 64-bit hashes of the words, in hash buckets.  Words with at
 least 1 / FREQUENT of all tokens (so at most FREQUENT words) are broadcast with their counts; for the
@@ -25,21 +25,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import lowered, mix, slices, stored, text_buffers, text_or_empty, word_hashes, words
+from candela.llm.common import lowered, mix, slices, stored, text_buffers, text_or_empty, trimmed, word_hashes, words
 
 CLASSES = 64
-WORDS = 1024
+WORDS = 4096
 SPELLINGS = 1024
-SWEEPS = 3
+#: Sweeps of the exchange at most, and the share of units that moved below which it has settled.
+SWEEPS = 30
+SETTLED = 0.001
 FREQUENT = 1 << 20
 #: Pseudo-count of the classes' own shares in a transition.
 BACKOFF = 100.0
 #: Word types that one bucket of the counts holds, about.
 BUCKET_TYPES = 1_000_000
+#: Bytes of text whose tokens one bucket looks up, about.
+BUCKET_BYTES = 64 << 20
 _LOW = np.uint64(SPELLINGS - 1)
 #: The end token: an id that no hash gets, as its spelling unit is its own.
 END = np.uint64(0xFFFFFFFFFFFFFC00)
@@ -164,7 +169,7 @@ def _pairs(shared):
     """Unit bigrams of a task, summed, in blocks of _ROWS first units."""
     def run(batches):
         top = shared.value
-        dense = np.zeros(UNITS * UNITS, dtype=np.int64)
+        dense = np.zeros(UNITS * UNITS, dtype=np.int32)  # a task's counts
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
             for lo, hi in slices(offsets):
@@ -173,12 +178,13 @@ def _pairs(shared):
                 before = np.empty_like(unit)
                 before[1:] = unit[:-1]  # an end precedes the first word of the next text
                 before[0] = UNITS - 1
-                dense += np.bincount(before * UNITS + unit, minlength=len(dense))
+                at, n = np.unique(before * UNITS + unit, return_counts=True)
+                dense[at] += n.astype(np.int32)
         for block in range(-(-UNITS // _ROWS)):
             part = dense[block * _ROWS * UNITS: (block + 1) * _ROWS * UNITS]
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["block", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([part[at].astype(np.int64).tobytes()], pa.binary())], names=["block", "at", "n"])
     return run
 
 
@@ -190,7 +196,17 @@ def _sum_pairs(batches):
             dense[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(n.as_py(), np.int64)
     for block, dense in held.items():
         at = np.flatnonzero(dense)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([dense[at].tobytes()], pa.binary())], names=["block", "at", "n"])
+        # what the driver gets is packed
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_pack(np.diff(at, prepend=0).astype(np.int32).tobytes())], pa.binary()), pa.array([_pack(dense[at].tobytes())], pa.binary())], names=["block", "at", "n"])
+    trimmed()
+
+
+def _pack(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x)
+
+
+def _unpack(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -200,7 +216,7 @@ def _f(x: np.ndarray) -> np.ndarray:
 def exchange(m: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Classes of the units from their bigram counts; the last unit, the end, is class 0 and alone."""
     size = len(m)
-    m = m.astype(np.float64)
+    m = m.astype(np.float64, copy=False)
     count = m.sum(axis=0)
     order = np.argsort(-count[:-1], kind="stable")
     cls = np.zeros(size, dtype=np.int64)
@@ -244,7 +260,7 @@ def exchange(m: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
                 left[:, b] += m[u]
                 cls[u] = b
                 moved += 1
-        if not moved:
+        if moved <= SETTLED * size:
             break
     return cls
 
@@ -396,9 +412,9 @@ def learn(train: DataFrame, n_bytes: int) -> tuple[Model, DataFrame, int, int]:
     unit_tokens[UNITS - 1], unit_types[UNITS - 1] = n[ids == END].sum(), (ids == END).sum()
     shared = spark.sparkContext.broadcast(ids[top])
     found = (train.mapInArrow(_pairs(shared), "block int, at binary, n binary").repartition("block").mapInArrow(_sum_pairs, "block int, at binary, n binary")).collect()  # UNITS x UNITS counts
-    pairs = np.zeros(UNITS * UNITS, dtype=np.int64)
+    pairs = np.zeros(UNITS * UNITS)
     for r in found:
-        pairs[r.block * _ROWS * UNITS + np.frombuffer(r.at, np.int32).astype(np.int64)] += np.frombuffer(r.n, np.int64)
+        pairs[r.block * _ROWS * UNITS + np.cumsum(_unpack(r.at, np.int32), dtype=np.int64)] += _unpack(r.n, np.int64)
     pairs = pairs.reshape(UNITS, UNITS)
     return Model(ids[top], exchange(pairs), pairs, unit_tokens, unit_types, ids, n), counts, tokens, types
 
@@ -410,7 +426,9 @@ def score_texts(documents: DataFrame, held_out: Column, doc_id: str = "doc_id",
     train = rows.where(~F.col("held_out")).select("text")
     n_bytes = int(train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     model, counts, tokens, types = learn(train, n_bytes)
-    buckets = max(8, -(-types // BUCKET_TYPES))
+    # by types for the counts, and by bytes for the tokens that come to be looked up
+    whole = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    buckets = max(8, -(-types // BUCKET_TYPES), -(-whole // BUCKET_BYTES))
     asked = rows.mapInArrow(_ask(spark.sparkContext.broadcast(model), buckets), "bucket int, kind int, chunk long, ids binary, rows binary, doc_id array<long>, held_out array<boolean>, sums binary")
     known = (counts.mapInArrow(_rebucket(buckets), "bucket int, ids binary, counts binary").repartition(buckets, "bucket").mapInArrow(_joined, "bucket int, ids binary, counts binary")
              .select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "ids", F.col("counts").alias("rows"), F.lit(None).cast("array<long>").alias("doc_id"), F.lit(None).cast("array<boolean>").alias("held_out"), F.lit(None).cast("binary").alias("sums")))

@@ -256,7 +256,7 @@ def test_near_duplicates(spark, docs, no_docs):
 
 
 def test_large_candidate_groups_go_through_rounds(spark, docs, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP", 3)
+    monkeypatch.setattr(simhash, "NEIGHBOURS", (1,))
     base = [f"v{i}" for i in range(300)]
     rows = [doc(i, " ".join(w if j != 7 * i else f"new{i}" for j, w in enumerate(base))) for i in range(12)]
     kept = simhash.stage_near_duplicates(spark, spark.createDataFrame(rows, docs.schema).coalesce(1), "").collect()
