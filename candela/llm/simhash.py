@@ -419,11 +419,14 @@ def _cell_pairs(threshold: float, first: int, last: int | None):
 
 def _shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     data, offsets = text_buffers(texts)
-    data = lowered(data)
-    starts, ends, counts = words(data, offsets)
-    s, per = shingle_hashes(word_hashes(data, starts, ends), counts, k)
-    cut = np.concatenate([[0], np.cumsum(per)])
-    return [np.unique(s[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    out: list[np.ndarray] = []
+    for lo, hi in slices(offsets):
+        part = lowered(data[offsets[lo]: offsets[hi]])
+        starts, ends, counts = words(part, offsets[lo: hi + 1] - offsets[lo])
+        s, per = shingle_hashes(word_hashes(part, starts, ends), counts, k)
+        cut = np.concatenate([[0], np.cumsum(per)])
+        out += [np.unique(s[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
