@@ -135,12 +135,16 @@ def balanced_draws(df: DataFrame, family: str, key: str, epochs: int, seed: int
 
 
 def stratified_choice(df: DataFrame, family: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, as even over the families as their sizes allow: shares first, then a top-up in hash order."""
+    """n rows, as even over the families as their sizes allow: shares first, then a top-up in hash order; ``key`` is unique.
+
+    No family is sorted as a whole: its share is a limit per group, and the top-up comes from the first rows by hash.
+    """
     h = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(family).orderBy(h, key)))
-    families = df.select(family).distinct().count() or 1
+    turns = df.select(family).distinct().withColumn("_turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(family)))  # a row per family
+    families = turns.count() or 1
     base, extra = divmod(n, families)
-    turns = df.select(family).distinct().withColumn("_turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(family)))
-    ranked = ranked.join(F.broadcast(turns), family)
-    quota = F.lit(base) + (F.col("_turn") <= extra).cast("int")
-    return ranked.orderBy((F.col("_rank") > quota).cast("int"), h, key).limit(n).drop("_rank", "_turn")
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(family).orderBy(h, key))).where(F.col("_rank") <= base + 1)
+    shares = ranked.join(F.broadcast(turns), family).where(F.col("_rank") <= base + (F.col("_turn") <= extra).cast("int")).select(*df.columns, F.lit(0).alias("_over"))
+    first = df.orderBy(h, key).limit(2 * n + families).select(*df.columns, F.lit(1).alias("_over"))
+    more = first.join(shares.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+    return shares.unionByName(more).orderBy("_over", h, key).limit(n).drop("_over")

@@ -337,9 +337,9 @@ def running_rate(spark, sf_dir):
 _HALF = "CAST(sum(CAST(reward AS DECIMAL(18, 6))) FILTER (rn {op} n // 2) AS DOUBLE) / count(*) FILTER (rn {op} n // 2)"
 
 
-@query(f"WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS rn, count(*) OVER (PARTITION BY run) AS n FROM steps) SELECT run, max(n) AS n, round({_HALF.format(op='<=')}, 4) AS first_half, round({_HALF.format(op='>')}, 4) AS second_half, {_HALF.format(op='>')} > 2 * ({_HALF.format(op='<=')}) AS surge FROM r WHERE n >= 20 GROUP BY run")
+@query(f"WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS rn, count(*) OVER (PARTITION BY run) AS n FROM steps) SELECT run, max(n) AS n, round({_HALF.format(op='<=')}, 9) AS first_half, round({_HALF.format(op='>')}, 9) AS second_half, {_HALF.format(op='>')} > 2 * ({_HALF.format(op='<=')}) AS surge FROM r WHERE n >= 20 GROUP BY run")
 def run_halves(spark, sf_dir):
-    return rounded(telemetry.halves(step_table(spark, sf_dir), "run", "step", "reward"), 4)
+    return rounded(telemetry.halves(step_table(spark, sf_dir), "run", "step", "reward"), 9)
 
 
 @query(f"WITH {STEPS} SELECT family, CASE WHEN avg(reward) > 0 THEN ['reward_surge'] ELSE [] END AS issues, NOT avg(reward) > 0 AS ok FROM steps GROUP BY 1")
