@@ -184,6 +184,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, counts
 
 
+def pieces(data: np.ndarray, limit: int):
+    """Ends of pieces of about ``limit`` bytes of one text; a piece ends before white space or with the text."""
+    at = 0
+    while at < len(data):
+        end, step = min(at + limit, len(data)), 4096
+        while end < len(data):  # on to the end of the word
+            gap = np.flatnonzero(_WS[data[end: end + step]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end, step = min(end + step, len(data)), 2 * step
+        yield at, end
+        at = end
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, SLICE_BYTES + 1)
@@ -259,6 +274,34 @@ def ordered(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, limit: int = SLICE_BYTES):
+    """Per portion of rows (lo, hi): hashes of each row's distinct k-word shingles, ascending, and the number of them; A-Z count as a-z.
+
+    A text beyond ``limit`` bytes is read in pieces: what it takes at a time are its words' hashes and its set.
+    """
+    for lo, hi in slices(offsets, limit):
+        part, cut = data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
+        if len(part) > limit:
+            hashes = []
+            for a, b in pieces(part, limit):
+                piece = lowered(part[a:b])
+                hashes.append(word_hashes(piece, *words(piece, np.array([0, b - a]))[:2]))
+            hashes, step = np.concatenate(hashes), max(k, limit // 4)
+            sets = [np.unique(shingle_hashes(hashes[at: at + step + k - 1], np.array([len(hashes[at: at + step + k - 1])]), k)[0]) for at in range(0, max(1, len(hashes) - k + 1), step)]
+            out = np.unique(np.concatenate(sets))
+            yield lo, hi, out, np.array([len(out)])
+            continue
+        part = lowered(part)
+        starts, ends, counts = words(part, cut)
+        s, per = shingle_hashes(word_hashes(part, starts, ends), counts, k)
+        row = np.repeat(np.arange(hi - lo), per)
+        order = ordered(s, row)
+        r, x = row[order], s[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
+        yield lo, hi, x[new], np.bincount(r[new], minlength=hi - lo)
+
+
 def pack_rows(values: np.ndarray, counts: np.ndarray):
     """Arrow list array with ``counts[i]`` of the values in row i."""
     offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import SLICE_BYTES, ordered, slices, text_buffers, text_or_empty, trimmed, word_hashes, words
+from candela.llm.common import SLICE_BYTES, ordered, pieces, slices, text_buffers, text_or_empty, trimmed, word_hashes, words
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
@@ -88,21 +88,6 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row:
     return np.bincount(r[new], minlength=n_rows), order[new]
 
 
-def _pieces(data: np.ndarray, limit: int):
-    """Ends of pieces of about ``limit`` bytes of one text; a piece ends before white space or with the text."""
-    at = 0
-    while at < len(data):
-        end, step = min(at + limit, len(data)), 4096
-        while end < len(data):  # on to the end of the word
-            gap = np.flatnonzero(np.isin(data[end: end + step], (9, 10, 11, 12, 13, 32)))
-            if len(gap):
-                end += int(gap[0])
-                break
-            end, step = min(end + step, len(data)), 2 * step
-        yield at, end
-        at = end
-
-
 def text_counts(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES, hashed=word_hashes) -> np.ndarray:
     """Words, distinct words, capitals, symbols and code points of each row, as five rows."""
     out = np.zeros((5, len(offsets) - 1), dtype=np.int64)
@@ -114,7 +99,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES,
             out[1, lo:hi] = distinct_words(part, starts, ends, np.repeat(np.arange(hi - lo), n), hi - lo, hashed)[0]
             continue
         kept_s, kept_e = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for a, b in _pieces(part, limit):
+        for a, b in pieces(part, limit):
             piece, whole = part[a:b], np.array([0, b - a])
             starts, ends, n = words(piece, whole)
             out[0, lo] += n[0]
