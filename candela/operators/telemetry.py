@@ -35,11 +35,28 @@ def area_correlation(details: DataFrame, area: str, reward: str) -> DataFrame:
     return details.agg(pearson(F.col(area), F.col(reward)).alias("correlation"))
 
 
-def trailing(steps: DataFrame, run: str, step: str, columns: list[str], rows: int = 10, every: int = 10) -> DataFrame:
-    """Means over the last ``rows`` steps, at every ``every``-th step of a run."""
+def trailing(steps: DataFrame, run: str, step: str, columns: list[str], rows: int = 10, every: int = 10, also: list[str] = ()) -> DataFrame:
+    """Means over the last ``rows`` steps, at every ``every``-th step of a run; with ``also``, these columns and ``place``, the number of the step in its run."""
     w = Window.partitionBy(run).orderBy(step).rowsBetween(1 - rows, 0)
     at = F.row_number().over(Window.partitionBy(run).orderBy(step))
-    return steps.select(run, step, at.alias("_at"), F.count("*").over(w).alias("n"), *[F.avg(F.col(c).cast("double")).over(w).alias(f"trailing_{c}") for c in columns]).where(F.col("_at") % every == 0).drop("_at")
+    return steps.select(run, step, *also, at.alias("place"), F.count("*").over(w).alias("n"), *[F.avg(F.col(c).cast("double")).over(w).alias(f"trailing_{c}") for c in columns]).where(F.col("place") % every == 0).drop(*[] if also else ["place"])
+
+
+# Warnings of the trailing report: flag, share of the last steps, whether the share itself warns; steps in a row without gradient.
+TRAILING_RULES = (("IDENTICAL", "identical", 0.8, True), ("VAR_FALLBACK", "fallback", 0.5, False), ("TEXT_REPEAT", "text_same", 0.5, False))
+ZERO_GRADIENT = 10
+
+
+def trailing_report(steps: DataFrame, run: str, step: str, means: list[str], flags: list[str], streak: str, rows: int = 10, every: int = 10) -> DataFrame:
+    """``trailing`` with counts of flags, the steps in a row at which the flag ``streak`` holds, and warnings by TRAILING_RULES and ZERO_GRADIENT."""
+    marked = streaks(steps, run, step, F.col(streak))
+    columns = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in means] + [F.coalesce(F.col(f), F.lit(False)).cast("int").alias(f) for f in flags]
+    last = trailing(marked.select(run, step, F.col("streak").alias("_streak"), *columns), run, step, [*means, *flags], rows, every, also=["_streak"])
+    counts = {f: F.round(F.col(f"trailing_{f}") * F.col("n")).cast("long") for f in flags}
+    n = F.col("n")
+    found = [F.when(counts[flag] >= share * n if at_least else counts[flag] > share * n, name) for name, flag, share, at_least in TRAILING_RULES if flag in counts]
+    warnings = F.array_compact(F.array(*found, F.when(F.col("_streak") >= ZERO_GRADIENT, "ZERO_GRAD"), F.lit(None).cast("string")))
+    return last.select(run, step, "place", "n", *[f"trailing_{m}" for m in means], *[c.alias(f"n_{f}") for f, c in counts.items()], F.col("_streak").alias("streak"), warnings.alias("warnings"))
 
 
 def streaks(steps: DataFrame, run: str, step: str, flag: Column) -> DataFrame:
