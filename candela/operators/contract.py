@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions import arrays, geometry, style, text as tx
 from candela.functions.stats import finite
 from candela.operators import dataset, groups
+from candela.operators.ranges import mixed, numbered
 
 # Core reward fields of each backend.
 LEGACY_FIELDS = ("reward_logits_js", "reward_logits_cosine_dist", "reward_layer24_prompt_last_cosine", "reward_mix_js_promptlast", "reward_mix_cosine_promptlast")
@@ -232,36 +233,13 @@ def zipped(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def bucket_draws(df: DataFrame, family: str, key: str, draws: DataFrame, seed: int = 42) -> DataFrame:
-    """(draw, family, key): for each ``draw`` a family by hash, then one of its rows by hash; with replacement.
-
-    Rows are numbered by (family, key hash) blocks, so a family of a third of all rows is never sorted in one task.
-    """
-    blocks = 1024
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(blocks)).cast("int")
-    rows = df.where(F.col(family).isNotNull()).select(F.col(family).alias("family"), F.col(key).alias("key"), h.alias("block"))
-    sizes = rows.groupBy("family", "block").agg(F.count("*").alias("n"))  # at most 1024 a family
-    ahead = sizes.withColumns({"ahead": F.sum("n").over(_until("family", "block")) - F.col("n"), "size": F.sum("n").over(_whole("family"))})
-    numbered = rows.withColumn("at", F.row_number().over(_by(["family", "block"], "key"))).join(F.broadcast(ahead.drop("n")), ["family", "block"]).select("family", "key", (F.col("ahead") + F.col("at") - 1).alias("row"))
-    named = sizes.groupBy("family").agg(F.sum("n").alias("size")).withColumn("turn", F.row_number().over(_by([F.lit(0)], "family")) - 1)  # a row per family
+    """(draw, family, key): for each ``draw``, a number, a family and then one of its rows, both by arithmetic of seed and draw; with replacement."""
+    rows = numbered(df.where(F.col(family).isNotNull()).select(F.col(family).alias("family"), F.col(key).alias("key")), "family", "key", "row")
+    named = rows.groupBy("family").agg(F.count("*").alias("size")).withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("family")) - 1)  # a row per family
     count = named.agg(F.count("*").alias("families"))
-    pick = draws.select("draw").join(F.broadcast(count)).withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "draw", F.lit("family")), F.col("families")).cast("int"))
-    pick = pick.join(F.broadcast(named), "turn").withColumn("row", F.pmod(F.xxhash64(F.lit(seed), "draw", F.lit("row")), F.col("size")))
-    return pick.select("draw", "family", "row").join(numbered, ["family", "row"]).select("draw", "family", "key")
-
-
-def _by(keys, order):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys).orderBy(order)
-
-
-def _until(key: str, order: str):
-    from pyspark.sql import Window
-    return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _whole(key: str):
-    from pyspark.sql import Window
-    return Window.partitionBy(key)
+    pick = draws.select("draw").join(F.broadcast(count)).where("families > 0").withColumn("turn", (mixed(seed, F.col("draw"), 1) % F.col("families")).cast("int"))
+    pick = pick.join(F.broadcast(named), "turn").withColumn("row", mixed(seed, F.col("draw"), 2) % F.col("size"))
+    return pick.select("draw", "family", "row").join(rows, ["family", "row"]).select("draw", "family", "key")
 
 
 # -- boxes to compare with --------------------------------------------------------------------

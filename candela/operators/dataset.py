@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.geometry import box, data_split
 from candela.functions.text import strip, task_family, text
+from candela.operators.ranges import ROWS, mixed, numbered, ordinals, permuted
 
 
 def to_bool(x: Column) -> Column:
@@ -57,25 +58,6 @@ def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
-#: Blocks of keys in which rows are numbered.
-BLOCKS = 1024
-
-
-def ordinals(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
-    """``name``: the place of each row, from 0, by ``order``, a numeric column, whatever gaps it has.
-
-    Rows are numbered within BLOCKS equal ranges of the column and moved by the rows of the ranges before; the table of
-    the ranges' counts is small whatever the input.
-    """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    low, width = low or 0, max(1e-9, ((high or 0) - (low or 0) + 1) / BLOCKS)
-    rows = df.withColumn("_block", F.least(F.floor((F.col(order) - F.lit(low)) / F.lit(width)), F.lit(BLOCKS - 1)).cast("int"))
-    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"))
-    ahead = sizes.select("_block", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_n")).alias("_ahead"))
-    at = F.row_number().over(Window.partitionBy("_block").orderBy(order))
-    return rows.withColumn("_at", at).join(F.broadcast(ahead), "_block").withColumn(name, F.col("_ahead") + F.col("_at") - 1).drop("_block", "_at", "_ahead")
-
-
 def _in_range(shards: int, shard: int) -> None:
     if not 0 <= shard < shards:
         raise ValueError("shard must be in 0 .. shards - 1")
@@ -117,21 +99,21 @@ def train_budget(df: DataFrame, family: str, epochs: float) -> DataFrame:
     return out.select("families", "min_family_size", size.alias("balanced_epoch_size"), F.ceil(F.lit(float(epochs)) * size).alias("effective_steps"), (F.ceil(F.lit(float(epochs)) * size) / F.col("rows")).alias("coverage"))
 
 
-def balanced_draws(df: DataFrame, family: str, key: str, epochs: int, seed: int = 42) -> DataFrame:
+def balanced_draws(df: DataFrame, family: str, key: str, epochs: int, seed: int = 42, rows_of_block: int = ROWS) -> DataFrame:
     """(step, family, key): families take turns, each without replacement; a family that is used up is shuffled anew.
 
-    Draw n of a family is its row n mod size in the order of cycle n div size, and comes at step n * families + turn.
+    Draw n of a family comes at step n * families + turn and is the row at place n mod size of the permutation of cycle n div size, which is
+    worked out by arithmetic: the draws are a range of numbers, joined to the rows by their number in the family, and no family is sorted.
     """
-    rows = df.where(F.col(family).isNotNull()).select(F.col(family).alias("family"), F.col(key).alias("key"))
+    spark = df.sparkSession
+    rows = numbered(df.where(F.col(family).isNotNull()).select(F.col(family).alias("family"), F.col(key).alias("key")), "family", "key", "row", rows_of_block)
     sizes = rows.groupBy("family").agg(F.count("*").alias("size"))  # a row per family
     turns = sizes.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("family")) - 1)
     whole = sizes.agg(F.min("size").alias("least"), F.count("*").alias("families")).first()
-    draws = (whole.least or 0) * epochs
-    turns = turns.withColumn("cycles", F.ceil(F.lit(draws) / F.col("size")))
-    dealt = rows.join(F.broadcast(turns), "family").where("cycles > 0").withColumn("cycle", F.explode(F.sequence(F.lit(0), F.col("cycles").cast("int") - 1)))
-    place = F.row_number().over(Window.partitionBy("family", "cycle").orderBy(F.xxhash64(F.lit(seed), "cycle", F.col("key").cast("string")), "key")) - 1
-    n = F.col("cycle") * F.col("size") + F.col("place")
-    return dealt.withColumn("place", place).withColumn("n", n).where(F.col("n") < draws).select((F.col("n") * whole.families + F.col("turn")).alias("step"), "family", "key")
+    draws = spark.range((whole.least or 0) * epochs * whole.families).select(F.col("id").alias("step"), (F.col("id") % F.lit(max(1, whole.families))).cast("int").alias("turn"), F.expr(f"id div {max(1, whole.families)}").alias("n"))
+    drawn = draws.join(F.broadcast(turns), "turn").withColumns({"cycle": F.expr("n div size"), "place": F.col("n") % F.col("size")}).withColumn("own", mixed(seed, F.col("turn"), F.col("cycle")))
+    drawn = drawn.select("step", "family", permuted(F.col("place"), F.col("size"), F.col("own")).alias("row"))
+    return drawn.join(rows, ["family", "row"]).select("step", "family", "key")
 
 
 def stratified_choice(df: DataFrame, family: str, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -1,12 +1,13 @@
-"""Step logs: rates over runs, trailing windows, streaks, halves, verdicts. Windows are within a run."""
+"""Step logs: rates over runs, trailing windows, streaks, halves, verdicts. A run of any length is scanned in blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela.functions.stats import pearson, rate
 from candela.functions.text import norm
+from candela.operators.scans import scanned, trailing_rows
 
 
 def diagnostics(steps: DataFrame, by: list[str], flags: list[str], means: list[str]) -> DataFrame:
@@ -35,11 +36,11 @@ def area_correlation(details: DataFrame, area: str, reward: str) -> DataFrame:
     return details.agg(pearson(F.col(area), F.col(reward)).alias("correlation"))
 
 
-def trailing(steps: DataFrame, run: str, step: str, columns: list[str], rows: int = 10, every: int = 10, also: list[str] = ()) -> DataFrame:
+def trailing(steps: DataFrame, run: str, step: str, columns: list[str], rows: int = 10, every: int = 10, also: list[str] = (), blocks: int | None = None) -> DataFrame:
     """Means over the last ``rows`` steps, at every ``every``-th step of a run; with ``also``, these columns and ``place``, the number of the step in its run."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(1 - rows, 0)
-    at = F.row_number().over(Window.partitionBy(run).orderBy(step))
-    return steps.select(run, step, *also, at.alias("place"), F.count("*").over(w).alias("n"), *[F.avg(F.col(c).cast("double")).over(w).alias(f"trailing_{c}") for c in columns]).where(F.col("place") % every == 0).drop(*[] if also else ["place"])
+    last = trailing_rows(scanned(steps, run, step, blocks=blocks), run, {"n": F.count("*"), **{f"trailing_{c}": F.avg(F.col(c).cast("double")) for c in columns}}, rows)
+    out = last.where(F.col("_place") % every == 0).withColumnRenamed("_place", "place")
+    return out.select(run, step, *also, *(["place"] if also else []), "n", *[f"trailing_{c}" for c in columns])
 
 
 # Warnings of the trailing report: flag, share of the last steps, whether the share itself warns; steps in a row without gradient.
@@ -51,43 +52,38 @@ def trailing_report(steps: DataFrame, run: str, step: str, means: list[str], fla
     """``trailing`` with counts of flags, the steps in a row at which the flag ``streak`` holds, and warnings by TRAILING_RULES and ZERO_GRADIENT."""
     marked = streaks(steps, run, step, F.col(streak))
     columns = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in means] + [F.coalesce(F.col(f), F.lit(False)).cast("int").alias(f) for f in flags]
-    last = trailing(marked.select(run, step, F.col("streak").alias("_streak"), *columns), run, step, [*means, *flags], rows, every, also=["_streak"])
+    last = trailing(marked.select(run, step, F.col("streak").alias("_in_a_row"), *columns), run, step, [*means, *flags], rows, every, also=["_in_a_row"])
     counts = {f: F.round(F.col(f"trailing_{f}") * F.col("n")).cast("long") for f in flags}
     n = F.col("n")
     found = [F.when(counts[flag] >= share * n if at_least else counts[flag] > share * n, name) for name, flag, share, at_least in TRAILING_RULES if flag in counts]
-    warnings = F.array_compact(F.array(*found, F.when(F.col("_streak") >= ZERO_GRADIENT, "ZERO_GRAD"), F.lit(None).cast("string")))
-    return last.select(run, step, "place", "n", *[f"trailing_{m}" for m in means], *[c.alias(f"n_{f}") for f, c in counts.items()], F.col("_streak").alias("streak"), warnings.alias("warnings"))
+    warnings = F.array_compact(F.array(*found, F.when(F.col("_in_a_row") >= ZERO_GRADIENT, "ZERO_GRAD"), F.lit(None).cast("string")))
+    return last.select(run, step, "place", "n", *[f"trailing_{m}" for m in means], *[c.alias(f"n_{f}") for f, c in counts.items()], F.col("_in_a_row").alias("streak"), warnings.alias("warnings"))
 
 
-def streaks(steps: DataFrame, run: str, step: str, flag: Column) -> DataFrame:
+def streaks(steps: DataFrame, run: str, step: str, flag: Column, blocks: int | None = None) -> DataFrame:
     """``streak``: number of steps in a row, up to this one, at which the flag holds."""
-    on = F.coalesce(flag, F.lit(False))
-    marked = steps.withColumn("_on", on).withColumn("_island", F.sum((~on).cast("int")).over(Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy(run, "_island").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("streak", F.sum(F.col("_on").cast("int")).over(w)).drop("_on", "_island")
+    return scanned(steps, run, step, flag, blocks).select(*steps.columns, F.col("_streak").alias("streak"))
 
 
-def longest_streaks(steps: DataFrame, run: str, step: str, flag: Column, stop_at: int) -> DataFrame:
+def longest_streaks(steps: DataFrame, run: str, step: str, flag: Column, stop_at: int, blocks: int | None = None) -> DataFrame:
     """Per run: longest streak, and the first step at which it reached ``stop_at``."""
-    s = streaks(steps, run, step, flag)
+    s = streaks(steps, run, step, flag, blocks)
     return s.groupBy(run).agg(F.max("streak").alias("longest"), F.min(F.when(F.col("streak") >= stop_at, F.col(step))).alias("stop_step"))
 
 
-def running_rate(steps: DataFrame, run: str, step: str, flag: Column) -> DataFrame:
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("running_rate", F.avg(F.coalesce(flag, F.lit(False)).cast("int")).over(w))
+def running_rate(steps: DataFrame, run: str, step: str, flag: Column, blocks: int | None = None) -> DataFrame:
+    return scanned(steps, run, step, flag, blocks).select(*steps.columns, (F.col("_count") / F.col("_place")).alias("running_rate"))
 
 
-def halves(steps: DataFrame, run: str, step: str, value: str, least: int = 20) -> DataFrame:
+def halves(steps: DataFrame, run: str, step: str, value: str, least: int = 20, blocks: int | None = None) -> DataFrame:
     """Per run of ``least`` steps: mean of the first n div 2 steps and of the others, and whether the latter doubled."""
-    w = Window.partitionBy(run)
-    ranked = steps.select(run, value, F.row_number().over(w.orderBy(step)).alias("_rn"), F.count("*").over(w).alias("n")).where(F.col("n") >= least)
-    early = F.col("_rn") <= F.expr("n div 2")
+    ranked = scanned(steps.select(run, step, value), run, step, blocks=blocks).where(F.col("_n") >= least)
+    early = F.col("_place") <= F.expr("_n div 2")
 
     def exact_mean(of: Column) -> Column:
         # a decimal sum doesn't depend on the order of the rows
         return F.sum(F.when(of, F.col(value).cast("decimal(18,6)"))).cast("double") / F.count_if(of)
-    out = ranked.groupBy(run).agg(F.max("n").alias("n"), exact_mean(early).alias("first_half"), exact_mean(~early).alias("second_half"))
+    out = ranked.groupBy(run).agg(F.max("_n").alias("n"), exact_mean(early).alias("first_half"), exact_mean(~early).alias("second_half"))
     return out.withColumn("surge", F.col("second_half") > 2 * F.col("first_half"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candela.functions import arrays, geometry, text
 from candela.operators import audit, checks, dataset, evaluate, groups, rewards, telemetry
+from candela.operators.ranges import mixed_sql, permuted_sql
 from candela.plans.tables import AUDIT, CAND, STEPS, audit as audit_table, candidates, steps as step_table, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,10 +289,15 @@ def train_budget(spark, sf_dir):
     return rounded(dataset.train_budget(table(spark, sf_dir, "customer"), "c_mktsegment", 1.5))
 
 
-@query("WITH s AS (SELECT c_mktsegment AS family, count(*) AS n FROM customer GROUP BY 1), m AS (SELECT min(n) AS m FROM s) SELECT family, 2 * m AS draws, CAST(least(n, 2 * m) AS BIGINT) AS different FROM s, m")
+FAMILIES = """r AS (SELECT c_mktsegment AS family, c_custkey AS key, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS row FROM customer),
+s AS (SELECT family, count(*) AS size, row_number() OVER (ORDER BY family) - 1 AS turn FROM r GROUP BY family), m AS (SELECT min(size) AS least, count(*) AS families FROM s)"""
+
+
+@query(f"""WITH {FAMILIES}, d AS (SELECT step, family, size, turn, step // families // size AS cycle, step // families % size AS place FROM (SELECT unnest(range(least * families * 3)) AS step, families FROM m) JOIN s ON turn = step % families),
+o AS (SELECT *, {mixed_sql(42, "turn", "cycle")} AS own FROM d), p AS (SELECT step, family, {permuted_sql("place", "size", "own")} AS row FROM o)
+SELECT step, family, key FROM p JOIN r USING (family, row)""")
 def balanced_draws(spark, sf_dir):
-    drawn = dataset.balanced_draws(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 2)
-    return drawn.groupBy("family").agg(F.count_distinct("step").alias("draws"), F.count_distinct("key").alias("different"))
+    return dataset.balanced_draws(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 3)
 
 
 @query("WITH f AS (SELECT count(DISTINCT c_mktsegment) AS k FROM customer) SELECT c_mktsegment, CAST(23 // k + CASE WHEN row_number() OVER (ORDER BY c_mktsegment) <= 23 % k THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT DISTINCT c_mktsegment FROM customer), f")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from candela.functions import arrays
 from candela.operators import audit, checks, contract, dataset, evaluate, groups, rewards, telemetry
-from candela.plans.catalog import SCORES, query, rounded
+from candela.operators.ranges import mixed_sql
+from candela.plans.catalog import FAMILIES, SCORES, query, rounded
 from candela.plans.tables import AUDIT, CAND, STEPS, audit as audit_table, candidates, steps as step_table, table
 from candela.sources import files
 
@@ -87,12 +88,10 @@ def zipped_arrays(spark, sf_dir):
     return contract.zipped(p, ["p_partkey"], ["word", "score"]).select("p_partkey", F.col("place").cast("long").alias("place"), "word", "score")
 
 
-@query("SELECT 100 AS draws, 1.0::DOUBLE AS of_its_family")
+@query(f"""WITH {FAMILIES}, d AS (SELECT o_orderkey AS draw, {mixed_sql(42, "o_orderkey", 1)} % families AS turn FROM orders, m)
+SELECT draw, r.family, key FROM d JOIN s USING (turn) JOIN r ON r.family = s.family AND r.row = {mixed_sql(42, "draw", 2)} % size""")
 def bucket_draws(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    d = contract.bucket_draws(c, "c_mktsegment", "c_custkey", spark.range(100).withColumnRenamed("id", "draw"))
-    own = c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
-    return d.join(own, "key").agg(F.count_distinct("draw").cast("int").alias("draws"), F.avg((F.col("segment") == F.col("family")).cast("int")).alias("of_its_family"))
+    return contract.bucket_draws(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("draw")))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) AS place FROM orders ORDER BY 2 LIMIT 20")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from candela.functions.text import strip
+from candela.sources.shared import written
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str, strict: bool = True, missing_ok: bool = True) -> DataFrame:
@@ -33,10 +34,14 @@ def read_jsonl_audited(spark: SparkSession, path: str, schema: str) -> tuple[Dat
 def read_document(spark: SparkSession, path: str, schema: str) -> dict | None:
     """One JSON document as a dict; None where it is missing or can't be parsed."""
     try:
-        row = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).first()
-    except Exception:  # a sidecar never stops a run
+        row = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if row is None or row["_corrupt_record"] is not None:
         return None
-    return row.asDict(recursive=True) if row else None
+    return {k: v for k, v in row.asDict(recursive=True).items() if k != "_corrupt_record"}
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -51,17 +56,81 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def merge_jsonl(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Rows of all shards that are there, with ``shard``, the place of each in the list, for order."""
-    out = None
-    for i, p in enumerate(paths):
-        part = read_jsonl(spark, p, schema).withColumn("shard", F.lit(i))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("no paths")
+#: Blocks of input up to which their table is broadcast (a block is some 128 MB of input); more are joined by shuffle.
+BLOCK_ROWS = 1_000_000
+
+
+def _shard_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(file, shard, its place in the shard) of all shards that are there; files of a folder go by name."""
+    out = []
+    for shard, path in enumerate(paths):
+        try:
+            found = spark.read.text(path).inputFiles()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
+        out += [(f, shard, i) for i, f in enumerate(sorted(found))]
     return out
 
 
+def ordered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(shard, line, ordinal, value) of the lines that are not blank: the path's place in the list, the line's number in it from 1
+    (blank ones count), and its number from 0 among all lines that are not blank, in the order of the list.
+
+    Nothing is sorted: rows are numbered where they are read, a first pass counts the lines of each block of a file, and the sums
+    over the blocks before give where each block's numbers begin. Missing paths are left out; a path named twice is read twice.
+    """
+    if not paths:
+        raise ValueError("no paths")
+    listed = _shard_files(spark, paths)
+    if not listed:
+        return spark.createDataFrame([], "shard int, line long, ordinal long, value string")
+    # local files are named with one or with three strokes
+    files = spark.createDataFrame([(re.sub("^file:/+", "file:/", f), shard, i) for f, shard, i in listed], "_file string, shard int, _place int")  # a row for each file that the driver has listed
+    blank = strip(F.col("value")) == ""
+    read = spark.read.text(sorted({f for f, _, _ in listed})).select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    read = read.withColumn("_row", F.monotonically_increasing_id())
+    w = Window.partitionBy("_task").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = read.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_lines"), F.count_if(~blank).alias("_kept"))
+    # a task numbers the lines it keeps over all its blocks
+    blocks = blocks.withColumn("_task", F.shiftright("_first", 33)).withColumn("_first_kept", F.shiftleft("_task", 33) + F.coalesce(F.sum("_kept").over(w), F.lit(0)))
+    before = Window.partitionBy("shard").orderBy("_place", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = written(blocks.join(F.broadcast(files), "_file").select("_file", "_block", "_first", "_first_kept", "_kept", "shard", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_line"), F.coalesce(F.sum("_kept").over(before), F.lit(0)).alias("_ordinal")), "blocks")
+    total, begins, at = {r.shard: r.n for r in blocks.groupBy("shard").agg(F.sum("_kept").alias("n")).collect()}, [], 0  # a row for each path
+    for shard in range(len(paths)):
+        begins.append((shard, at))
+        at += total.get(shard, 0)
+    blocks = blocks.join(F.broadcast(spark.createDataFrame(begins, "shard int, _begin long")), "shard")
+    kept = read.where(~blank).withColumn("_nth", F.monotonically_increasing_id())
+    few = blocks.count() <= BLOCK_ROWS
+    return (kept.join(F.broadcast(blocks) if few else blocks, ["_file", "_block"])
+            .select("shard", (F.col("_row") - F.col("_first") + F.col("_line") + 1).alias("line"), (F.col("_nth") - F.col("_first_kept") + F.col("_ordinal") + F.col("_begin")).alias("ordinal"), "value"))
+
+
+def merge_jsonl(spark: SparkSession, paths: list[str], schema: str, strict: bool = True) -> DataFrame:
+    """Records of all shards that are there with shard, line and ordinal of ``ordered_lines``. Strict: a bad line raises when it is read; else it is left out, and its numbers with it."""
+    fields = StructType.fromDDL(schema).fieldNames()
+    if {f.lower() for f in fields} & {"shard", "line", "ordinal"}:
+        raise ValueError("records may have no field of the name shard, line or ordinal")
+    if strict:
+        parsed = ordered_lines(spark, paths).withColumn("_r", F.from_json("value", schema, {"mode": "FAILFAST"}))
+    else:
+        parsed = ordered_lines(spark, paths).withColumn("_r", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})).where("_r._corrupt_record is null")
+    return parsed.select("shard", "line", "ordinal", *[F.col(f"_r.`{f}`").alias(f) for f in fields])
+
+
+def write_merged(lines: DataFrame, path: str) -> None:
+    """``ordered_lines`` as files of text whose names follow the order of their lines."""
+    lines.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("value").write.mode("overwrite").text(path)
+
+
+def first_wins(records: DataFrame, key: list[str]) -> DataFrame:
+    """Of records with equal keys the one that comes first; one aggregate, combined before it shuffles."""
+    rest = [c for c in records.columns if c not in key]
+    return records.groupBy(*key).agg(F.min_by(F.struct(*rest), "ordinal").alias("_r")).select(*key, "_r.*")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, md5) of each file."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.md5("content").alias("md5"))

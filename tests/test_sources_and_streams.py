@@ -52,3 +52,50 @@ def test_streams(spark, tmp_path):
     for q in spark.streams.active:
         q.stop()
     assert spark.read.json(str(tmp_path / "copy")).count() == 3
+
+
+def test_ordered_lines_over_blocks_of_files(spark, tmp_path):
+    made = {}
+    for name, n in (("a", 400), ("b", 3), ("c", 150)):
+        made[name] = [json.dumps({"a": i, "t": name * (i % 40)}) if i % 7 else " \t" * (i % 3) for i in range(n)]
+        (tmp_path / name).write_text(("\r\n" if name == "b" else "\n").join(made[name]))
+    (tmp_path / "folder").mkdir()
+    for i, part in enumerate((made["a"][:90], made["a"][90:])):
+        (tmp_path / "folder" / f"part-{i}").write_text("\n".join(part) + "\n")
+    (tmp_path / "empty").write_text("")
+    paths = [str(tmp_path / n) for n in ("a", "none", "b", "a", "empty", "folder", "c")]
+    want, at = [], 0
+    for shard, name in enumerate(("a", None, "b", "a", None, "a", "c")):
+        for line, value in enumerate(made.get(name, []), 1):
+            if value.strip():
+                want.append((shard, line, at, value))
+                at += 1
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size, cost in (("700", "0"), ("5000", "900"), ("1g", "4m")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            assert sorted(tuple(r) for r in files.ordered_lines(spark, paths).select("shard", "line", "ordinal", "value").collect()) == want
+            first = files.first_wins(files.merge_jsonl(spark, paths, "a long, t string"), ["a"]).orderBy("a").collect()
+            assert [(r.a, r.shard) for r in first] == [(i, 0) for i in range(400) if i % 7]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    files.write_merged(files.ordered_lines(spark, paths), str(tmp_path / "out"))
+    assert [r[0] for r in files.ordered_lines(spark, [str(tmp_path / "out")]).orderBy("ordinal").select("value").collect()] == [w[3] for w in want]
+
+
+def test_merged_records_strict_and_lenient(spark, tmp_path):
+    p, q = lines(tmp_path / "a.jsonl", [{"a": 1}, "", "{bad", {"a": 2}]), lines(tmp_path / "b.jsonl", [{"a": 3}])
+    with pytest.raises(Exception):
+        files.merge_jsonl(spark, [p, q], "a long").collect()
+    got = files.merge_jsonl(spark, [p, q], "a long", strict=False).orderBy("ordinal").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 0, 1), (0, 4, 2, 2), (1, 1, 3, 3)]
+    assert files.ordered_lines(spark, [str(tmp_path / "none")]).collect() == []
+    with pytest.raises(ValueError):
+        files.merge_jsonl(spark, [p], "Line long")
+    bad = tmp_path / "doc.json"
+    bad.write_text("{ no")
+    assert files.read_document(spark, str(bad), "a long") is None
+    bad.write_text('{"a": 5}')
+    assert files.read_document(spark, str(bad), "a long") == {"a": 5}
