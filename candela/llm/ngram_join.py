@@ -14,6 +14,9 @@ long lists dealt into parts at random, anew in each round; then all that is stil
 largest component meet only those of others, which go to every part of it, and these others meet in a grid of parts; so no task holds a long list, and a
 large group of copies is not compared pair by pair.  Links are checked on the sets of both texts; components are taken in Spark.
 
+Each set has a map of bits, where every shingle turns over the one its hash names: maps differ in no more bits than sets in shingles, so
+a pair whose maps differ in more than similar sets may is dropped where it meets, whatever its matches.
+
 Sets are told apart by 128 bits of hash, shingles by 64.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing, not even each other, and their component is their own id; null ids
@@ -39,11 +42,13 @@ COUNTER_BLOCK = 1 << 14
 #: Most matches that a prefix may ask for; cost of verifying a shingle, where meeting a document in a list costs one.
 MOST_MATCHES = 4
 VERIFY = 0.25
+#: Bits of a set's map.
+BITS = 512
 #: Documents of a list that meet in one task, about, and prefix shingles that a task holds.
 LIST_ROWS = 1024
 CELL_ROWS = 300_000
 #: Steps to neighbours in a list, of the rounds before the last.
-NEIGHBOURS = (1, 8, 64)
+NEIGHBOURS = (2, 16)
 #: Rows of three longs up to which a table is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -61,9 +66,17 @@ def set_hashes(s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def parity_maps(s: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each set's map of bits: the parity of its shingles by hash."""
+    row = np.repeat(np.arange(len(size)), size)
+    counts = np.bincount(row * BITS + (mix(s) >> np.uint64(20)).astype(np.int64) % BITS, minlength=len(size) * BITS)
+    packed = np.packbits((counts & 1).astype(bool).reshape(-1, BITS), axis=1).tobytes()
+    return [packed[i: i + BITS // 8] for i in range(0, len(packed), BITS // 8)]
+
+
 def _prints(k: int, counters: int):
     """A row for each text with its set's size and hashes, and rows with blocks of the task's counters."""
-    names = ["id", "text_key", "n", "node", "other", "block", "counts"]
+    names = ["id", "text_key", "n", "node", "other", "bits", "block", "counts"]
 
     def run(batches):
         total = np.zeros(counters, dtype=np.uint32)
@@ -74,12 +87,12 @@ def _prints(k: int, counters: int):
                 node, other = set_hashes(s, size)
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, n), b.column("text_key").slice(lo, n), pa.array(size.astype(np.int64)), pa.array(node.view(np.int64)), pa.array(other.view(np.int64)),
-                                                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                                                  pa.array(parity_maps(s, size), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         for i in range(0, counters, COUNTER_BLOCK):
             part = total[i: i + COUNTER_BLOCK]
             if part.any():
                 packed = part.astype(np.uint8) if part.max() < 256 else part
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.array([i // COUNTER_BLOCK], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.nulls(1, pa.binary()), pa.array([i // COUNTER_BLOCK], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=names)
         trimmed()
     return run
 
@@ -168,7 +181,12 @@ def _gathered(batches, *names: str):
     order = np.lexsort((c["node"], c["size"], c["part"], c["cell"]))
     cell, part, node = c["cell"][order], c["part"][order], c["node"][order]
     order = order[np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1])])]
-    return t, order, {n: v[order].astype(np.int64) for n, v in c.items()}
+    out = {n: v[order].astype(np.int64) for n, v in c.items()}
+    if "bits" in t.column_names:
+        bits = t.column("bits").combine_chunks()
+        begin = bits.offset * (BITS // 8)  # each map has as many bytes
+        out["bits"] = np.frombuffer(bits.buffers()[2], dtype=np.uint64, count=len(bits) * BITS // 64, offset=begin).reshape(len(bits), BITS // 64)[order]
+    return t, order, out
 
 
 def matched(c: dict[str, np.ndarray], last: int | None = None):
@@ -189,8 +207,15 @@ def matched(c: dict[str, np.ndarray], last: int | None = None):
         most = np.minimum(place[at], place[to]) + np.minimum(size[at] - place[at], size[to] - place[to])
         hit &= (OF + AT_LEAST) * most >= AT_LEAST * (size[at] + size[to])
         hit &= (side[at] != side[to]) | (side[at] < 0)
-        if hit.any():
-            yield at[hit], to[hit], both[hit]
+        a, b, both = at[hit], to[hit], both[hit]
+        if "bits" in c:
+            close = np.ones(len(a), dtype=bool)
+            for i in range(0, len(a), 1 << 16):
+                differing = np.bitwise_count(c["bits"][a[i: i + (1 << 16)]] ^ c["bits"][b[i: i + (1 << 16)]]).sum(axis=1, dtype=np.int64)
+                close[i: i + (1 << 16)] = (OF + AT_LEAST) * differing <= (OF - AT_LEAST) * (size[a[i: i + (1 << 16)]] + size[b[i: i + (1 << 16)]])
+            a, b, both = a[close], b[close], both[close]
+        if len(a):
+            yield a, b, both
         step += 1
 
 
@@ -250,7 +275,7 @@ def _spread(held: DataFrame) -> DataFrame:
     mixed = sizes.where("roots > 1").select(F.col("cell").alias("_cell"), F.col("all"), F.col("all") - F.col("top.n"), F.col("top.root")).toDF("_cell", "all", "few", "top")
     rows = held.join(mixed, F.col("cell") == F.col("_cell")).withColumns({"large": (F.greatest("all", F.lit(1)) / LIST_ROWS).cast("int") + 1, "small": (F.col("few") / LIST_ROWS).cast("int") + 1})
     own = F.pmod(F.xxhash64("node", F.lit("part")), F.col("small")).cast("int")
-    columns = ["cell", "node", "size", "place", "l", "root"]
+    columns = ["cell", "node", "size", "place", "l", "bits", "root"]
 
     def part(kind: int, x: Column, y: Column, side: Column) -> Column:
         return F.struct(F.xxhash64(F.lit(kind), x, y).alias("part"), side.alias("side"))
@@ -300,7 +325,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> Da
 
 
 def similar_sets(rows: DataFrame, nodes: DataFrame, counts: np.ndarray, shingles: int, k: int) -> DataFrame:
-    """(node, root) of what links connect; ``rows``: (id, text, text_key), ``nodes``: (node, first)."""
+    """(node, root) of what links connect; ``rows``: (id, text, text_key), ``nodes``: (node, first, bits)."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(counts)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // 5 // CELL_ROWS)
@@ -310,6 +335,7 @@ def similar_sets(rows: DataFrame, nodes: DataFrame, counts: np.ndarray, shingles
 
     prefixes = rows.select("text").mapInArrow(_prefix_rows(k, shared), CELLS)
     met = stored(dealt(prefixes, 0).repartition(parts, "cell", "part").mapInArrow(_met, CELLS), "met")
+    met = stored(met.join(nodes.select(F.col("node").alias("_node"), "bits"), F.col("node") == F.col("_node")).drop("_node"), "met_bits")
     roots, links, few = None, None, False
     for seed, last in enumerate((*NEIGHBOURS, None)):
         held = met.withColumn("root", F.col("node"))
@@ -326,14 +352,14 @@ def similar_sets(rows: DataFrame, nodes: DataFrame, counts: np.ndarray, shingles
 def ngram_components(documents: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text")).select("id", "text", F.xxhash64("text").alias("text_key"))
-    prints = stored(rows.mapInArrow(_prints(k, counters), "id long, text_key long, n long, node long, other long, block int, counts binary"), "prints")
+    prints = stored(rows.mapInArrow(_prints(k, counters), "id long, text_key long, n long, node long, other long, bits binary, block int, counts binary"), "prints")
     with scratch(documents.sparkSession):
         sets = prints.where("block is null").drop("block", "counts")
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
-        classes = stored(sets.where("n > 0").groupBy("node", "other", "n").agg(F.min("id").alias("least"), first), "classes")
-        nodes = stored(classes.groupBy("node").agg(F.min(F.struct("first", "other", "n")).alias("_")).select("node", "_.first", F.col("_.other").alias("own"), F.col("_.n").alias("n")), "nodes")
+        classes = stored(sets.where("n > 0").groupBy("node", "other", "n").agg(F.min("id").alias("least"), first, F.first("bits").alias("bits")), "classes")
+        nodes = stored(classes.groupBy("node").agg(F.min(F.struct("first", "other", "n", "bits")).alias("_")).select("node", "_.first", F.col("_.other").alias("own"), F.col("_.n").alias("n"), "_.bits"), "nodes")
         shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        found = similar_sets(rows, nodes.select("node", "first"), document_counts(prints, counters), shingles, k)
+        found = similar_sets(rows, nodes.select("node", "first", "bits"), document_counts(prints, counters), shingles, k)
         rooted = classes.join(nodes.select("node", "own"), "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
         # a set whose first hash is another's as well stays by itself
         rooted = stored(rooted.select("node", "other", "n", "least", F.when(F.col("other") == F.col("own"), F.coalesce("root", "node")).alias("root")), "rooted")

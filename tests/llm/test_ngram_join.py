@@ -110,6 +110,16 @@ def test_prefixes_share_the_matches_they_ask_for():
     assert len(asked) > 1
 
 
+def test_maps_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 30, 900):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 9 + 1, dtype=np.uint64)]))
+        x, y = (np.frombuffer(m, np.uint64) for m in ngram_join.parity_maps(np.concatenate([a, b]), np.array([len(a), len(b)])))
+        apart = len(np.setxor1d(a, b))
+        assert apart / 3 < np.bitwise_count(x ^ y).sum() <= apart and (np.bitwise_count(x ^ y).sum() - apart) % 2 == 0
+
+
 def test_sets_of_long_texts_in_pieces():
     rng = random.Random(5)
     some = [" ".join(prose(rng, n)) for n in (0, 1, 3, 4, 5, 40, 3000)] + ["", "x" * 900, ("ab " * 700).upper()]
