@@ -107,14 +107,15 @@ def mixed(js_value: Column, entropy_gain: Column, lam: float) -> Column:
 
 
 def replaced(seq: Column, targets: Column, mode: str, around: Column | None = None) -> Column:
-    """Vectors of ``seq`` at ``targets`` set to zero, or to the mean of those at ``around``."""
+    """Vectors of ``seq`` at ``targets`` set to zero, or to the mean of those at ``around`` that are in its range, of all where none is. (Noise: ``vectors.noised``.)"""
+    if mode not in ("zero", "mean"):
+        raise ValueError("mode must be zero or mean")
     zero = F.transform(F.get(seq, F.lit(0)), lambda x: x * 0.0)
+    value = zero
     if mode == "mean":
-        picked = gather(seq, around)
-        summed = F.aggregate(picked, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-        value = F.when(F.size(picked) > 0, F.transform(summed, lambda x: x / F.size(picked))).otherwise(zero)
-    else:
-        value = zero
+        near = gather(seq, around)
+        picked = F.when(F.size(near) > 0, near).otherwise(seq)
+        value = bound(picked, lambda own: F.transform(F.aggregate(own, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)), lambda x: x / F.size(own)))
     return bound(value, lambda own: F.transform(seq, lambda v, i: F.when(F.array_contains(targets, i), own).otherwise(v)))
 
 

@@ -6,7 +6,6 @@ candidates of a sample share and ``order`` the one that says which came first.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,30 +142,29 @@ def diversity_summary(per_group: DataFrame) -> DataFrame:
 
 def select_group(df: DataFrame, group: str, order: str, raw: str, final: str, n: int, min_unique: int) -> DataFrame:
     """(group, slot, source): n candidates of each pool, greedily: enough different answers, then new texts,
-    new answers, any, and from the start again.  The pool of one group fits a task; the choice depends on what was taken before, so it is a loop."""
-    schema = f"{group} {df.schema[group].dataType.simpleString()}, slot int, source long"
-
-    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = pdf.sort_values(order, kind="stable")
-        names = list(zip(pool[order], pool[raw].fillna(""), pool[final].fillna("")))
-        taken: list[int] = []
-        raws: set[str] = set()
-        finals: set[str] = set()
-
-        def take(i: int) -> None:
-            taken.append(i)
-            raws.update({names[i][1]} - {""})
-            finals.update({names[i][2]} - {""})
-
-        wants = (lambda i: names[i][2] and names[i][2] not in finals, lambda i: names[i][1] and names[i][1] not in raws, lambda i: names[i][2] and names[i][2] not in finals, lambda i: True)
-        for step, wanted in enumerate(wants):
-            for i in range(len(names)):
-                if len(taken) >= n or (step == 0 and len(finals) >= min_unique):
-                    break
-                if i not in taken and wanted(i):
-                    take(i)
-        while names and len(taken) < n:
-            taken.append(len(taken) % len(names))
-        return pd.DataFrame({group: [key[0]] * len(taken), "slot": range(len(taken)), "source": [int(names[i][0]) for i in taken]})
-
-    return df.groupBy(group).applyInPandas(choose, schema)
+    new answers, any, and from the start again; ``order`` is different within a pool.
+
+    The choice depends on what was taken before: a fold over the pool, four times in order. What can be taken are
+    the first rows of a pool and the first ones with a text or an answer, 2n of each at most; only these are brought together, however large the pool.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(order).cast("bigint").alias("at"), F.coalesce(F.col(raw), F.lit("")).alias("raw"), F.coalesce(F.col(final), F.lit("")).alias("final"))
+    kinds = [rows] + [rows.where(F.col(c) != "").groupBy("g", c).agg(F.min(F.struct("at", "raw", "final")).alias("r")).select("g", "r.*") for c in ("raw", "final")]
+    first = [k.withColumn("_rank", F.row_number().over(Window.partitionBy("g").orderBy("at"))).where(F.col("_rank") <= 2 * n).select("g", F.struct("at", "raw", "final").alias("r")) for k in kinds]
+    pools = first[0].unionByName(first[1]).unionByName(first[2]).groupBy("g").agg(F.array_sort(F.collect_set("r")).alias("pool"))
+
+    def step(state: Column, s: Column) -> Column:
+        i, p, x = s["i"], s["p"], s["x"]
+        taken, raws, finals = state["taken"], state["raws"], state["finals"]
+        new_final = (x["final"] != "") & ~F.array_contains(finals, x["final"])
+        new_raw = (x["raw"] != "") & ~F.array_contains(raws, x["raw"])
+        wanted = F.when(p == 1, new_raw).when(p == 3, F.lit(True)).otherwise(new_final)
+        full = (F.size(taken) >= n) | ((p == 0) & (F.size(finals) >= min_unique))
+        more = F.struct(F.concat(taken, F.array(i)).alias("taken"), F.when(new_raw, F.concat(raws, F.array(x["raw"]))).otherwise(raws).alias("raws"), F.when(new_final, F.concat(finals, F.array(x["final"]))).otherwise(finals).alias("finals"))
+        return F.when(~full & ~F.array_contains(taken, i) & wanted, more).otherwise(state)
+
+    passes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.transform("pool", lambda x, i: F.struct(p.alias("p"), i.alias("i"), x.alias("x")))))
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<string>").alias("raws"), F.array().cast("array<string>").alias("finals"))
+    chosen = pools.select("g", "pool", F.reduce(passes, start, step)["taken"].alias("taken"))
+    slots = chosen.select("g", "pool", "taken", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    at = F.when(F.col("slot") < F.size("taken"), F.get("taken", F.col("slot"))).otherwise(F.col("slot") % F.size("pool"))
+    return slots.select(F.col("g").alias(group), "slot", F.get("pool", at)["at"].alias("source"))

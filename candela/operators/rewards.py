@@ -102,8 +102,8 @@ def final_reward(reward: Column, veto: Column, penalty: Column, lp_policy: Colum
 
 
 def policy_loss(advantage: Column, logprob: Column, valid: Column) -> Column:
-    """Aggregate: mean of -advantage x log-probability of the valid responses."""
-    return F.avg(F.when(valid, -advantage * logprob))
+    """Aggregate: mean of -advantage x log-probability of the valid responses; the sum is a decimal one, which no order of the rows changes."""
+    return F.sum(F.when(valid, (-advantage * logprob).cast("decimal(38,15)"))).cast("double") / F.count_if(valid)
 
 
 def effective_backend(family: Column, present: Column, gold: Column) -> Column:

@@ -313,7 +313,7 @@ def style_vetoes(spark, sf_dir):
 @query("""WITH s AS (SELECT p_partkey, CAST(p_partkey % 11 AS INT) AS k, CAST(p_partkey % 5 AS INT) AS t, p_size % 4 = 0 AS fail, p_name FROM part),
 n AS (SELECT *, CASE k WHEN 0 THEN len(string_split(p_name, ' ')) WHEN 1 THEN 2 WHEN 4 THEN 4 WHEN 7 THEN 2 WHEN 8 THEN 8 + len(string_split(p_name, ' ')) WHEN 10 THEN 2 ELSE 1 END AS n FROM s),
 e AS (SELECT *, greatest(0, n - CASE WHEN t IN (0, 1) THEN 2 WHEN t = 2 THEN 4 ELSE 6 END) + greatest(0, CASE WHEN t = 3 THEN 2 ELSE 1 END - n) AS excess FROM n)
-SELECT p_partkey, round(least(0.35, 0.03 * excess + CASE WHEN k IN (1, 2, 7) THEN 0.10 ELSE 0 END + CASE WHEN k IN (2, 4, 7, 9) THEN 0.15 ELSE 0 END + CASE WHEN fail THEN 0.10 ELSE 0 END + CASE WHEN k = 4 THEN 0.06 ELSE 0 END + CASE WHEN k IN (0, 4, 7, 10) THEN 0.08 ELSE 0 END), 6) AS penalty FROM e""")
+SELECT p_partkey, round(least(0.35, 0.03 * excess + CASE WHEN k IN (1, 2, 7) THEN 0.10 ELSE 0 END + CASE WHEN k IN (2, 4, 7, 9) THEN 0.15 ELSE 0 END + CASE WHEN fail THEN 0.10 ELSE 0 END + CASE WHEN k = 4 THEN 0.06 ELSE 0 END + CASE WHEN k IN (0, 4, 7, 10) THEN 0.08 ELSE 0 END), 6)::DOUBLE AS penalty FROM e""")
 def style_penalties(spark, sf_dir):
     return rounded(_styled(spark, sf_dir).select("p_partkey", style.style_penalty(F.col("f")).alias("penalty")))
 

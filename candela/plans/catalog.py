@@ -174,7 +174,16 @@ def diversity_summary(spark, sf_dir):
     return rounded(groups.diversity_summary(_diversity(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CAND}, c AS (SELECT sample_id, candidate_id, lower(trim(raw_text)) AS raw, string_split(raw_text, ' ')[1] AS final FROM cand),
+p AS MATERIALIZED (SELECT sample_id, list({{'at': candidate_id, 'raw': raw, 'final': final}} ORDER BY candidate_id) AS pool FROM c GROUP BY 1),
+r(sample_id, k, pool, taken, raws, finals) AS (
+  SELECT sample_id, 0, pool, CAST([] AS INT[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM p
+  UNION ALL
+  SELECT sample_id, k + 1, pool, CASE WHEN take THEN list_append(taken, i) ELSE taken END, CASE WHEN take THEN list_append(raws, pool[i + 1].raw) ELSE raws END, CASE WHEN take THEN list_append(finals, pool[i + 1].final) ELSE finals END
+  FROM (SELECT *, len(taken) < 3 AND NOT (pass = 0 AND len(list_distinct(finals)) >= 2) AND NOT list_contains(taken, i) AND CASE pass WHEN 1 THEN NOT list_contains(raws, pool[i + 1].raw) WHEN 3 THEN true ELSE NOT list_contains(finals, pool[i + 1].final) END AS take
+    FROM (SELECT *, CAST(k // len(pool) AS INT) AS pass, CAST(k % len(pool) AS INT) AS i FROM r WHERE k < 4 * len(pool)))),
+d AS (SELECT sample_id, pool, taken, unnest(range(3)) AS slot FROM r WHERE k = 4 * len(pool))
+SELECT sample_id, CAST(slot AS INT) AS slot, CAST(pool[CASE WHEN slot < len(taken) THEN taken[slot + 1] ELSE slot % len(pool) END + 1].at AS BIGINT) AS source FROM d""")
 def greedy_selection(spark, sf_dir):
     c = candidates(spark, sf_dir).select("sample_id", "candidate_id", text.norm(F.col("raw_text")).alias("raw"), F.split("raw_text", " ")[0].alias("final"))
     return groups.select_group(c, "sample_id", "candidate_id", "raw", "final", 3, 2)

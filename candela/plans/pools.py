@@ -150,19 +150,19 @@ def reward_contract(spark, sf_dir):
                             rewards.mixed_reward(F.col("task"), F.col("c"), F.col("score_ties"), {"counting": (0.5, 2.0)}).alias("mixed")).select("sample_id", "candidate_id", "k.*", "base", "mixed"))
 
 
-@query(f"""WITH {CAND} SELECT sample_id, candidate_id, CASE WHEN score_tax > 0.04 THEN score_ties ELSE least(score_ties, -0.75) END AS scoped,
-  round(least(greatest(CASE WHEN task IN ('existence', 'counting') THEN 1.1 ELSE 0.9 END + ([0.0, 0.12, -0.06, 0.20, -0.12, 0.28, -0.18, 0.34])[candidate_id % 8 + 1] + 0.1, 0.85), 1.65), 6) AS temperature,
-  round(least(greatest(CASE WHEN task IN ('existence', 'counting') THEN 0.97 ELSE 0.92 END + ([0.0, 0.01, -0.01, 0.02, -0.02, 0.03, -0.03, 0.04])[candidate_id % 8 + 1] + 0.01, 0.90), 0.995), 6) AS top_p FROM cand""")
+@query(f"""WITH {CAND} SELECT sample_id, candidate_id, (CASE WHEN score_tax > 0.04 THEN score_ties ELSE least(score_ties, -0.75) END)::DOUBLE AS scoped,
+  round(least(greatest(CASE WHEN task IN ('existence', 'counting') THEN 1.1 ELSE 0.9 END + ([0.0, 0.12, -0.06, 0.20, -0.12, 0.28, -0.18, 0.34])[candidate_id % 8 + 1] + 0.1, 0.85), 1.65), 6)::DOUBLE AS temperature,
+  round(least(greatest(CASE WHEN task IN ('existence', 'counting') THEN 0.97 ELSE 0.92 END + ([0.0, 0.01, -0.01, 0.02, -0.02, 0.03, -0.03, 0.04])[candidate_id % 8 + 1] + 0.01, 0.90), 0.995), 6)::DOUBLE AS top_p FROM cand""")
 def sampling_and_scope(spark, sf_dir):
     s = rewards.sampling_settings(F.col("task"), F.col("candidate_id"), F.lit(1), 0.9, 0.92)
     return rounded(candidates(spark, sf_dir).select("sample_id", "candidate_id", rewards.invalid_scope(F.col("score_ties"), F.col("score_tax") > 0.04).alias("scoped"), s["temperature"].alias("temperature"), s["top_p"].alias("top_p")))
 
 
-@query(f"""WITH {CAND}, a AS (SELECT *, score_ties - avg(score_ties) OVER w AS away, stddev_pop(score_ties) OVER w AS sd FROM cand WINDOW w AS (PARTITION BY sample_id)) SELECT sample_id, round(avg(-CASE WHEN sd < 1e-4 THEN away ELSE away / sd END * -score_tax) FILTER (correct), 5) + 0.0 AS loss FROM a GROUP BY 1""")
+@query(f"""WITH {CAND}, a AS (SELECT *, score_ties - avg(score_ties) OVER w AS away, stddev_pop(score_ties) OVER w AS sd FROM cand WINDOW w AS (PARTITION BY sample_id)) SELECT sample_id, round(CAST(sum(CAST(-CASE WHEN sd < 1e-4 THEN away ELSE away / sd END * -score_tax AS DECIMAL(38, 15))) FILTER (correct) AS DOUBLE) / count(*) FILTER (correct), 9) + 0.0 AS loss FROM a GROUP BY 1""")
 def policy_losses(spark, sf_dir):
     a = groups.advantages(candidates(spark, sf_dir), "sample_id", "score_ties")
     per = a.groupBy("sample_id").agg(rewards.policy_loss(F.col("advantage"), -F.col("score_tax"), F.col("correct")).alias("loss"))
-    return per.select("sample_id", (F.round("loss", 5) + 0.0).alias("loss"))
+    return per.select("sample_id", (F.round("loss", 9) + 0.0).alias("loss"))
 
 
 @query(f"WITH {CAND} SELECT 'score_nan' AS logprob_key, 'answer_length' AS length_key, bool_or(score_nan IS NOT NULL) AS finite FROM cand")
