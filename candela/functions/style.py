@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from candela.functions.arrays import bound
 from candela.functions.text import exact_form, strip, text, word_count
 
 # What reads as negation, abstention and an unfilled template.
@@ -46,31 +47,47 @@ def length_range(task_type: Column) -> tuple[Column, Column]:
 
 
 def style_features(answer: Column, raw_response: Column, task_type: Column, parse_fail: Column) -> Column:
-    """struct of flags, lengths, veto and its reasons."""
-    ans, raw = strip(answer), strip(raw_response)
-    probe = F.when(ans != "", ans).otherwise(raw)
-    form, n = exact_form(probe), word_count(ans)
+    """struct of flags, lengths, veto and its reasons; what several of them need is worked out once, level by level."""
     lo, hi = length_range(task_type)
-    evidence, final = field(raw, "evidence"), F.coalesce(field(raw, "final answer"), F.lit(""))
-    ev = F.coalesce(evidence, F.lit(""))
-    empty_ans, blank = ans == "", placeholder(ans)
-    final_bad, ev_bad = (final != "") & placeholder(final), (ev != "") & placeholder(ev)
-    n_fields = F.when(evidence.isNotNull(), 1).otherwise(0) + F.when(field(raw, "final answer").isNotNull(), 1).otherwise(0)
-    template = (probe != "") & ((~empty_ans & ans.rlike(TEMPLATE)) | ((raw != "") & raw.rlike(BRACKETS)) | final_bad | ((n_fields >= 2) & empty_ans & ev_bad) | (~empty_ans & blank))
-    abstention = probe.rlike(ABSTENTION)
-    fail = F.coalesce(parse_fail, F.lit(False))
-    only_evidence = ev_bad & ~final_bad & ~empty_ans & ~blank
-    reasons = F.array_compact(F.array(
-        F.when(abstention & (blank | final_bad | empty_ans), "abstention_like"), F.when(template & blank, "placeholder_answer"),
-        F.when(final_bad | (empty_ans & ev_bad), "placeholder_schema"), F.when(fail & (blank | final_bad | (empty_ans & ev_bad)), "parse_fail_placeholder")))
-    reasons = F.when(only_evidence, F.array().cast("array<string>")).otherwise(reasons)
-    excess = F.greatest(F.lit(0), n - hi) + F.greatest(F.lit(0), lo - n)
-    return F.struct(
-        n.alias("length_tokens"), excess.alias("length_excess"), probe.rlike(NEGATION).alias("has_negation"), abstention.alias("is_abstention_like"),
-        template.alias("is_template_like"), fail.alias("is_parse_fail"), (form.rlike(r"^[-+]?\d+$") & (n <= 2)).alias("is_numeric_short"),
-        (form.isin("yes", "no") & (n <= 2)).alias("is_yesno_short"), evidence.isNotNull().alias("has_evidence_field"), (evidence.isNotNull() & (ev == "")).alias("evidence_missing"),
-        (evidence.isNotNull() & placeholder(ev)).alias("evidence_placeholder"), (F.size(reasons) > 0).alias("hard_veto"),
-        F.coalesce(F.get(reasons, F.lit(0)), F.lit("")).alias("veto_reason"), reasons.alias("veto_reasons"))
+    stripped = F.struct(strip(answer).alias("ans"), strip(raw_response).alias("raw"))
+
+    def read(x: Column) -> Column:
+        ans, raw = x["ans"], x["raw"]
+        return F.struct(ans.alias("ans"), raw.alias("raw"), F.when(ans != "", ans).otherwise(raw).alias("probe"), field(raw, "evidence").alias("evidence"), field(raw, "final answer").alias("final"), word_count(ans).alias("n"), placeholder(ans).alias("blank"))
+
+    def judged(x: Column) -> Column:
+        ev = F.coalesce(x["evidence"], F.lit(""))
+        final = F.coalesce(x["final"], F.lit(""))
+        return F.struct(x.alias("x"), ev.alias("ev"), ((final != "") & placeholder(final)).alias("final_bad"), placeholder(ev).alias("ev_blank"), exact_form(x["probe"]).alias("form"), x["probe"].rlike(ABSTENTION).alias("abstention"))
+
+    def flagged(y: Column) -> Column:
+        x, ev_bad = y["x"], (y["ev"] != "") & y["ev_blank"]
+        empty = x["ans"] == ""
+        n_fields = F.when(x["evidence"].isNotNull(), 1).otherwise(0) + F.when(x["final"].isNotNull(), 1).otherwise(0)
+        template = (x["probe"] != "") & ((~empty & x["ans"].rlike(TEMPLATE)) | ((x["raw"] != "") & x["raw"].rlike(BRACKETS)) | y["final_bad"] | ((n_fields >= 2) & empty & ev_bad) | (~empty & x["blank"]))
+        return F.struct(y.alias("y"), ev_bad.alias("ev_bad"), empty.alias("empty"), template.alias("template"), F.coalesce(parse_fail, F.lit(False)).alias("fail"))
+
+    def vetoed(z: Column) -> Column:
+        y, x = z["y"], z["y"]["x"]
+        none = x["blank"] | y["final_bad"]
+        reasons = F.array_compact(F.array(
+            F.when(y["abstention"] & (none | z["empty"]), "abstention_like"), F.when(z["template"] & x["blank"], "placeholder_answer"),
+            F.when(y["final_bad"] | (z["empty"] & z["ev_bad"]), "placeholder_schema"), F.when(z["fail"] & (none | (z["empty"] & z["ev_bad"])), "parse_fail_placeholder")))
+        only_evidence = z["ev_bad"] & ~y["final_bad"] & ~z["empty"] & ~x["blank"]
+        return F.struct(z.alias("z"), F.when(only_evidence, F.array().cast("array<string>")).otherwise(reasons).alias("reasons"))
+
+    def features(v: Column) -> Column:
+        z, reasons = v["z"], v["reasons"]
+        y, x, n, form = z["y"], z["y"]["x"], z["y"]["x"]["n"], z["y"]["form"]
+        excess = F.greatest(F.lit(0), n - hi) + F.greatest(F.lit(0), lo - n)
+        return F.struct(
+            n.alias("length_tokens"), excess.alias("length_excess"), x["probe"].rlike(NEGATION).alias("has_negation"), y["abstention"].alias("is_abstention_like"),
+            z["template"].alias("is_template_like"), z["fail"].alias("is_parse_fail"), (form.rlike(r"^[-+]?\d+$") & (n <= 2)).alias("is_numeric_short"),
+            (form.isin("yes", "no") & (n <= 2)).alias("is_yesno_short"), x["evidence"].isNotNull().alias("has_evidence_field"), (x["evidence"].isNotNull() & (y["ev"] == "")).alias("evidence_missing"),
+            (x["evidence"].isNotNull() & y["ev_blank"]).alias("evidence_placeholder"), (F.size(reasons) > 0).alias("hard_veto"),
+            F.coalesce(F.get(reasons, F.lit(0)), F.lit("")).alias("veto_reason"), reasons.alias("veto_reasons"))
+
+    return bound(bound(bound(bound(bound(stripped, read), judged), flagged), vetoed), features)
 
 
 def style_penalty(f: Column, weights: dict[str, float] = WEIGHTS, most: float = MOST) -> Column:

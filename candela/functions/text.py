@@ -5,7 +5,7 @@ Every function takes and returns Columns of built-in functions.  Null texts coun
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,9 +66,13 @@ def norm(x: Column) -> Column:
     return F.regexp_replace(strip(F.lower(text(x))), r"(?U)\s+", " ")
 
 
-def lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(v) for kv in table.items() for v in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+def _quoted(x) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """The table's value at the key, null where it has none; the table is one expression, parsed at once."""
+    return F.try_element_at(F.expr(f"map({', '.join(_quoted(v) for kv in table.items() for v in kv)})"), key)
 
 
 def tokens(x: Column) -> Column:
@@ -80,7 +84,7 @@ def word_count(x: Column) -> Column:
 
 
 def contains_any(x: Column, parts: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [x.contains(p) for p in parts])
+    return x.rlike("|".join(re.escape(p) for p in parts))
 
 
 # -- families ------------------------------------------------------------------
@@ -88,10 +92,10 @@ def contains_any(x: Column, parts: tuple[str, ...]) -> Column:
 def family_label(label: Column) -> Column:
     """Family of a label; '' for a blank one, other for an unknown one."""
     raw = strip(F.lower(text(label)))
-    out = F.when(raw == "", "").when(lookup(FAMILY_ALIASES, raw).isNotNull(), lookup(FAMILY_ALIASES, raw)).when(raw.isin(*FAMILIES), raw)
-    for family, parts in FAMILY_PARTS:
-        out = out.when(contains_any(raw, parts), family)
-    return out.otherwise("other")
+    part = F.lit("other")
+    for family, parts in reversed(FAMILY_PARTS):
+        part = F.when(contains_any(raw, parts), family).otherwise(part)
+    return F.coalesce(lookup({"": "", **{f: f for f in FAMILIES}, **FAMILY_ALIASES}, raw), part)
 
 
 def task_family(task_type: Column, question: Column | None = None, *hints: Column) -> Column:
@@ -204,43 +208,51 @@ def label_form(x: Column) -> Column:
     return F.array_join(F.filter(words, lambda t: ~t.isin("", "a", "an", "the")), " ")
 
 
+def _form_count(form: Column) -> Column:
+    digits = F.nullif(F.regexp_extract(form, r"(\d+)", 1), F.lit("")).try_cast("decimal(38,0)")
+    return F.coalesce(digits, lookup({w: str(i) for i, w in enumerate(COUNT_WORDS)}, F.split(form, " ")[0]).cast("decimal(38,0)"))
+
+
 def count_label(x: Column) -> Column:
     """First digits of the label form, else its first word as a number to ten; null without one."""
-    form = label_form(x)
-    digits = F.nullif(F.regexp_extract(form, r"(\d+)", 1), F.lit("")).try_cast("decimal(38,0)")
-    word = lookup({w: str(i) for i, w in enumerate(COUNT_WORDS)}, F.split(form, " ")[0]).cast("decimal(38,0)")
-    return F.coalesce(digits, word)
+    return bound(label_form(x), _form_count)
 
 
 def subset_either_way(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
 
 
+def _forms_near(p: Column, g: Column) -> Column:
+    return (p != "") & (g != "") & ((p == g) | subset_either_way(F.split(p, " "), F.split(g, " ")))
+
+
+def _forms_match(family: Column, p: Column, g: Column) -> Column:
+    """Whether label forms agree by the rule of the family: count, words of an attribute, or the form itself."""
+    return F.when(family == "counting", F.coalesce(_form_count(p) == _form_count(g), F.lit(False))).when(family == "attribute", _forms_near(p, g)).otherwise(p == g)
+
+
 def attribute_match(pred: Column, gold: Column) -> Column:
-    def near(x: Column) -> Column:
-        p, g = x["p"], x["g"]
-        return (p != "") & (g != "") & ((p == g) | subset_either_way(F.split(p, " "), F.split(g, " ")))
-    return bound(F.struct(label_form(pred).alias("p"), label_form(gold).alias("g")), near)
+    return bound(F.struct(label_form(pred).alias("p"), label_form(gold).alias("g")), lambda x: _forms_near(x["p"], x["g"]))
 
 
 def open_ended_correct(task_type: Column, pred: Column, gold: Column) -> Column:
-    return bound(task_family(task_type), lambda fam: F.when(fam == "counting", F.coalesce(count_label(pred) == count_label(gold), F.lit(False)))
-                 .when(fam == "attribute", attribute_match(pred, gold)).otherwise(label_form(pred) == label_form(gold)))
+    return bound(F.struct(task_family(task_type).alias("f"), label_form(pred).alias("p"), label_form(gold).alias("g")), lambda x: _forms_match(x["f"], x["p"], x["g"]))
 
 
 def behavior(pred: Column, gold: Column, present: Column, task_type: Column, aliases: Column | None = None) -> Column:
-    """correct_positive, correct_negative, miss, hallucination or other."""
+    """correct_positive, correct_negative, miss, hallucination or other; an alias is as good as the gold answer."""
     here = F.coalesce(present, F.lit(False))
+    golds = F.array(text(gold)) if aliases is None else F.concat(F.array(text(gold)), F.coalesce(aliases, F.array().cast("array<string>")))
+
+    def closed(yn: Column) -> Column:
+        return F.when(yn == "other", "other").when(here, F.when(yn == "yes", "correct_positive").otherwise("miss")).otherwise(F.when(yn == "no", "correct_negative").otherwise("hallucination"))
 
-    def judged(x: Column) -> Column:
-        p, g, yn = x["p"], x["g"], x["yn"]
-        right = open_ended_correct(task_type, p, g)
-        if aliases is not None:
-            right = right | F.exists(F.coalesce(aliases, F.array().cast("array<string>")),
-                                     lambda a: F.when(task_type == "attribute", attribute_match(p, a)).otherwise(open_ended_correct(task_type, p, a)))
-        closed = F.when(yn == "other", "other").when(here, F.when(yn == "yes", "correct_positive").otherwise("miss")).otherwise(F.when(yn == "no", "correct_negative").otherwise("hallucination"))
-        return F.when(F.coalesce(task_type == "existence", F.lit(False)) | (yesno(g) != "other"), closed).when(right, "correct_positive").when(here, "miss").otherwise("hallucination")
-    return bound(F.struct(strip(F.lower(text(pred))).alias("p"), strip(F.lower(text(gold))).alias("g"), yesno(pred).alias("yn")), judged)
+    def opened(x: Column) -> Column:
+        right = F.exists(F.transform(golds, label_form), lambda g: _forms_match(x["f"], x["p"], g))
+        return F.when(right, "correct_positive").when(here, "miss").otherwise("hallucination")
+    open_one = bound(F.struct(task_family(task_type).alias("f"), label_form(pred).alias("p")), opened)
+    yes_or_no = F.coalesce(task_type == "existence", F.lit(False)) | (yesno(strip(F.lower(text(gold)))) != "other")
+    return F.when(yes_or_no, bound(yesno(pred), closed)).otherwise(open_one)
 
 
 def behavior_is_correct(b: Column) -> Column:
@@ -274,13 +286,19 @@ _COLON = "[:：]"
 
 def _cleaned(line: Column) -> Column:
     """Without a bullet and a pair of backticks."""
-    s = F.regexp_replace(strip(line), r"^[-*]\s+", "")
-    s = F.when((F.length(s) >= 2) & s.startswith("`") & s.endswith("`"), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    return strip(s)
+    return bound(F.regexp_replace(strip(line), r"^[-*]\s+", ""), lambda s: F.when((F.length(s) >= 2) & s.startswith("`") & s.endswith("`"), strip(F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(strip(s)))
 
 
-def _short(s: Column, chars: int = 80, words: int = 12) -> Column:
-    return ((s != "") & ~s.rlike(r"[\n\r]") & (F.length(s) <= chars) & ~s.rlike(r"(?iU)\b(evidence|final\s*answer|question)\b\s*" + _COLON) & (word_count(s) <= words))
+_LABEL_INSIDE = r"(?iU)\b(evidence|final\s*answer|question)\b\s*" + _COLON
+
+
+def _measured(line: Column, *more: Column) -> Column:
+    """struct of a line cleaned, its length, its words, whether it may be an answer at all, and what else is asked for."""
+    return bound(_cleaned(line), lambda c: F.struct(c.alias("clean"), F.length(c).alias("chars"), word_count(c).alias("words"), ((c != "") & ~c.rlike(r"[\n\r]") & ~c.rlike(_LABEL_INSIDE)).alias("plain"), *more))
+
+
+def _short(m: Column, chars: int = 80, words: int = 12) -> Column:
+    return m["plain"] & (m["chars"] <= chars) & (m["words"] <= words)
 
 
 def final_answer(raw_text: Column) -> Column:
@@ -288,56 +306,54 @@ def final_answer(raw_text: Column) -> Column:
 
     The rules in order: a line ``Final answer: x``; a line ``Answer: x``; a line of the tag
     alone and the next line; a first line of evidence and the second; one short line; the last
-    short line; the whole text (start is null).
+    short line; the whole text (start is null).  What several rules need is worked out once: a table of the lines, and only where no tag has an answer on its line.
     """
-    return bound(strip(raw_text), lambda raw: bound(F.split(raw, r"\r\n|\n|\r"), lambda lines: _found(raw, lines)))
+    return bound(strip(raw_text), _found)
 
 
-def _found(raw: Column, lines: Column) -> Column:
-    def found(answer: Column, source: Column | str, within: Column) -> Column:
-        src = F.lit(source) if isinstance(source, str) else source
-        return F.struct(answer.alias("answer"), src.alias("source"), F.when(answer != "", within).cast("int").alias("start"))
+def _found(raw: Column) -> Column:
+    fallback = F.struct(raw.alias("answer"), F.lit("fallback_raw").alias("source"), F.lit(None).cast("int").alias("start"))
 
-    def place(answer: Column, offset: Column) -> Column:
+    def found(answer: Column, source: Column | str, offset: Column) -> Column:
         # the first place at or after the line's own start
-        return offset + F.instr(F.substr(raw, offset + 1, F.length(raw)), answer) - 1
+        src = F.lit(source) if isinstance(source, str) else source
+        return F.struct(answer.alias("answer"), src.alias("source"), F.when(answer != "", offset + F.instr(F.substr(raw, offset + 1, F.length(raw)), answer) - 1).cast("int").alias("start"))
 
     def tagged(pattern: str, source: str) -> Column:
-        m = F.regexp_extract(raw, pattern, 1)
-        answer = _cleaned(m)
-        whole = F.regexp_extract(raw, pattern, 0)
-        offset = F.instr(raw, whole) - 1 + F.length(whole) - F.length(m)
-        return F.when((whole != "") & _short(answer), found(answer, source, place(answer, offset)))
-
-    n = F.size(lines)
-    ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.length(F.array_join(F.slice(lines, F.lit(1), i), "\n")))
+        whole, m = F.regexp_extract(raw, pattern, 0), F.regexp_extract(raw, pattern, 1)
 
-    def line_start(i: Column) -> Column:
-        return F.try_element_at(ends, i) - F.length(F.try_element_at(lines, i))
+        def taken(x: Column) -> Column:
+            return bound(_measured(x["m"]), lambda t: F.when(_short(t), found(t["clean"], source, F.instr(raw, x["whole"]) - 1 + F.length(x["whole"]) - F.length(x["m"]))))
+        return bound(F.struct(whole.alias("whole"), m.alias("m")), lambda x: F.when(x["whole"] != "", taken(x)))
 
     tag_only = r"(?iU)^\s*(final\s*answer|answer)\s*[:：]\s*$"
-    numbered = F.sequence(F.lit(1), n)
-    solid = F.filter(numbered, lambda i: strip(F.try_element_at(lines, i)) != "")
-    after = F.transform(F.filter(numbered, lambda i: F.try_element_at(lines, i).rlike(tag_only)), lambda i: F.struct(i.alias("tag"), F.get(F.filter(solid, lambda j: j > i), F.lit(0)).alias("next")))
-    good = F.get(F.filter(after, lambda x: x["next"].isNotNull() & _short(_cleaned(F.try_element_at(lines, x["next"])))), F.lit(0))
-    next_answer = _cleaned(F.try_element_at(lines, good["next"]))
-    next_source = F.when(F.lower(F.try_element_at(lines, good["tag"])).contains("final"), "final_answer_next_line").otherwise("answer_next_line")
-    by_tag_line = F.when(good.isNotNull(), found(next_answer, next_source, place(next_answer, line_start(good["next"]))))
 
-    second = _cleaned(F.try_element_at(lines, F.lit(2)))
-    by_evidence = F.when((n >= 2) & F.get(lines, F.lit(0)).rlike(r"(?iU)^\s*evidence\s*[:：]") & _short(second, 60, 10), found(second, "two_line_evidence", place(second, line_start(F.lit(2)))))
+    def table(lines: Column) -> Column:
+        """A row for each line, with its number from 0 and where it starts if lines are joined by one character."""
+        starts = F.aggregate(lines, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at")), lambda s, x: F.struct((s["end"] + F.length(x) + 1).alias("end"), F.concat(s["at"], F.array(s["end"])).alias("at")))["at"]
+        return bound(starts, lambda at: F.transform(lines, lambda x, i: _measured(x, x.alias("line"), i.alias("i"), F.get(at, i).alias("start"), (strip(x) != "").alias("solid"), x.rlike(tag_only).alias("tag"))))
 
-    single = _cleaned(raw)
-    by_single = F.when((n == 1) & _short(single), found(single, "single_line_short", place(single, F.lit(0))))
+    def by_lines(t: Column) -> Column:
+        solid = F.filter(t, lambda x: x["solid"])
 
-    at = F.element_at(F.concat(F.array(F.lit(0)), F.filter(solid, lambda i: ~strip(F.try_element_at(lines, i)).rlike(r"(?i)^(evidence|question)\s*[:：]"))), -1)
-    final = F.when(at > 0, _cleaned(F.try_element_at(lines, F.greatest(at, F.lit(1)))))
-    by_last = F.when(F.coalesce(_short(final, 60, 10), F.lit(False)), found(final, "last_short_line", place(final, line_start(F.greatest(at, F.lit(1))))))
+        def next_lines(own: Column) -> Column:
+            pairs = F.transform(F.filter(t, lambda x: x["tag"]), lambda x: F.struct(x["line"].alias("tag"), F.get(F.filter(own, lambda y: y["i"] > x["i"]), F.lit(0)).alias("next")))
+            return F.get(F.filter(pairs, lambda p: p["next"].isNotNull() & _short(p["next"])), F.lit(0))
+
+        def last_line(own: Column) -> Column:
+            return F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform(F.filter(own, lambda x: ~strip(x["line"]).rlike(r"(?i)^(evidence|question)\s*[:：]")), lambda x: x["i"])), -1)
+
+        after = F.when(F.exists(t, lambda x: x["tag"]), bound(bound(solid, next_lines), lambda g: F.when(g.isNotNull(), found(g["next"]["clean"], F.when(F.lower(g["tag"]).contains("final"), "final_answer_next_line").otherwise("answer_next_line"), g["next"]["start"]))))
+        second = F.get(t, F.lit(1))
+        evidence = F.when((F.size(t) >= 2) & _short(second, 60, 10) & F.get(t, F.lit(0))["line"].rlike(r"(?iU)^\s*evidence\s*[:：]"), found(second["clean"], "two_line_evidence", second["start"]))
+        # a text of one line starts where it starts
+        single = F.when((F.size(t) == 1) & _short(F.get(t, F.lit(0))), found(F.get(t, F.lit(0))["clean"], "single_line_short", F.lit(0)))
+        last = bound(F.get(t, bound(solid, last_line)), lambda x: F.when(F.coalesce(_short(x, 60, 10), F.lit(False)), found(x["clean"], "last_short_line", x["start"])))
+        return F.coalesce(after, evidence, single, last)
 
-    fallback = F.struct(raw.alias("answer"), F.lit("fallback_raw").alias("source"), F.lit(None).cast("int").alias("start"))
     return F.when(raw == "", fallback).otherwise(F.coalesce(
         tagged(r"(?im)^\s*final\s*answer\s*[:：]\s*([^\n\r]*)", "structured_tag"), tagged(r"(?im)^\s*answer\s*[:：]\s*([^\n\r]*)", "answer_tag"),
-        by_tag_line, by_evidence, by_single, by_last, fallback))
+        bound(F.split(raw, r"\r\n|\n|\r"), lambda lines: bound(table(lines), by_lines)), fallback))
 
 
 def answer_prefix(raw_text: Column, found: Column) -> Column:
