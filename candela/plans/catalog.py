@@ -435,11 +435,6 @@ def shaped_rewards(spark, sf_dir):
                                                     rewards.final_reward(F.col("score_ties"), F.col("score_tax") > 0.05, F.lit(0.1), F.col("score_tax"), F.lit(0.0), 0.02).alias("final")))
 
 
-@query("SELECT flag, n FROM (VALUES ('rerank_eligible', 5), ('verifier_eligible', 5), ('grpo_eligible', 5), ('uses_ground_truth', 5), ('verifier_only', 2), ('training_only', 3), ('response_conditioned', 5), ('default_training_reward', 2), ('diagnostic_only', 4), ('excluded', 6)) t(flag, n)")
-def reward_registry(spark, sf_dir):
-    return rewards.registry_summary(rewards.registry(spark)).select("flag", F.size("names").alias("n"))
-
-
 # -- checks ----------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {CAND} SELECT count(*) AS n, round(avg(score_ties), 6) AS mean, round(stddev_pop(score_ties), 6) AS std, min(score_ties) AS least, max(score_ties) AS most, round(avg(CAST(score_ties > 0 AS INT)), 6) AS positive_rate, round(corr(score_ties, score_unique), 6) AS area_correlation, round(corr(score_ties, answer_length), 6) AS token_correlation FROM cand")
