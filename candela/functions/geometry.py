@@ -61,14 +61,18 @@ def primary_box(width: Column, height: Column, *sources: tuple[str, Column]) ->
 
 
 def negative_box(b: Column, width: Column, height: Column, key: Column, tries: int = 24, most: float = 0.05) -> Column:
-    """A box of the same size drawn by the key, the first of ``tries`` that overlaps by ``most`` at most; null if none does."""
-    def draw(i: Column) -> Column:
-        def u(s: str) -> Column:
-            return unit_hash(F.concat_ws(":", key, i, F.lit(s)))
-        return F.array(u("x") * F.greatest(F.lit(0.0), width - b[2]), u("y") * F.greatest(F.lit(0.0), height - b[3]), b[2], b[3])
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), draw)
-    fits = (b[2] > 0) & (b[3] > 0) & (b[2] <= width) & (b[3] <= height)
-    return F.when(fits, F.get(F.filter(drawn, lambda c: iou(b, c) <= most), F.lit(0)))
+    """A box of the same size drawn by the key, the first of ``tries`` that overlaps by ``most`` at most; null if none does. No draw is made after that one."""
+    def found(x: Column) -> Column:
+        own, w, h = x["b"], x["w"], x["h"]
+
+        def draw(i: Column) -> Column:
+            def u(s: str) -> Column:
+                return unit_hash(F.concat_ws(":", x["key"], i, F.lit(s)))
+            return F.array(u("x") * F.greatest(F.lit(0.0), w - own[2]), u("y") * F.greatest(F.lit(0.0), h - own[3]), own[2], own[3])
+        first = F.reduce(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("array<double>"), lambda had, i: F.when(had.isNotNull(), had).otherwise(F.get(F.filter(F.array(draw(i)), lambda c: iou(own, c) <= most), F.lit(0))))
+        return F.when((own[2] > 0) & (own[3] > 0) & (own[2] <= w) & (own[3] <= h), first)
+    asked = F.struct(b.alias("b"), width.cast("double").alias("w"), height.cast("double").alias("h"), key.cast("string").alias("key"))
+    return F.get(F.transform(F.array(asked), found), F.lit(0))
 
 
 def merge_ratio(cells: Column, tokens: Column) -> Column:

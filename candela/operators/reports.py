@@ -20,9 +20,11 @@ SUBSETS = {"": None, "informative_": "informative", "strong_informative_": "stro
 def outcomes(df: DataFrame, group: str, order: str, strategies: dict[str, tuple[str, str]], base: str | None = None, raw_text: str = "raw_text", candidate: str = "candidate_id") -> DataFrame:
     """A row for each group and strategy that has a winner there, and for the baselines random, top1 and oracle.
 
-    ``strategies``: name to (score, pool).  Candidates have correct, behavior, task, family, answer_length and is_yesno.  ``value``: whether the winner is
+    ``strategies``: name to (score, pool).  Candidates have correct, and may have behavior, task, family, answer_length and is_yesno.  ``value``: whether the winner is
     right (for random, the share of right candidates); task and family of a baseline are those of the group's first row; ``first_right`` and ``base_right``: whether top1 and the winner of ``base`` are.
     """
+    lacking = {"behavior": "string", "task": "string", "family": "string", "answer_length": "bigint", "is_yesno": "boolean"}
+    df = df.withColumns({c: F.lit(None).cast(t) for c, t in lacking.items() if c not in df.columns})
     right = F.coalesce(F.col("correct"), F.lit(False))
     winner = F.struct(right.alias("right"), "behavior", "task", "family", "answer_length", F.coalesce(F.col("is_yesno"), F.lit(False)).alias("is_yesno"))
     text = F.nullif(norm(F.col(raw_text)), F.lit(""))

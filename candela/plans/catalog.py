@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.functions import arrays, geometry, text
-from candela.operators import audit, checks, dataset, evaluate, groups, rewards, telemetry
+from candela.operators import audit, checks, dataset, evaluate, groups, reports, rewards, telemetry
 from candela.operators.ranges import mixed_sql, permuted_sql
 from candela.plans.tables import AUDIT, CAND, STEPS, audit as audit_table, candidates, steps as step_table, table
 
@@ -89,9 +89,9 @@ def prefer_unduplicated(spark, sf_dir):
 SELECT count(*) FILTER (b.correct AND NOT t.correct) AS n_win, count(*) FILTER (NOT b.correct AND t.correct) AS n_loss, count(*) FILTER (b.correct = t.correct) AS n_tie
 FROM best b JOIN t USING (sample_id) WHERE sample_id IN (SELECT sample_id FROM i)""")
 def win_loss_informative(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    ids = groups.group_facts(c, "sample_id", "candidate_id", "raw_text", "correct").where("informative")
-    return evaluate.win_loss(groups.best_rows(c, "sample_id", F.col("score_unique"), "candidate_id"), groups.first_rows(c, "sample_id", "candidate_id"), "sample_id", "correct", ids)
+    long = reports.outcomes(candidates(spark, sf_dir).select("sample_id", "candidate_id", "score_unique", "correct", "raw_text"), "sample_id", "candidate_id", {"best": ("score_unique", "verifier")})
+    one = reports.pairwise(long, "best").where("subset = 'informative' and against = 'top1'")
+    return one.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_win", "n_loss", "n_tie")])
 
 
 def _degeneracy_sql() -> str:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from candela.operators import groups, reports, spans
+from candela.operators import evaluate, groups, reports, spans
 
 
 def test_overlaps_against_all_pairs(spark):
@@ -103,3 +103,10 @@ def test_selection_of_large_and_small_pools(spark):
         for r in groups.select_group(df, "g", "at", "raw", "final", n, least).orderBy("g", "slot").collect():
             got.setdefault(r.g, []).append(r.source)
         assert got == {g: plain_selection(p, n, least) for g, p in pools.items()}
+
+
+def test_win_loss_of_two_choices(spark):
+    a = spark.createDataFrame([("g", True), ("h", False), ("i", None), ("j", True)], "g string, correct boolean")
+    b = spark.createDataFrame([("g", False), ("h", True), ("i", False), ("k", True)], "g string, correct boolean")
+    assert tuple(evaluate.win_loss(a, b, "g", "correct").first()) == (1, 1, 1)
+    assert tuple(evaluate.win_loss(a, b, "g", "correct", a.where("g = 'g'")).first()) == (1, 0, 0)
