@@ -302,6 +302,32 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, limit: int = SLI
         yield lo, hi, x[new], np.bincount(r[new], minlength=hi - lo)
 
 
+#: Bits of a set's parity map.
+MAP_BITS = 512
+
+
+def parity_maps(s: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each set's map of bits, where every member turns over the one its hash names: two maps differ in no more bits than the sets in members."""
+    row = np.repeat(np.arange(len(size)), size)
+    counts = np.bincount(row * MAP_BITS + (mix(s) >> np.uint64(20)).astype(np.int64) % MAP_BITS, minlength=len(size) * MAP_BITS)
+    packed = np.packbits((counts & 1).astype(bool).reshape(-1, MAP_BITS), axis=1).tobytes()
+    return [packed[i: i + MAP_BITS // 8] for i in range(0, len(packed), MAP_BITS // 8)]
+
+
+def map_words(column) -> np.ndarray:
+    """Parity maps of an Arrow column without nulls, as rows of 64-bit words."""
+    bits = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(bits):
+        return np.zeros((0, MAP_BITS // 64), np.uint64)
+    return np.frombuffer(bits.buffers()[2], dtype=np.uint64, count=len(bits) * MAP_BITS // 64, offset=bits.offset * (MAP_BITS // 8)).reshape(len(bits), MAP_BITS // 64)
+
+
+def map_distances(maps: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """In how many bits maps[a] and maps[b] differ, some pairs at a time."""
+    out = [np.bitwise_count(maps[a[i: i + step]] ^ maps[b[i: i + step]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), step)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def pack_rows(values: np.ndarray, counts: np.ndarray):
     """Arrow list array with ``counts[i]`` of the values in row i."""
     offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

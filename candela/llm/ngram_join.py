@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import components, mix, ordered, scratch, shingle_sets, stored, text_buffers, text_or_empty, trimmed
+from candela.llm.common import components, map_distances, map_words, mix, ordered, parity_maps, scratch, shingle_sets, stored, text_buffers, text_or_empty, trimmed
 
 K = 4
 #: Least similarity, as a fraction: intersection times OF >= union times AT_LEAST.
@@ -42,8 +42,6 @@ COUNTER_BLOCK = 1 << 14
 #: Most matches that a prefix may ask for; cost of verifying a shingle, where meeting a document in a list costs one.
 MOST_MATCHES = 4
 VERIFY = 0.25
-#: Bits of a set's map.
-BITS = 512
 #: Documents of a list that meet in one task, about, and prefix shingles that a task holds.
 LIST_ROWS = 1024
 CELL_ROWS = 300_000
@@ -66,14 +64,6 @@ def set_hashes(s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def parity_maps(s: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Each set's map of bits: the parity of its shingles by hash."""
-    row = np.repeat(np.arange(len(size)), size)
-    counts = np.bincount(row * BITS + (mix(s) >> np.uint64(20)).astype(np.int64) % BITS, minlength=len(size) * BITS)
-    packed = np.packbits((counts & 1).astype(bool).reshape(-1, BITS), axis=1).tobytes()
-    return [packed[i: i + BITS // 8] for i in range(0, len(packed), BITS // 8)]
-
-
 def _prints(k: int, counters: int):
     """A row for each text with its set's size and hashes, and rows with blocks of the task's counters."""
     names = ["id", "text_key", "n", "node", "other", "bits", "block", "counts"]
@@ -183,9 +173,7 @@ def _gathered(batches, *names: str):
     order = order[np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (node[1:] != node[:-1])])]
     out = {n: v[order].astype(np.int64) for n, v in c.items()}
     if "bits" in t.column_names:
-        bits = t.column("bits").combine_chunks()
-        begin = bits.offset * (BITS // 8)  # each map has as many bytes
-        out["bits"] = np.frombuffer(bits.buffers()[2], dtype=np.uint64, count=len(bits) * BITS // 64, offset=begin).reshape(len(bits), BITS // 64)[order]
+        out["bits"] = map_words(t.column("bits"))[order]
     return t, order, out
 
 
@@ -209,10 +197,7 @@ def matched(c: dict[str, np.ndarray], last: int | None = None):
         hit &= (side[at] != side[to]) | (side[at] < 0)
         a, b, both = at[hit], to[hit], both[hit]
         if "bits" in c:
-            close = np.ones(len(a), dtype=bool)
-            for i in range(0, len(a), 1 << 16):
-                differing = np.bitwise_count(c["bits"][a[i: i + (1 << 16)]] ^ c["bits"][b[i: i + (1 << 16)]]).sum(axis=1, dtype=np.int64)
-                close[i: i + (1 << 16)] = (OF + AT_LEAST) * differing <= (OF - AT_LEAST) * (size[a[i: i + (1 << 16)]] + size[b[i: i + (1 << 16)]])
+            close = (OF + AT_LEAST) * map_distances(c["bits"], a, b) <= (OF - AT_LEAST) * (size[a] + size[b])
             a, b, both = a[close], b[close], both[close]
         if len(a):
             yield a, b, both

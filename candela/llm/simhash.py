@@ -23,7 +23,8 @@ connected by pairs of at least the threshold.  Pairs first meet by fingerprints
 distinct words at CANDIDATE_RADIUS or less (and, as similar sets have similar sizes, sizes within
 the threshold).  What these miss comes from an exact prefix filter: with all shingles in one order,
 rare ones first, two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each,
-and the places of the first one they share bound what they can have in common.
+and the places of the first one they share bound what they can have in common; parity maps of the sets, which differ in no more bits than
+the sets in shingles, drop most other pairs where they meet.
 Shingles and texts are told apart by 64 and 128 bits of hash.
 
 Defined results of ``near_duplicates``: null texts are empty, texts without words are similar to each other and to
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import components, local_roots, lowered, mix, ordered, scratch, shingle_hashes, slices, stored, text_buffers, text_or_empty, trimmed, word_hashes, words
+from candela.llm.common import components, local_roots, lowered, map_distances, map_words, mix, ordered, parity_maps, scratch, shingle_hashes, slices, stored, text_buffers, text_or_empty, trimmed, word_hashes, words
 
 SEED = 42
 RADIUS = 2
@@ -99,8 +100,8 @@ def shingle_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> np.nd
     return majority_bits(hashes, per)
 
 
-def word_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of the distinct words, and the number of distinct k-word shingles."""
+def word_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """SimHash of the distinct words, the number of distinct k-word shingles, and the parity map of these."""
     data = lowered(data)
     starts, ends, counts = words(data, offsets)
     h = word_hashes(data, starts, ends)
@@ -117,7 +118,8 @@ def word_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np
     r, x = row[order], s[order]
     new = np.ones(len(x), dtype=bool)
     new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
-    return fp, np.bincount(r[new], minlength=n)
+    size = np.bincount(r[new], minlength=n)
+    return fp, size, parity_maps(x[new], size)
 
 
 def _print_shingles(k: int):
@@ -137,7 +139,7 @@ def _print_words(k: int):
             parts = [word_fingerprints(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], k) for lo, hi in slices(offsets)]
             fp = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             size = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), b.column("other"), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64))], names=["id", "node", "other", "fp", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), b.column("other"), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), pa.array([m for p in parts for m in p[2]], pa.binary())], names=["id", "node", "other", "fp", "size", "bits"])
         trimmed()
     return run
 
@@ -347,8 +349,8 @@ def _prefix_rows(k: int, threshold: float, shared):
     return run
 
 
-def near_in_cells(cell: np.ndarray, size: np.ndarray, place: np.ndarray, threshold: float, first: int = 1, last: int | None = None):
-    """Positions (a, b) of pairs in the cells that may be similar, in portions; sorted by cell and size."""
+def near_in_cells(cell: np.ndarray, size: np.ndarray, place: np.ndarray, threshold: float, first: int = 1, last: int | None = None, maps: np.ndarray | None = None):
+    """Positions (a, b) of pairs in the cells that may be similar, in portions; sorted by cell and size. ``maps``: parity maps of the rows' sets."""
     at, step = np.arange(len(cell)), first
     while last is None or step <= last:
         at = at[at + step < len(cell)]
@@ -361,8 +363,12 @@ def near_in_cells(cell: np.ndarray, size: np.ndarray, place: np.ndarray, thresho
         most = np.minimum(size[at] - place[at], size[to] - place[to])
         hit = most >= threshold / (1 + threshold) * (size[at] + size[to]) - 1e-9
         hit |= size[at] + size[to] == 0
-        if hit.any():
-            yield at[hit], to[hit]
+        a, b = at[hit], to[hit]
+        if maps is not None:
+            close = map_distances(maps, a, b) <= (1 - threshold) / (1 + threshold) * (size[a] + size[b]) + 1e-9
+            a, b = a[close], b[close]
+        if len(a):
+            yield a, b
         step += 1
 
 
@@ -396,13 +402,14 @@ def _cell_pairs(threshold: float, first: int, last: int | None):
             return
         t, order, cell, node, size, place = _in_cells(got)
         root = t.column("root").to_numpy()[order] if "root" in t.column_names else node
+        maps = map_words(t.column("bits"))[order]
         names, which = np.unique(node, return_inverse=True)
         held, n = [], 0
 
         def pairs():
             ab = np.unique(np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array(names[ab // len(names)]), pa.array(names[ab % len(names)])], names=["a", "b"])
-        for a, b in near_in_cells(cell, size, place, threshold, first, last):
+        for a, b in near_in_cells(cell, size, place, threshold, first, last, maps):
             apart = root[a] != root[b]
             a, b = which[a[apart]], which[b[apart]]
             held.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
@@ -481,12 +488,13 @@ def similar_groups(rows: DataFrame, nodes: DataFrame, known: DataFrame, k: int,
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // 4 // CELL_ROWS)
     schema = "cell long, node long, size int, place int"
     met = stored(texts.mapInArrow(_prefix_rows(k, threshold, shared), schema).repartition(parts, "cell").mapInArrow(_met(threshold), schema), "met")
+    met = stored(met.join(nodes.select(F.col("node").alias("_node"), "bits"), F.col("node") == F.col("_node")).drop("_node"), "met_bits")
     first, out, roots = 1, known, None
     for last in (*NEIGHBOURS, None):
         held = met
         if roots is not None:
-            held = met.join(F.broadcast(roots) if few else roots, F.col("node") == F.col("_node"), "left").select("cell", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-        near = _verified(held.repartition("cell").mapInArrow(_cell_pairs(threshold, first, last), "a long, b long"), rows, nodes, k, threshold)
+            held = met.join(F.broadcast(roots) if few else roots, F.col("node") == F.col("_node"), "left").select("cell", "node", "size", "place", "bits", F.coalesce("root", "node").alias("root"))
+        near = _verified(held.repartition(parts, "cell").mapInArrow(_cell_pairs(threshold, first, last), "a long, b long"), rows, nodes, k, threshold)
         out, first = out.unionByName(near), (last or 0) + 1
         if roots is None or not near.isEmpty():
             roots = stored(components(out), "roots").withColumnRenamed("node", "_node")
@@ -510,10 +518,10 @@ def near_duplicates(documents: DataFrame, k: int = K, threshold: float = SIMILAR
     """
     with scratch(documents.sparkSession):
         rows = _keyed(documents, doc_id, text)
-        prints = stored(rows.mapInArrow(_print_words(k), "id long, node long, other long, fp long, size long"), "prints")
-        counted = stored(prints.groupBy("node", "other", "id").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size")), "counted")
-        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "other", "fp", "size")).alias("first")
-        nodes = stored(counted.groupBy("node").agg(first).select("node", "first", F.col("first.fp").alias("fp"), F.col("first.size").alias("size")), "nodes")
+        prints = stored(rows.mapInArrow(_print_words(k), "id long, node long, other long, fp long, size long, bits binary"), "prints")
+        counted = stored(prints.groupBy("node", "other", "id").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bits").alias("bits")), "counted")
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "other", "fp", "size", "bits")).alias("first")
+        nodes = stored(counted.groupBy("node").agg(first).select("node", "first", F.col("first.fp").alias("fp"), F.col("first.size").alias("size"), F.col("first.bits").alias("bits")), "nodes")
         near = _verified(links(nodes.select("node", "fp", "size"), radius, banded=True), rows, nodes, k, threshold)
         found = similar_groups(rows, nodes, near, k, threshold)
         rooted = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))

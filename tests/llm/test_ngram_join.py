@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from candela.llm import ngram_join, simhash
-from candela.llm.common import shingle_sets, text_buffers
+from candela.llm.common import parity_maps, shingle_sets, text_buffers
 from tests.llm.conftest import DOC, doc, words
 
 
@@ -115,7 +115,7 @@ def test_maps_differ_in_no_more_bits_than_sets():
     for n in (1, 30, 900):
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 9 + 1, dtype=np.uint64)]))
-        x, y = (np.frombuffer(m, np.uint64) for m in ngram_join.parity_maps(np.concatenate([a, b]), np.array([len(a), len(b)])))
+        x, y = (np.frombuffer(m, np.uint64) for m in parity_maps(np.concatenate([a, b]), np.array([len(a), len(b)])))
         apart = len(np.setxor1d(a, b))
         assert apart / 3 < np.bitwise_count(x ^ y).sum() <= apart and (np.bitwise_count(x ^ y).sum() - apart) % 2 == 0
 
