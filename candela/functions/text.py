@@ -366,10 +366,26 @@ def answer_prefix(raw_text: Column, found: Column) -> Column:
 
 # -- prompts ---------------------------------------------------------------------------------------
 
+def one_decimal(x: Column) -> Column:
+    """A number with one decimal: its exact binary value is rounded, a true tie to the even digit. (format_string rounds the shortest decimal form up.)"""
+    def rounded(v: Column) -> Column:
+        a, k = v["a"], v["k"]
+        tie = (2 * k + 1) / F.lit(20.0)
+        # what 20 a is beyond 2 k + 1, without rounding: the sum of 16 a and 4 a and its error
+        large, small = a * 16.0, a * 4.0
+        near = large + small
+        part = near - large
+        off = (near - (2 * k + 1)) + ((large - (near - part)) + (small - part))
+        up = F.when(a != tie, a > tie).when(off != 0, off > 0).otherwise(k % 2 == 1)
+        return k + F.when(up, 1).otherwise(0)
+    tenths = bound(F.struct(F.abs(x).cast("double").alias("a"), F.floor(F.abs(x) * 10).cast("bigint").alias("k")), rounded)
+    return bound(tenths, lambda d: F.concat(F.when(x < 0, "-").otherwise(""), F.floor(d / 10).cast("bigint").cast("string"), F.lit("."), (d % 10).cast("string")))
+
+
 def number_text(x: Column) -> Column:
     """A whole number without decimals, any other with one."""
     near = F.bround(x)
-    return F.when(F.abs(x - near) < 1e-6, near.cast("long").cast("string")).otherwise(F.format_string("%.1f", x))
+    return F.when(F.abs(x - near) < 1e-6, near.cast("long").cast("string")).otherwise(one_decimal(x))
 
 
 def question_text(question: Column, bbox: Column) -> Column:

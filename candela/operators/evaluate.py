@@ -57,6 +57,11 @@ def degeneracy(df: DataFrame, group: str, order: str, scores: list[str], candida
     return out.withColumn("is_degenerate", (F.col("nonconstant_rate") < 0.3) & (F.col("winner_not_candidate0_rate") < 0.1))
 
 
+def all_degenerate(per_reward: DataFrame) -> DataFrame:
+    """One row: rewards, how many are degenerate, and whether all are (false of none)."""
+    return per_reward.agg(F.count("*").alias("rewards"), F.count_if("is_degenerate").alias("degenerate"), F.coalesce(F.bool_and("is_degenerate"), F.lit(False)).alias("all_degenerate"))
+
+
 def inconsistencies(scored: DataFrame, candidates: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
     """Scored rows without a candidate, or that differ from it in a field: keys, missing, differs (field names). Of repeated candidates the last counts."""
     right = candidates.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(F.max_by(F.struct(*fields), F.col(order)).alias("_c"))

@@ -31,16 +31,16 @@ def read_jsonl_audited(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return both.where("r._corrupt_record is null").select("r.*").drop("_corrupt_record"), both.where("r._corrupt_record is not null").select("value")
 
 
-def read_document(spark: SparkSession, path: str, schema: str) -> dict | None:
-    """One JSON document as a dict; None where it is missing or can't be parsed."""
+def read_document(spark: SparkSession, path: str, schema: str, missing: dict | None = None) -> dict | None:
+    """One JSON document as a dict; ``missing`` where there is none or it can't be parsed."""
     try:
         row = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path).first()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        return missing
     if row is None or row["_corrupt_record"] is not None:
-        return None
+        return missing
     return {k: v for k, v in row.asDict(recursive=True).items() if k != "_corrupt_record"}
 
 
@@ -131,9 +131,20 @@ def first_wins(records: DataFrame, key: list[str]) -> DataFrame:
     return records.groupBy(*key).agg(F.min_by(F.struct(*rest), "ordinal").alias("_r")).select(*key, "_r.*")
 
 
+#: Largest file whose content Spark reads into one row.
+WHOLE = (1 << 31) - 1
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, md5) of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.md5("content").alias("md5"))
+    """(path, length, md5) of each file; md5 is null for one too large to be read whole. A path that is missing gives no rows."""
+    try:
+        found = spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], "path string, length long, md5 string")
+        raise
+    whole = found.where(F.col("length") <= WHOLE).select("path", "length", F.md5("content").alias("md5"))
+    return whole.unionByName(found.where(F.col("length") > WHOLE).select("path", "length", F.lit(None).cast("string").alias("md5")))
 
 
 def line_count(spark: SparkSession, path: str) -> int:

@@ -99,3 +99,10 @@ def test_text_of_null_is_empty(spark):
     df = spark.createDataFrame([(None,)], "x string")
     r = df.select(text.norm(F.col("x")).alias("n"), text.yesno(F.col("x")).alias("y"), text.final_answer(F.col("x"))["source"].alias("s"), text.exact_form(F.col("x")).alias("e")).first()
     assert (r.n, r.y, r.s, r.e) == ("", "other", "fallback_raw", "")
+
+
+def test_numbers_in_texts(spark):
+    some = [0.25, 0.35, 0.45, 0.75, 12.35, 12.25, 1.05, 2.675, 99.95, 0.05, 0.15, 1e9 + 0.25, 1e9 + 0.75, 7.0000001, 8.9999999, 3.0, -2.25, -0.35, 123456.85] + [i / 100 for i in range(1, 400, 3)] + [i / 7 for i in range(60)]
+    df = spark.createDataFrame([(x,) for x in some], "x double")
+    want = [str(round(x)) if abs(x - round(x)) < 1e-6 else f"{x:.1f}" for x in some]
+    assert [r.t for r in df.select(text.number_text(F.col("x")).alias("t")).collect()] == want

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from candela.plans import answers, boxes, catalog, live, pools, records, report_queries, span_queries, summary_queries, vocabulary  # noqa: F401
+from candela.plans import answers, boxes, catalog, completion_queries, live, pools, records, report_queries, span_queries, summary_queries, vocabulary  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
