@@ -123,3 +123,29 @@ def abs_delta(a: Column, b: Column) -> Column:
     """struct(mean, max) of the absolute differences."""
     d = F.zip_with(a, b, lambda x, y: F.abs(x - y))
     return F.struct(average(d).alias("mean"), F.array_max(d).alias("max"))
+
+
+def span_reduced(values: Column, mode: str) -> Column:
+    """One figure of a span's: mean or max over more than one place; else (single, or one place) the sum; 0 of none."""
+    many = {"mean": total(values) / F.size(values), "max": F.array_max(values)}.get(mode)
+    out = total(values) if many is None else F.when(F.size(values) > 1, many).otherwise(total(values))
+    return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, out).otherwise(0.0)
+
+
+def mean_vector(vectors: Column) -> Column:
+    """Componentwise mean; null of none."""
+    def summed(own: Column) -> Column:
+        zero = F.transform(F.get(own, F.lit(0)), lambda x: x * 0.0)
+        return F.transform(F.aggregate(own, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)), lambda x: x / F.size(own))
+    return F.when(F.size(vectors) > 0, bound(vectors, summed))
+
+
+def state_distances(a: Column, b: Column, targets: Column, prompt_length: Column) -> Column:
+    """struct of cosine and L2 distances of two sequences of vectors: means at the targets that are in range (null of none), at the prompt's last place, and at the last."""
+    def pair(x: Column, y: Column, name: str) -> list[Column]:
+        both = x.isNotNull() & y.isNotNull()
+        return [F.when(both, cosine_distance(x, y)).alias(f"{name}_cosine"), F.when(both, l2_distance(x, y)).alias(f"{name}_l2")]
+    last = F.size(a) - 1
+    at = {"tgt": (mean_vector(gather(a, targets)), mean_vector(gather(b, targets))), "prompt_last": tuple(F.get(v, F.least(prompt_length - 1, last)) for v in (a, b)), "seq_last": tuple(F.get(v, last) for v in (a, b))}
+    fields = F.struct(*[v.alias(f"{n}_{i}") for n, both in at.items() for i, v in enumerate(both)])
+    return bound(fields, lambda f: F.struct(*[c for n in at for c in pair(f[f"{n}_0"], f[f"{n}_1"], n)]))

@@ -25,6 +25,15 @@ def pearson(x: Column, y: Column, least: int = 3, flat: float = 1e-15) -> Column
     return F.when((F.count(a) >= least) & (spread > flat), F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
+def pearson_of_all(x: Column, y: Column, least: int = 3, flat: float = 1e-12) -> Column:
+    """Aggregate: correlation of all pairs without nulls; NaN with fewer than ``least``, with a deviation below ``flat``, or where any number is NaN or infinite."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = (F.when(both, v.cast("double")) for v in (x, y))
+    odd = F.count_if(both & ~(finite(x).isNotNull() & finite(y).isNotNull())) > 0
+    usable = (F.count(a) >= least) & ~odd & (F.stddev_pop(a) >= flat) & (F.stddev_pop(b) >= flat)
+    return F.when(usable, F.corr(a, b)).otherwise(F.lit(float("nan")))
+
+
 def rate(flag: Column) -> Column:
     """Aggregate: share of rows where flag holds; null counts as no."""
     return F.avg(F.coalesce(flag, F.lit(False)).cast("int"))

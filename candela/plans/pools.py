@@ -96,9 +96,7 @@ def bucket_draws(spark, sf_dir):
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) AS place FROM orders ORDER BY 2 LIMIT 20")
 def text_order(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("id")).orderBy("id").limit(20)
-    # twenty rows
-    return o.agg(F.array_sort(F.collect_list(F.struct("id", "o_orderkey"))).alias("a")).select(F.posexplode("a").alias("p", "r")).select("r.o_orderkey", "r.id", (F.col("p") + 1).cast("long").alias("place"))
+    return dataset.text_first(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("id")), "o_orderkey", 20)
 
 
 @query("SELECT p_partkey, p_size % 3 = 0 OR p_size % 3 = 1 AS infra FROM part")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from candela.functions import arrays, vectors
+from candela.functions import arrays, stats, vectors
 from candela.plans.catalog import query, rounded
-from candela.plans.tables import table
+from candela.plans.tables import CAND, candidates, table
+from candela.sources import files
 
 SPREAD = 512  # an embedding of 64 components makes 32,768 logits
 
@@ -53,3 +54,41 @@ def replaced_sequences(spark, sf_dir):
     modes = {"noise": vectors.noised(F.col("s"), at, F.col("vec_id"), 7), "near": arrays.replaced(F.col("s"), at, "mean", idx(0, 2, 9)), "mean": arrays.replaced(F.col("s"), at, "mean", idx(9)), "zero": arrays.replaced(F.col("s"), at, "zero")}
     wide = d.select("vec_id", F.posexplode(F.arrays_zip(*[m.alias(n) for n, m in modes.items()])).alias("place", "z")).select("vec_id", "place", F.posexplode(F.arrays_zip(*[F.col(f"z.{n}").alias(n) for n in modes])).alias("component", "x"))
     return rounded(wide.select("vec_id", "place", F.col("component").cast("long").alias("component"), *[(F.col(f"x.{n}") + 0.0).alias(n) for n in modes]), 6)
+
+
+_PARTS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT vec_id, [v[1:8], v[9:16], v[17:24], v[25:32]] AS a, [v[33:40], v[41:48], v[49:56], v[57:64]] AS b FROM v)"
+
+
+def _parts(spark, sf_dir):
+    v = arrays.doubles(F.col("embedding"))
+    cut = lambda at: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(v, i * 8 + at, F.lit(8)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", cut(1).alias("a"), cut(33).alias("b"))
+
+
+@query(f"""WITH {_PARTS}, m AS (SELECT vec_id, a, b, list_transform(range(1, 9), lambda j: (a[2][j] + a[3][j]) / 2) AS ta, list_transform(range(1, 9), lambda j: (b[2][j] + b[3][j]) / 2) AS tb FROM s)
+SELECT vec_id, round(1 - list_cosine_similarity(ta, tb), 6) AS tgt_cosine, round(list_distance(ta, tb), 6) AS tgt_l2, round(1 - list_cosine_similarity(a[3], b[3]), 6) AS prompt_last_cosine, round(list_distance(a[3], b[3]), 6) AS prompt_last_l2, round(1 - list_cosine_similarity(a[4], b[4]), 6) AS seq_last_cosine, round(list_distance(a[4], b[4]), 6) AS seq_last_l2 FROM m""")
+def state_distances(spark, sf_dir):
+    d = arrays.state_distances(F.col("a"), F.col("b"), F.array(F.lit(1), F.lit(2), F.lit(7)), F.lit(3))
+    return rounded(_parts(spark, sf_dir).select("vec_id", d.alias("d")).select("vec_id", "d.*"))
+
+
+@query(f"""WITH {_PARTS}, x AS (SELECT vec_id, a[1][1:(vec_id % 4)] AS x FROM s) SELECT vec_id, round(CASE WHEN len(x) = 0 THEN 0 ELSE list_avg(x) END, 6)::DOUBLE AS mean, round(CASE WHEN len(x) = 0 THEN 0 ELSE list_max(x) END, 6)::DOUBLE AS most, round(CASE WHEN len(x) = 0 THEN 0 ELSE list_sum(x) END, 6)::DOUBLE AS single FROM x""")
+def span_reductions(spark, sf_dir):
+    x = _parts(spark, sf_dir).select("vec_id", F.slice(F.get("a", F.lit(0)), F.lit(1), (F.col("vec_id") % 4).cast("int")).alias("x"))
+    return rounded(x.select("vec_id", *[arrays.span_reduced(F.col("x"), m).alias(n) for n, m in (("mean", "mean"), ("most", "max"), ("single", "single"))]))
+
+
+@query(f"""WITH {CAND}, s AS (SELECT task, candidate_id, count(*) AS n, stddev_pop(score_ties) AS a, stddev_pop(score_tax) AS b, corr(score_ties, score_tax) AS c FROM cand GROUP BY 1, 2)
+SELECT task, candidate_id, CASE WHEN n < 3 OR a < 1e-12 OR b < 1e-12 THEN NULL ELSE round(c, 6) END AS correlation, true AS odd FROM s""")
+def plain_correlations(spark, sf_dir):
+    g = candidates(spark, sf_dir).groupBy("task", "candidate_id").agg(stats.pearson_of_all(F.col("score_ties"), F.col("score_tax")).alias("c"), stats.pearson_of_all(F.when(F.col("score_tax") >= 0, float("nan")), F.col("score_tax")).alias("o"))
+    return rounded(g.select("task", "candidate_id", F.nanvl("c", F.lit(None)).alias("correlation"), F.isnan("o").alias("odd")))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '/data/a' || p_size WHEN 1 THEN '/root/dir/b' || p_size WHEN 2 THEN 'c' || p_size END AS path FROM part""")
+def adapter_paths(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    ref = F.expr("CASE p_partkey % 5 WHEN 0 THEN '/data/a' || p_size WHEN 1 THEN './b' || p_size WHEN 2 THEN 'c' || p_size WHEN 3 THEN '/gone/' || p_size ELSE '' END")
+    p = table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref"), size.alias("size"))
+    there = p.select(F.explode(F.array(F.concat(F.lit("/data/a"), "size"), F.concat(F.lit("/root/dir/b"), "size"), F.concat(F.lit("c"), "size"))).alias("path"))
+    return files.adapter_paths(p, "p_partkey", "ref", there, "/root/dir/")

@@ -164,6 +164,25 @@ def image_candidates(ref: Column, root: str) -> Column:
     return F.when(F.coalesce(ref, F.lit("")) != "", F.array_distinct(F.array_compact(tries))).otherwise(F.array().cast("array<string>"))
 
 
+def plain_path(path: Column) -> Column:
+    """Without doubled strokes, ``.`` parts and a stroke at the end."""
+    out = F.regexp_replace(F.regexp_replace(path, r"/(\./)+", "/"), "/{2,}", "/")
+    return F.regexp_replace(F.regexp_replace(out, r"^(\./)+(?=.)", ""), "(?<=.)/+$", "")
+
+
+def adapter_candidates(ref: Column, root: str) -> Column:
+    """Places of a data set's own reference, in order: an absolute one as it is; another under the root, then as it is."""
+    tries = F.when(ref.startswith("/"), F.array(ref)).otherwise(F.transform(F.array(*([F.concat(F.lit(root.rstrip("/") + "/"), ref)] if root else []), ref), plain_path))
+    return F.when(F.coalesce(ref, F.lit("")) != "", F.array_distinct(tries)).otherwise(F.array().cast("array<string>"))
+
+
+def adapter_paths(samples: DataFrame, key: str, ref: str, files: DataFrame, root: str) -> DataFrame:
+    """(key, path): the first of ``adapter_candidates`` that is among ``files(path)``; null if none is."""
+    long = samples.select(key, F.posexplode_outer(adapter_candidates(F.col(ref), root)).alias("pos", "path"))
+    found = long.join(files.select("path").distinct(), "path").groupBy(key).agg(F.min_by("path", "pos").alias("path"))
+    return samples.select(key).join(found, key, "left")
+
+
 def resolved_paths(samples: DataFrame, key: str, refs: list[str], files: DataFrame, root: str) -> DataFrame:
     """(key, path): the first candidate of the references in order that is among ``files(path)``; null if none is."""
     tries = F.flatten(F.array(*[image_candidates(F.col(r), root) for r in refs]))

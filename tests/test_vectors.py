@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candela.functions import arrays, vectors
+from candela.functions import arrays, stats, vectors
+from candela.sources import files
 
 
 def test_top_places_against_a_sort():
@@ -50,3 +51,20 @@ def test_noise_is_normal_and_repeats(spark):
     assert abs(r[0]) < 0.2 and abs(r[1] - sd) < 0.2 and abs(r[2]) < 0.06 and r[3:] == (7.0, 5.0)
     assert noisy.exceptAll(df.repartition(7).select("id", vectors.noised(F.col("s"), F.array(F.lit(1), F.lit(9)), F.col("id"), 3))).count() == 0
     assert arrays.replaced is not None and pytest.raises(ValueError, arrays.replaced, F.col("s"), F.array(F.lit(1)), "noise")
+
+
+def test_spans_states_and_correlations(spark):
+    df = spark.createDataFrame([([],), ([2.0],), ([1.0, 4.0],), (None,)], "v array<double>")
+    assert [tuple(r) for r in df.select(*[arrays.span_reduced(F.col("v"), m) for m in ("mean", "max", "single")]).collect()] == [(0.0, 0.0, 0.0), (2.0, 2.0, 2.0), (2.5, 4.0, 5.0), (0.0, 0.0, 0.0)]
+    seq = spark.createDataFrame([([[1.0, 0.0], [3.0, 0.0]], [[0.0, 1.0], [0.0, 1.0]])], "a array<array<double>>, b array<array<double>>")
+    d = seq.select(arrays.state_distances(F.col("a"), F.col("b"), F.array(F.lit(0), F.lit(1), F.lit(9)), F.lit(1)).alias("d"), arrays.state_distances(F.col("a"), F.col("b"), F.array(F.lit(5)), F.lit(4)).alias("e")).first()
+    assert d.d.tgt_cosine == 1.0 and d.d.tgt_l2 == pytest.approx(math.sqrt(5)) and d.d.prompt_last_l2 == pytest.approx(math.sqrt(2)) and d.d.seq_last_l2 == pytest.approx(math.sqrt(10))
+    assert d.e.tgt_cosine is None and d.e.prompt_last_l2 == d.e.seq_last_l2
+    rows = [("ok", 1.0, 2.0), ("ok", 2.0, 4.0), ("ok", 3.0, 6.0), ("nan", 1.0, 1.0), ("nan", float("nan"), 2.0), ("nan", 3.0, 3.0), ("nan", 4.0, 9.0), ("few", 1.0, 2.0), ("few", 2.0, 3.0), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)]
+    got = {r.k: r.c for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(stats.pearson_of_all(F.col("x"), F.col("y")).alias("c")).collect()}
+    assert got["ok"] == pytest.approx(1.0) and all(math.isnan(got[k]) for k in ("nan", "few", "flat"))
+
+
+def test_paths_of_a_data_set(spark):
+    df = spark.createDataFrame([("/a//b",), ("./x/./y/",), ("z",), ("",), (None,)], "p string")
+    assert [r.c for r in df.select(files.adapter_candidates(F.col("p"), "/r/").alias("c")).collect()] == [["/a//b"], ["/r/x/y", "x/y"], ["/r/z", "z"], [], []]
