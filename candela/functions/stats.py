@@ -31,7 +31,7 @@ def pearson_of_all(x: Column, y: Column, least: int = 3, flat: float = 1e-12) ->
     a, b = (F.when(both, v.cast("double")) for v in (x, y))
     odd = F.count_if(both & ~(finite(x).isNotNull() & finite(y).isNotNull())) > 0
     usable = (F.count(a) >= least) & ~odd & (F.stddev_pop(a) >= flat) & (F.stddev_pop(b) >= flat)
-    return F.when(usable, F.corr(a, b)).otherwise(F.lit(float("nan")))
+    return F.when(usable, F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))).otherwise(F.lit(float("nan")))
 
 
 def rate(flag: Column) -> Column:
