@@ -176,9 +176,9 @@ def cells(fp: np.ndarray, radius: int, alike: int = 1) -> np.ndarray:
     return np.stack(out, axis=1) if len(fp) else np.zeros((0, len(out)), np.uint64)
 
 
-def alike_groups(points: int, radius: int) -> int:
-    """Groups that a cell has in common: so many that evenly spread points (1.5 bits a segment) are about CELL_POINTS in a cell."""
-    return next((j for j in range(1, 5) if 48 * j / (radius + j) >= np.log2(max(1, points / CELL_POINTS))), 5)
+def alike_groups(points: int, radius: int, least: int = 1) -> int:
+    """Groups that a cell has in common, ``least`` at least: so many that evenly spread points (1.5 bits a segment) are about CELL_POINTS in a cell."""
+    return next((j for j in range(least, 5) if 48 * j / (radius + j) >= np.log2(max(1, points / CELL_POINTS))), 5)
 
 
 def _dealt(radius: int, alike: int, banded: bool):
@@ -261,7 +261,7 @@ def _forest(radius: int):
 def links(points: DataFrame, radius: int, banded: bool = False) -> DataFrame:
     """Links (a, b) that connect what all links connect; ``points``: distinct (node, fp[, size]), a stored table."""
     spread, n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count()
-    alike = alike_groups(n, radius)
+    alike = alike_groups(n, radius, 2 if banded else 1)  # points of distinct words cluster more
     dealt = points.mapInArrow(_dealt(radius, alike, banded), "cell long, node long, fp long")
     rows = n * len(list(combinations(range(radius + alike), alike))) * (2 if banded else 1)
     return dealt.repartition(max(spread, rows // CELL_ROWS), "cell").mapInArrow(_forest(radius), "a long, b long")
