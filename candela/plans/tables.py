@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 TASKS = {"1-URGENT": "counting", "2-HIGH": "attribute", "3-MEDIUM": "spatial", "4-NOT SPECIFIED": "existence", "5-LOW": "other"}
 
 
+#: Order lines of a partition of the candidates, about: a task holds as much whatever the size of the tables.
+ROWS = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per order line: the order is the sample, its lines are the candidates."""
+    """A row per order line: the order is the sample, its lines are the candidates.
+
+    Partitions by order, as many as the rows call for, so that no task's sort or hash grows with the tables; what groups by sample needs no further shuffle.
+    """
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
+    parts = max(1, -(-max(line.count(), orders.count()) // ROWS))
+    named = line.join(part, line.l_partkey == part.p_partkey).repartition(parts, "l_orderkey")
+    joined = named.join(orders.repartition(parts, "o_orderkey").hint("shuffle_hash"), named.l_orderkey == orders.o_orderkey)
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")) - 1
     task = F.lit("other")
     for label, name in TASKS.items():
