@@ -255,25 +255,36 @@ def random_box(width: Column, height: Column, key: Column) -> Column:
 
 
 def area_matched_box(box: Column, width: Column, height: Column, key: Column, tries: int = 20, most: float = 0.3) -> Column:
-    """A box of about the same area and form elsewhere: the first draw that overlaps by less than ``most``, else the far corner."""
-    def u(s: Column) -> Column:
-        return geometry.unit_hash(F.concat_ws(":", key.cast("string"), s))
-    one = F.lit(1.0)
-    area = F.greatest(one, box[2] * box[3])
-    target = area * (0.8 + 0.4 * u(F.lit("area")))
-    w = F.greatest(one, F.least(F.sqrt(target * box[2] / F.greatest(one, box[3])), width * 0.9))
-    h = F.greatest(one, F.least(target / F.greatest(one, w), height * 0.9))
-
-    def draw(i: Column) -> Column:
-        return F.array(u(F.concat(F.lit("x"), i)) * F.greatest(one, width - w), u(F.concat(F.lit("y"), i)) * F.greatest(one, height - h), w, h)
-
-    def share(c: Column) -> Column:
-        x = F.greatest(F.lit(0.0), F.least(c[0] + c[2], box[0] + box[2]) - F.greatest(c[0], box[0]))
-        y = F.greatest(F.lit(0.0), F.least(c[1] + c[3], box[1] + box[3]) - F.greatest(c[1], box[1]))
-        return x * y / F.greatest(one, c[2] * c[3] + area - x * y)
-    drawn = F.filter(F.transform(F.sequence(F.lit(1), F.lit(tries)), draw), lambda c: share(c) < most)
-    corner = F.array(F.when(box[0] + box[2] / 2 < width / 2, F.greatest(F.lit(0.0), width - w)).otherwise(0.0), F.when(box[1] + box[3] / 2 < height / 2, F.greatest(F.lit(0.0), height - h)).otherwise(0.0), w, h)
-    return F.coalesce(F.get(drawn, F.lit(0)), corner)
+    """A box of about the same area and form elsewhere: the first draw that overlaps by less than ``most``, else the far corner. No draw is made after that one."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+
+    def u(x: Column, s: Column) -> Column:
+        return geometry.unit_hash(F.concat_ws(":", x["key"], s))
+
+    def wide(x: Column) -> Column:
+        target = x["area"] * (0.8 + 0.4 * u(x, F.lit("area")))
+        return F.struct(x["b"].alias("b"), x["width"].alias("width"), x["height"].alias("height"), x["key"].alias("key"), x["area"].alias("area"), target.alias("target"),
+                        F.greatest(one, F.least(F.sqrt(target * x["b"][2] / F.greatest(one, x["b"][3])), x["width"] * 0.9)).alias("w"))
+
+    def placed(x: Column, w: Column, h: Column) -> Column:
+        own, width, height = x["b"], x["width"], x["height"]
+
+        def draw(i: Column) -> Column:
+            return F.array(u(x, F.concat(F.lit("x"), i)) * F.greatest(one, width - w), u(x, F.concat(F.lit("y"), i)) * F.greatest(one, height - h), w, h)
+
+        def share(c: Column) -> Column:
+            across = F.greatest(zero, F.least(c[0] + c[2], own[0] + own[2]) - F.greatest(c[0], own[0]))
+            down = F.greatest(zero, F.least(c[1] + c[3], own[1] + own[3]) - F.greatest(c[1], own[1]))
+            return across * down / F.greatest(one, c[2] * c[3] + x["area"] - across * down)
+        first = F.reduce(F.sequence(F.lit(1), F.lit(tries)), F.lit(None).cast("array<double>"), lambda had, i: F.when(had.isNotNull(), had).otherwise(F.get(F.filter(F.array(draw(i)), lambda c: share(c) < most), F.lit(0))))
+        corner = F.array(F.when(own[0] + own[2] / 2 < width / 2, F.greatest(zero, width - w)).otherwise(0.0), F.when(own[1] + own[3] / 2 < height / 2, F.greatest(zero, height - h)).otherwise(0.0), w, h)
+        return F.coalesce(first, corner)
+
+    def sized(x: Column) -> Column:
+        h = F.greatest(one, F.least(x["target"] / F.greatest(one, x["w"]), x["height"] * 0.9))
+        return arrays.bound(F.struct(x.alias("x"), h.alias("h")), lambda y: placed(y["x"], y["x"]["w"], y["h"]))
+    asked = F.struct(box.alias("b"), width.alias("width"), height.alias("height"), key.cast("string").alias("key"), F.greatest(one, box[2] * box[3]).alias("area"))
+    return arrays.bound(asked, lambda x: arrays.bound(wide(x), sized))
 
 
 def visual_range(ids: Column, image_token: Column) -> Column:

@@ -134,4 +134,5 @@ SELECT k.p_partkey, round({_u('k.p_partkey', "'x'")} * greatest(1, iw - least(si
 def compared_boxes(spark, sf_dir):
     d = boxes(spark, sf_dir).withColumn("b", F.array(F.col("b")[0], F.col("b")[1], F.greatest(F.col("b")[2], F.lit(1.0)), F.greatest(F.col("b")[3], F.lit(1.0))))
     r, a = contract.random_box(F.col("iw"), F.col("ih"), F.col("p_partkey")), contract.area_matched_box(F.col("b"), F.col("iw"), F.col("ih"), F.col("p_partkey"))
-    return d.select("p_partkey", F.round(r[0], 3).alias("random_x"), F.round(r[3], 3).alias("random_h"), F.round(a[2], 3).alias("w"), F.round(a[3], 3).alias("h"), F.round(a[0], 3).alias("x"))
+    d = d.select("p_partkey", r.alias("r"), a.alias("a"))
+    return d.select("p_partkey", F.round(F.col("r")[0], 3).alias("random_x"), F.round(F.col("r")[3], 3).alias("random_h"), F.round(F.col("a")[2], 3).alias("w"), F.round(F.col("a")[3], 3).alias("h"), F.round(F.col("a")[0], 3).alias("x"))

@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from candela.plans import tables
+from candela.operators import contract
+from candela.plans import boxes, tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,3 +16,15 @@ def test_candidates_part_by_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS", 500, raising=False)
     sizes = [r[0] for r in tables.candidates(spark, SF).groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
     assert len(sizes) >= 10 and max(sizes) < 1000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_a_matched_box_is_sized_once(spark):
+    plan = boxes.compared_boxes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") < 12
+
+
+def test_a_matched_box_without_a_place_takes_the_far_corner(spark):
+    b = F.array(*map(F.lit, (0.0, 0.0, 90.0, 90.0)))
+    row = spark.range(1).select(contract.area_matched_box(b, F.lit(100.0), F.lit(100.0), F.col("id")).alias("a")).first().a
+    assert row[0] == pytest.approx(100.0 - row[2]) and row[1] == pytest.approx(100.0 - row[3])
