@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.geometry import box, data_split
 from candela.functions.text import strip, task_family, text
-from candela.operators.ranges import ROWS, mixed, numbered, ordinals, permuted
+from candela.operators.ranges import ROWS, mixed, numbered, ordinals, permuted_in_batches
 
 
 def to_bool(x: Column) -> Column:
@@ -119,7 +119,7 @@ def balanced_draws(df: DataFrame, family: str, key: str, epochs: int, seed: int
     whole = sizes.agg(F.min("size").alias("least"), F.count("*").alias("families")).first()
     draws = spark.range((whole.least or 0) * epochs * whole.families).select(F.col("id").alias("step"), (F.col("id") % F.lit(max(1, whole.families))).cast("int").alias("turn"), F.expr(f"id div {max(1, whole.families)}").alias("n"))
     drawn = draws.join(F.broadcast(turns), "turn").withColumns({"cycle": F.expr("n div size"), "place": F.col("n") % F.col("size")}).withColumn("own", mixed(seed, F.col("turn"), F.col("cycle")))
-    drawn = drawn.select("step", "family", permuted(F.col("place"), F.col("size"), F.col("own")).alias("row"))
+    drawn = drawn.select("step", "family", permuted_in_batches(F.col("place"), F.col("size"), F.col("own")).alias("row"))
     return drawn.join(rows, ["family", "row"]).select("step", "family", "key")
 
 

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from candela.operators import contract
+from candela.operators import contract, dataset, ranges
 from candela.plans import boxes, tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -28,3 +28,15 @@ def test_a_matched_box_without_a_place_takes_the_far_corner(spark):
     b = F.array(*map(F.lit, (0.0, 0.0, 90.0, 90.0)))
     row = spark.range(1).select(contract.area_matched_box(b, F.lit(100.0), F.lit(100.0), F.col("id")).alias("a")).first().a
     assert row[0] == pytest.approx(100.0 - row[2]) and row[1] == pytest.approx(100.0 - row[3])
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000, 2**31 + 11])
+def test_permuted_in_batches_is_the_fold(spark, size):
+    df = spark.range(min(size, 500)).select((F.lit(size).cast("long") - 1 - F.col("id")).alias("place"), F.lit(size).cast("long").alias("size"), (F.col("id") * 7919 % 11 + 2147483000 * (F.col("id") % 2)).alias("own"))
+    got = df.select(ranges.permuted_in_batches(F.col("place"), F.col("size"), F.col("own")).alias("a"), ranges.permuted(F.col("place"), F.col("size"), F.col("own")).alias("b")).collect()
+    assert got and all(r.a == r.b for r in got)
+
+
+def test_draws_have_no_fold(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "family string, key long")
+    assert "reduce(" not in dataset.balanced_draws(df, "family", "key", 2)._jdf.queryExecution().optimizedPlan().toString()
