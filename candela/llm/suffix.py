@@ -12,7 +12,7 @@ Rounds are as many as the longest string is long, so documents are not inserted
   equal windows have the same smallest hash, wherever they stand;
 * only pieces whose hash occurs in two documents at least go on; equal pieces count once per
   chunk of documents, with the smallest id;
-* a bucket of hashes is one collection of the pieces that share their hash with another, so its strings
+* a bucket of hashes is one collection of the runs of windows whose own hash another window has, so its strings
   are short and its size is set by the number of buckets; a task takes its buckets one after another; windows are equal
   where neighbours have ``length`` bytes in common;
 * the chunk gets the smallest id of every window back and marks the bytes.
@@ -47,6 +47,8 @@ GRAM = 24
 #: Bytes of text in a chunk, and of text for which a further bucket is made.
 CHUNK = 4_000_000
 BUCKET = 4_000_000
+#: Bytes of text whose windows are hashed together: their arrays stay in the cache.
+CACHED = 1 << 16
 #: Symbols that a round holds of each file at a time.
 BLOCK = 1 << 18
 LAST = np.int64((1 << 63) - 1)
@@ -245,19 +247,21 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         step *= 2
     if span > step:
         low = np.minimum(low[: len(low) - (span - step)], low[span - step:])
-    size = np.diff(offsets)
-    windows = np.maximum(size - length + 1, 0)
-    at = np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    h = low[at]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
+    # a head where the hash changes or a row begins; what begins within the last bytes of a row is no window
+    new = np.ones(n, dtype=bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[offsets[:-1][offsets[:-1] < n]] = True
     head = np.flatnonzero(new)
-    since = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
-    head = np.flatnonzero(since % span == 0)
-    row = np.searchsorted(offsets, at[head], side="right") - 1
-    return at[head], np.diff(np.append(head, len(at))), h[head], row
+    row = np.searchsorted(offsets, head, side="right") - 1
+    stop = np.minimum(np.append(head[1:], n), offsets[row + 1] - length + 1)
+    some = np.flatnonzero(stop > head)
+    head, row, windows = head[some], row[some], (stop - head)[some]
+    if windows.max(initial=0) > span:
+        parts = -(-windows // span)
+        of = np.repeat(np.arange(len(head)), parts)
+        ahead = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * span
+        head, row, windows = head[of] + ahead, row[of], np.minimum(windows[of] - ahead, span)
+    return head, windows, low[head], row
 
 
 def _key(h: np.ndarray) -> np.ndarray:
@@ -293,7 +297,7 @@ class Chunk:
         self.length, self.gram = length, gram
 
     def parts(self):
-        for lo, hi in slices(self.offsets):
+        for lo, hi in slices(self.offsets, CACHED):
             a, z = self.offsets[lo], self.offsets[hi]
             start, windows, h, row = pieces(self.data[a:z], self.offsets[lo: hi + 1] - a, self.length, self.gram)
             yield start + a, windows, h, row + lo
@@ -461,18 +465,30 @@ def _send(buckets: int, length: int, gram: int):
     return run
 
 
-def _hashes(body: np.ndarray, begin: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """The hash that each piece belongs to: that of its first window."""
-    prefix = prefix_hash(body)
-    down = powers_down(len(prefix))
-    out = np.full(len(begin), np.uint64((1 << 64) - 1))
-    for i in range(length - gram + 1):
-        at = begin + i
-        np.minimum(out, mix((prefix[at + gram] - prefix[at]) * down[at]), out=out)
-    return out
-
+def recurring(body: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: int):
+    """(piece, first window, windows) of the runs of windows whose hash another window of the pieces has, in order.
 
-def _sort(length: int, gram: int):
+    Equal windows have equal hashes, so no window beyond these has an equal one.
+    """
+    where = np.cumsum(windows) - windows
+    at = np.repeat(begin - where, windows) + np.arange(int(windows.sum()))
+    h = range_hash(prefix_hash(body), at, at + length)
+    order = np.argsort(h)
+    h = h[order]
+    same = np.zeros(len(h) + 1, dtype=bool)
+    np.equal(h[1:], h[:-1], out=same[1:-1])
+    hit = np.zeros(len(h) + 1, dtype=bool)
+    hit[order] = same[1:] | same[:-1]
+    first, cut = hit[:-1].copy(), np.zeros(len(h) + 1, dtype=bool)
+    cut[where] = True
+    first[1:] &= ~hit[:-2] | cut[1:-1]
+    head = np.flatnonzero(first)
+    last = np.flatnonzero(hit[:-1] & (~hit[1:] | cut[1:]))
+    piece = np.searchsorted(where, head, side="right") - 1
+    return piece, head - where[piece], last - head + 1
+
+
+def _sort(length: int):
     """A bucket's pieces as one collection; each chunk gets the smallest id of each window of its pieces."""
     def solve(told: list[dict]):
         size = [np.frombuffer(r["size"], np.uint8).astype(np.int64) for r in told]
@@ -486,16 +502,14 @@ def _sort(length: int, gram: int):
         np.minimum.at(value, of, least)
         windows = sizes[one] - length + 1
         where = np.cumsum(windows) - windows
-        # a piece whose hash no other piece has can share no window with one: its own id is the smallest
-        among = _hashes(body, begin[one], length, gram)
-        _, name, count = np.unique(among, return_inverse=True, return_counts=True)
-        met = np.flatnonzero(count[name] > 1)
+        # a window whose hash no other has is in no other piece: its own id is the smallest; runs of the others are the collection's strings
+        met, skip, n = recurring(body, begin[one], windows, length)
         found = np.repeat(value, windows)
         if len(met):
+            string = begin[one][met] + skip
             with tempfile.TemporaryDirectory() as folder:
-                least = Collection(body, begin[one][met], (begin + sizes)[one][met], folder).window_minima(length, value[met])
-            n = windows[met]
-            found[np.repeat(where[met] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = least
+                least = Collection(body, string, string + n + length - 1, folder).window_minima(length, value[met])
+            found[np.repeat(where[met] + skip - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = least
         at = 0
         for r, s in zip(told, size):
             own = of[at: at + len(s)]
@@ -589,7 +603,7 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         met = told.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "chunk long, bucket int, keys binary")
         keys = stored(met.groupBy("chunk").agg(F.collect_list("keys").alias("keys")), "keys")  # a chunk's own keys, at most
         sent = chunks.join(keys.hint("shuffle_hash"), "chunk").select("chunk", "texts", "offsets", "doc_ids", "keys").mapInArrow(_send(buckets, length, gram), "bucket int, chunk long, size binary, body binary, least binary")
-        back = sent.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort(length, gram), "chunk long, bucket int, runs binary, ids binary")
+        back = sent.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort(length), "chunk long, bucket int, runs binary, ids binary")
         back = stored(back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "runs", "ids")).alias("told")), "told")
         kinds = [f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry))]
         done = (chunks.join(keys.hint("shuffle_hash"), "chunk", "left").join(back.hint("shuffle_hash"), "chunk", "left")
