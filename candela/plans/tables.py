@@ -20,14 +20,20 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per order line: the order is the sample, its lines are the candidates.
 
     Partitions by order, as many as the rows call for, so that no task's sort or hash grows with the tables; what groups by sample needs no further shuffle.
+    Parts beyond ROWS are met in as many partitions by their key.  Lines of an order alike in number and price stand in the order of what else a candidate has,
+    so that their places are the same in every run and query.
     """
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     parts = max(1, -(-max(line.count(), orders.count()) // ROWS))
+    if part.count() <= ROWS:
+        part = F.broadcast(part)
+    else:
+        line, part = line.repartition(parts, "l_partkey"), part.repartition(parts, "p_partkey").hint("shuffle_hash")
     named = line.join(part, line.l_partkey == part.p_partkey).repartition(parts, "l_orderkey")
     joined = named.join(orders.repartition(parts, "o_orderkey").hint("shuffle_hash"), named.l_orderkey == orders.o_orderkey)
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")) - 1
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "p_name", "l_returnflag", "l_discount", "l_tax", "l_quantity", "o_orderpriority")) - 1
     task = F.lit("other")
     for label, name in TASKS.items():
         task = F.when(F.col("o_orderpriority") == label, name).otherwise(task)

@@ -40,3 +40,28 @@ def test_permuted_in_batches_is_the_fold(spark, size):
 def test_draws_have_no_fold(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "family string, key long")
     assert "reduce(" not in dataset.balanced_draws(df, "family", "key", 2)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _few_tables(spark, folder, turned: bool, parts: int = 4) -> str:
+    """Orders of four lines alike in number and price, in the files' order or turned about."""
+    lines = [(o, (o + i) % parts, 1, 1.0 + i, 100.0, 0.01 * i, 0.02, "RNAR"[i]) for o in range(60) for i in range(4)]
+    tables_ = {"lineitem": (lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"),
+               "orders": ([(o, "1-URGENT") for o in range(60)], "o_orderkey long, o_orderpriority string"), "part": ([(p, f"part {p}") for p in range(parts)], "p_partkey long, p_name string")}
+    for name, (rows, schema) in tables_.items():
+        spark.createDataFrame(rows[::-1] if turned else rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_places_of_like_lines_do_not_hang_on_the_order_of_files(spark, tmp_path):
+    one, other = (sorted(map(tuple, tables.candidates(spark, _few_tables(spark, tmp_path / str(t), t)).collect())) for t in (False, True))
+    assert one == other and len(one) == 240
+
+
+def test_many_parts_meet_in_partitions_by_rows(spark, tmp_path, monkeypatch):
+    folder = _few_tables(spark, tmp_path / "t", False, parts=40)
+    whole = sorted(map(tuple, tables.candidates(spark, folder).collect()))
+    monkeypatch.setattr(tables, "ROWS", 30)
+    df = tables.candidates(spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(l_partkey" in plan
+    assert sorted(map(tuple, df.collect())) == whole
