@@ -56,6 +56,7 @@ _FIXED, _SHARES = float(1 << 32), float(1 << 40)
 _CHAR = np.ones(256, dtype=np.int64)
 _CHAR[0xC0:0xE0], _CHAR[0xE0:0xF0], _CHAR[0xF0:] = 2, 3, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def plain_hash(prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -121,7 +122,10 @@ class Pieces:
     def text_of(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the pieces, one after another."""
         n = self.size[ids]
-        at = np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        whole = int(n.sum())
+        kind = np.int32 if whole + len(self.pool) < 1 << 31 else np.int64
+        at = np.repeat((self.start[ids] - (np.cumsum(n) - n)).astype(kind), n)
+        at += np.arange(whole, dtype=kind)
         return self.pool[at]
 
     def decode(self, ids) -> bytes:
@@ -247,7 +251,11 @@ def _streamed(seed: np.ndarray, stream: int) -> np.ndarray:
 def _uniform(seed: np.ndarray, at: np.ndarray, stream: int | None) -> np.ndarray:
     """Draws in (0, 1) from (row seed, position, stream); ``seed`` is streamed already where that is None."""
     base = seed if stream is None else _streamed(seed, stream)
-    h = mix(base + at.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return _unit(base + at.astype(np.uint64) * _STEP)
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
+    h = mix(h)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -258,9 +266,10 @@ def _draw(lat: Lattice, node: np.ndarray, token: np.ndarray, shift: np.ndarray,
     """
     n = len(node)
     count = np.zeros(n, dtype=np.int64)
-    steps, live, cur, seed = [], np.arange(n), node, _streamed(seed, stream)
+    # the draw at a position is that of base + node * _STEP, as the shift is the token's own
+    steps, live, cur, base = [], np.arange(n), node, _streamed(seed, stream) + shift.astype(np.uint64) * _STEP
     while len(live):
-        u = _uniform(seed, cur + shift, None)
+        u = _unit(base + cur.astype(np.uint64) * _STEP)
         e = lat.top[cur]
         u -= lat.p_top[cur]
         off = np.flatnonzero(u >= 0)
@@ -271,8 +280,8 @@ def _draw(lat: Lattice, node: np.ndarray, token: np.ndarray, shift: np.ndarray,
             e[off] = np.where(x < lat.hi[ro], x, e[off])
         steps.append((live, e))
         more = np.flatnonzero(~lat.last[e])
-        count[live] += 1
-        live, cur, seed, shift = live[more], lat.next[e[more]], seed[more], shift[more]
+        count[live] = len(steps)
+        live, cur, base = live[more], lat.next[e[more]], base[more]
     begin = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), dtype=np.int32)
     for s, (who, e) in enumerate(steps):
@@ -334,23 +343,21 @@ class Search:
         p.log_prob[rows] = np.add.reduceat(lp, begin)
         # sums of fixed-point numbers are exact, so they don't depend on the texts beside
         fixed = np.rint(lp * _FIXED).astype(np.int64)
-        ahead = np.cumsum(fixed) - fixed
-        ahead -= np.repeat(ahead[begin], size)
-        col = np.arange(len(lp)) - np.repeat(begin, size)
+        ahead = np.cumsum(fixed) - fixed  # never rises, so what is near a path's start is a run of its edges
         # sets of shares below e^-NEGLIGIBLE in all arrive among the first with a chance below double precision
-        at = np.flatnonzero((ahead > -NEGLIGIBLE * _FIXED) | (col < np.repeat(since + 8 * self.k, size)))
-        owner = np.searchsorted(begin, at, side="right") - 1
-        late = col[at] >= since[owner]
-        at, owner = at[late], owner[late]
-        before = ahead[at] / _FIXED
-        e = np.log(-np.log(_uniform(_streamed(self.seeds[rows], stream)[owner], col[at], None)))
+        near = np.searchsorted(-ahead, np.int64(NEGLIGIBLE * _FIXED) - ahead[begin]) - begin
+        many = np.maximum(np.minimum(np.maximum(near, since + 8 * self.k), size) - since, 0)
+        owner = np.repeat(np.arange(len(rows)), many)
+        at = _ragged(begin + since, many)
+        before, col = (ahead[at] - ahead[begin][owner]) / _FIXED, at - begin[owner]
+        e = np.log(-np.log(_uniform(_streamed(self.seeds[rows], stream)[owner], col, None)))
         times = np.logaddexp(logt[owner], e - before - np.log(-np.expm1(lp[at])))  # infinite where nothing leaves the path
         count = np.ones(self.n, dtype=np.int64)
         count[rows] += np.bincount(owner, minlength=len(rows))
         p.first = np.cumsum(count) - count
         p.times, p.edge, p.before = np.full(int(count.sum()), np.inf), np.zeros(int(count.sum()), dtype=np.int64), np.zeros(int(count.sum()))
         to = _ragged(p.first[rows], count[rows] - 1)
-        p.times[to], p.edge[to], p.before[to] = times, col[at], before
+        p.times[to], p.edge[to], p.before[to] = times, col, before
 
     def _next(self, j: int) -> bool:
         """Pop the set that arrives next of each text and draw its first path."""
@@ -528,11 +535,13 @@ def _decodes(pieces: Pieces, ids: np.ndarray, sizes: np.ndarray, data: np.ndarra
     ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
     got, wanted = np.diff(ends) - (sizes > 0), np.diff(offsets)[row]
     same = got == wanted
-    text = pieces.text_of(ids)
-    fit = np.flatnonzero(same & (wanted > 0))
-    equal = text[_ragged(ends[:-1][fit] + 1, wanted[fit])] == data[_ragged(offsets[:-1][row[fit]], wanted[fit])]
-    if len(fit):
-        same[fit] = np.logical_and.reduceat(equal, np.cumsum(wanted[fit]) - wanted[fit])
+    text, raw = pieces.text_of(ids), data.tobytes()
+    laid = b"".join(b" " + raw[a:a + g] if ok else bytes(g + 1) for a, g, ok, some in zip(offsets[:-1][row].tolist(), got.tolist(), same.tolist(), (sizes > 0).tolist()) if some)
+    equal = text == np.frombuffer(laid, np.uint8)
+    begins = ends[:-1][sizes > 0]
+    equal[begins] = True  # the space before the text
+    if len(begins):
+        same[sizes > 0] &= np.logical_and.reduceat(equal, begins)
     return same
 
 
