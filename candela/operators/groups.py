@@ -110,7 +110,8 @@ def same_answer_spread(df: DataFrame, group: str, answer: Column, reward: str, a
 def first_occurrences(df: DataFrame, group: str, key: Column, order: str, k: int) -> DataFrame:
     """The first k rows with different keys, in order, numbered from 0; empty keys are one key of their own."""
     named = df.withColumn("_key", F.coalesce(F.nullif(key, F.lit("")), F.lit("__empty__")))
-    first = named.groupBy(group, "_key").agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")).select("_row.*")
+    first = named.groupBy(group, "_key").agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row"))
+    first = first.select([F.col(group) if c == group else F.col("_row")[c].alias(c) for c in df.columns])  # the group's own column, so that its partitions serve the window
     return first.withColumn("candidate_id", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).where(F.col("candidate_id") < k)
 
 

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from candela.operators import contract, dataset, ranges
+from candela.operators import contract, dataset, groups, ranges
 from candela.plans import boxes, tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -65,3 +65,12 @@ def test_many_parts_meet_in_partitions_by_rows(spark, tmp_path, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(l_partkey" in plan
     assert sorted(map(tuple, df.collect())) == whole
+
+
+def test_first_occurrences_number_texts_in_the_partitions_of_candidates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 30)
+    c = tables.candidates(spark, _few_tables(spark, tmp_path / "t", False))
+    df = groups.first_occurrences(c, "sample_id", F.col("raw_text"), "candidate_id", 3)
+    exchanges = [d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for d in (c, df)]
+    assert exchanges[0] == exchanges[1] and df.columns == c.columns
+    assert sorted((r.sample_id, r.candidate_id, r.raw_text) for r in df.collect()) == [(o, i, f"part {i}") for o in range(60) for i in range(3)]
