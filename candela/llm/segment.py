@@ -48,6 +48,9 @@ ALPHA = 1.0
 SEED = 17
 SLICE = 1_000_000
 TABLE_BITS = 18
+#: Nodes of a partition's known words, about, and the size of the table of words seen.
+ROOM = 700_000
+SEEN_BITS = 22
 NONE, SEVERAL = -1, -2
 #: Negated log of a share of all paths that double precision does not see beside the rest.
 NEGLIGIBLE = 45.0
@@ -57,6 +60,8 @@ _CHAR = np.ones(256, dtype=np.int64)
 _CHAR[0xC0:0xE0], _CHAR[0xE0:0xF0], _CHAR[0xF0:] = 2, 3, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
+#: The lowest 0 to 8 bytes of a number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def plain_hash(prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -64,6 +69,18 @@ def plain_hash(prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return (prefix[at + n] - prefix[at]) * powers_down(len(prefix))[at]
 
 
+def words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, the first lowest; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,)).copy()
+
+
+def string_key(word: np.ndarray, prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A number of the n bytes from each position: up to eight are the number themselves, of more it is a hash; for strings of equal length only."""
+    return word[at] & _MASKS[n] if n <= 8 else plain_hash(prefix, at, n)
+
+
 def slot(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h * _GOLD) >> np.uint64(64 - bits)).astype(np.int32)
 
@@ -82,16 +99,18 @@ class Pieces:
         self.start = np.cumsum(self.size) - self.size
         self.pool = np.frombuffer(b"".join(raw), dtype=np.uint8)
         ids = np.array(plain, dtype=np.int64)
-        prefix = prefix_hash(self.pool)
+        prefix, word = prefix_hash(self.pool), words(self.pool)
+        self.mask = _MASKS[np.minimum(self.size, 8)]
+        self.word, self.pool_word = word[self.start] & self.mask, word
         self.tables = []
         for n in range(1, int(self.size[ids].max(initial=0)) + 1):
             # pieces of n bytes, and the first n bytes of longer ones: where these don't fit, no longer piece does
             own, longer = ids[self.size[ids] == n], ids[self.size[ids] > n]
-            h = plain_hash(prefix, self.start[own], n)
+            h = string_key(word, prefix, self.start[own], n)
             order = np.argsort(h)
             h, own = h[order], own[order]
             # by slot: the only piece there, NONE, or SEVERAL
-            starts = np.unique(plain_hash(prefix, self.start[longer], n))
+            starts = np.unique(string_key(word, prefix, self.start[longer], n))
             bits = int(min(TABLE_BITS, max(10, np.ceil(np.log2(max(len(h), len(starts), 1))) + 4)))
             which = np.full(1 << bits, NONE, dtype=np.int32)
             place, count = np.unique(slot(h, bits), return_counts=True)
@@ -139,17 +158,17 @@ class Lattice:
     def __init__(self, pieces: Pieces, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
         size = len(data)
         stop = np.repeat(end, end - begin).astype(np.int32)
-        prefix = prefix_hash(data)
+        prefix, word = prefix_hash(data), words(data)
         first = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
         width = _CHAR[data]
-        at, wide, pid = [], [], []
+        found = []  # places, ids and size of the pieces of each size
         alone = np.zeros(size + 1, dtype=bool)
         pos = first
         for n, hashes, ids, which, on in pieces.tables:
             pos = pos[pos + n <= stop[pos]]
             if not len(pos):
                 break
-            h = plain_hash(prefix, pos, n)
+            h = string_key(word, prefix, pos, n)
             place = slot(h, len(on).bit_length() - 1)
             x = which[place]
             maybe = np.flatnonzero(x != NONE)
@@ -160,53 +179,55 @@ class Lattice:
                     x[many] = np.minimum(np.searchsorted(hashes, hm[many]), len(hashes) - 1)
                 hit = hashes[x] == hm
                 own = pos[maybe[hit]]
-                at.append(own)
-                wide.append(np.full(len(own), n, dtype=np.int32))
-                pid.append(ids[x[hit]])
+                found.append((own, ids[x[hit]], n))
                 if n <= 4:
                     alone[own[width[own] == n]] = True
             pos = pos[on[place]]
         lost = first[~alone[first]]
         if len(lost):
             inner = _ragged(lost.astype(np.int64), width[lost]).astype(np.int32)
-            at, wide, pid = [*at, inner], [*wide, np.ones(len(inner), np.int32)], [*pid, pieces.byte_ids[data[inner]].astype(np.int32)]
-        at, wide, pid = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (at, wide, pid))
-        # from the words' ends to their starts, node by node
-        order = np.argsort(at, kind="stable")
-        level = (stop[at[order]] - at[order]) if size else at
-        by_level = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level, kind="stable")
-        order = order[by_level]
-        self.at, self.piece = at[order], pid[order]
-        self.next = self.at + wide[order]
+            found.append((inner, pieces.byte_ids[data[inner]].astype(np.int32), 1))
+        # from the words' ends to their starts, node by node; a place is in each of ``found`` once at most
+        edges_of = np.zeros(size + 1, dtype=np.int32)
+        for own, _, _ in found:
+            edges_of[own] += 1
+        nodes = np.flatnonzero(edges_of).astype(np.int32)
+        level = stop[nodes] - nodes if size else nodes
+        order = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level, kind="stable")
+        nodes, level = nodes[order], level[order]
+        many = edges_of[nodes]
+        ends = np.cumsum(many, dtype=np.int64)
+        heads, free = ends - many, edges_of
+        free[nodes] = heads
+        self.at = np.repeat(nodes, many)
+        self.piece, self.next = np.empty(len(self.at), dtype=np.int32), np.empty(len(self.at), dtype=np.int32)
+        for own, ids, n in found:
+            to = free[own]
+            self.piece[to], self.next[to] = ids, own + np.int32(n)
+            free[own] = to + 1
         self.last = self.next == stop[self.at] if size else np.zeros(0, bool)
-        head = np.empty(len(self.at), dtype=bool)
-        head[:1] = True
-        np.not_equal(self.at[1:], self.at[:-1], out=head[1:])
-        heads = np.flatnonzero(head)
-        owner = np.cumsum(head) - 1
-        goes = np.where(self.last, size, self.next)
+        owner = np.repeat(np.arange(len(heads)), many)
+        goes = np.where(self.last, np.int32(size), self.next)
         beta = np.zeros(size + 1)
         self.lp = pieces.logp[self.piece]
-        level = level[by_level]
-        cut = np.flatnonzero(np.diff(level, prepend=-1)).tolist()
-        node_cut = [*owner[cut].tolist(), len(heads)]
-        for a, z, i, j in zip(cut, [*cut[1:], len(level)], node_cut[:-1], node_cut[1:]):
+        node_cut = np.flatnonzero(np.diff(level, prepend=-1)).tolist()
+        for i, j in zip(node_cut, [*node_cut[1:], len(heads)]):
+            a, z = int(heads[i]), int(ends[j - 1])
             x = self.lp[a:z] + beta[goes[a:z]]
-            own, begins = owner[a:z] - i, heads[i:j] - a
+            begins = heads[i:j] - a
             most = np.maximum.reduceat(x, begins)
-            best = most + np.log(np.add.reduceat(np.exp(x - most[own]), begins))
-            beta[self.at[heads[i:j]]] = best
-            self.lp[a:z] = x - best[own]
+            best = most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, many[i:j])), begins))
+            beta[nodes[i:j]] = best
+            self.lp[a:z] = x - np.repeat(best, many[i:j])
         self.beta = beta
         np.minimum(self.lp, 0.0, out=self.lp)
         p = np.exp(self.lp)
         self.rank = np.zeros(size + 1, dtype=np.int32)
-        self.rank[self.at[heads]] = np.arange(len(heads))
-        self.lo = heads.astype(np.int32)
-        self.hi = np.append(heads[1:], len(self.at)).astype(np.int32)
+        self.rank[nodes] = np.arange(len(heads))
+        self.lo, self.hi = heads.astype(np.int32), ends.astype(np.int32)
         # the likeliest edge of a node is tried first; the others follow in a table of running sums
         most = np.maximum.reduceat(p, heads) if len(heads) else p
-        best = np.flatnonzero(p == most[owner])
+        best = np.flatnonzero(p == np.repeat(most, many))
         best = best[np.flatnonzero(np.diff(owner[best], prepend=-1))]
         self.top, self.p_top = np.zeros(size + 1, dtype=np.int32), np.ones(size + 1)
         self.top[self.at[best]], self.p_top[self.at[best]] = best, p[best]
@@ -214,27 +235,60 @@ class Lattice:
         # sums of fixed-point numbers are exact, so they don't depend on the words beside
         run = np.cumsum(np.rint(p * _SHARES).astype(np.int64))
         base = np.concatenate([[0], run])[heads]
-        self.key = (owner << 41) + (run - base[owner])
+        self.key = (owner << 41) + (run - np.repeat(base, many))
 
-    @classmethod
-    def joined(cls, a: "Lattice", b: "Lattice") -> "Lattice":
-        """Both lattices side by side: nodes, edges and node ranks of ``b`` follow those of ``a``."""
-        out = cls.__new__(cls)
-        nodes, edges, ranks = len(a.beta) - 1, len(a.at), len(a.lo)
-        for name, shift in (("at", nodes), ("next", nodes), ("piece", 0), ("last", 0), ("lp", 0), ("lo", edges), ("hi", edges), ("key", ranks << 41)):
-            x, y = getattr(a, name), getattr(b, name)
-            setattr(out, name, np.concatenate([x, y + x.dtype.type(shift) if shift else y]))
-        for name, shift in (("rank", ranks), ("beta", 0), ("top", edges), ("p_top", 0)):
-            x, y = getattr(a, name), getattr(b, name)
-            setattr(out, name, np.concatenate([x[:-1], y + y.dtype.type(shift) if shift else y]))
-        return out
+
+#: What a lattice has for each node, edge and node rank, and by the number of which of these its values shift behind another lattice.
+_LAID = {"beta": ("nodes", None), "rank": ("nodes", "ranks"), "top": ("nodes", "edges"), "p_top": ("nodes", None), "at": ("edges", "nodes"), "next": ("edges", "nodes"), "piece": ("edges", None),
+         "last": ("edges", None), "lp": ("edges", None), "key": ("edges", "keys"), "lo": ("ranks", "edges"), "hi": ("ranks", "edges")}
 
 
 class Known:
-    """Lattice of the words that came twice or more in the first slice of a partition; later slices only add what is new."""
+    """Lattice of the words of a partition that came again, until it has ROOM nodes; a slice only adds what is new.
+
+    The arrays have room behind, so that a slice's other words are laid there without a copy of what is known.
+    """
+
+    def __init__(self):
+        self.size = {"nodes": 0, "edges": 0, "ranks": 0}
+        self.arrays: dict[str, np.ndarray] = {}
+        self.hashes, self.begin = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.seen = np.zeros(1 << SEEN_BITS, dtype=bool)  # by hash: a word taken for another is only kept too early
+
+    def again(self, names: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Which of some distinct words came before, or come more than once now; none where there is no more room."""
+        place = names >> np.uint64(64 - SEEN_BITS)
+        out = (times > 1) | self.seen[place] if self.size["nodes"] < ROOM else np.zeros(len(names), dtype=bool)
+        self.seen[place] = True
+        return out
+
+    def with_words(self, more: Lattice) -> Lattice:
+        """The known words' lattice and ``more`` behind it; it holds until the next call."""
+        size = {"nodes": len(more.beta) - 1, "edges": len(more.at), "ranks": len(more.lo)}
+        shift = {**self.size, "keys": self.size["ranks"] << 41}
+        out = Lattice.__new__(Lattice)
+        for name, (kind, by) in _LAID.items():
+            old, whole = self.size[kind], self.size[kind] + size[kind]
+            x = getattr(more, name)[:size[kind]]
+            if name not in self.arrays or len(self.arrays[name]) < whole:
+                room = np.empty(whole + whole // 4, dtype=x.dtype)
+                room[:old] = self.arrays.get(name, room)[:old]
+                self.arrays[name] = room
+            y = self.arrays[name][:whole]
+            if by:
+                np.add(x, x.dtype.type(shift[by]), out=y[old:])
+            else:
+                y[old:] = x
+            setattr(out, name, y)
+        return out
 
-    def __init__(self, lattice: Lattice, hashes: np.ndarray, begin: np.ndarray):
-        self.lattice, self.hashes, self.begin = lattice, hashes, begin
+    def keep(self, more: Lattice, names: np.ndarray, first_node: np.ndarray) -> None:
+        """Adds the words of ``more``, by their hashes in order, to what is known."""
+        self.with_words(more)
+        at = np.searchsorted(self.hashes, names)
+        self.hashes, self.begin = np.insert(self.hashes, at, names), np.insert(self.begin, at, first_node + self.size["nodes"])
+        for kind, n in (("nodes", len(more.beta) - 1), ("edges", len(more.at)), ("ranks", len(more.lo))):
+            self.size[kind] += n
 
 
 def _words_lattice(pieces: "Pieces", text: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[Lattice, np.ndarray]:
@@ -437,14 +491,14 @@ class Search:
         return row, j, edges, size[row, j], log_prob, log_in
 
 
-def sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int, cache: list | None = None):
+def sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int, known: Known | None = None):
     """Of each text up to k samples, in the order of the search: rows of text, number from 1, size, log_prob,
     log_inclusion, and all ids one after another."""
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        return _sample_slice(pieces, data, offsets, seeds, k, cache)
+        return _sample_slice(pieces, data, offsets, seeds, k, known)
 
 
-def _sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int, cache: list | None):
+def _sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int, known: Known | None):
     n = len(offsets) - 1
     size = np.diff(offsets)
     some = size > 0
@@ -470,22 +524,23 @@ def _sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds:
         h = range_hash(prefix_hash(grown), start, end)
         names, which, word, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         length = (end - start)[which]
-        if cache is not None and not cache and (times > 1).any():
-            often = np.flatnonzero(times > 1)
-            lattice, first_node = _words_lattice(pieces, grown, start[which[often]], length[often])
-            cache.append(Known(lattice, names[often], first_node))
-        wbegin = np.zeros(len(names), dtype=np.int64)
+        known = known or Known()
         fresh = np.ones(len(names), dtype=bool)
-        if cache:
-            at = np.minimum(np.searchsorted(cache[0].hashes, names), len(cache[0].hashes) - 1)
-            fresh = cache[0].hashes[at] != names
-            wbegin[~fresh] = cache[0].begin[at[~fresh]]
+        if len(known.hashes):
+            fresh = known.hashes[np.minimum(np.searchsorted(known.hashes, names), len(known.hashes) - 1)] != names
         fresh = np.flatnonzero(fresh)
-        lat = cache[0].lattice if cache else None
-        if len(fresh):
-            more, first_node = _words_lattice(pieces, grown, start[which[fresh]], length[fresh])
-            wbegin[fresh] = first_node + (len(lat.beta) - 1 if lat else 0)
-            lat = Lattice.joined(lat, more) if lat else more
+        again = known.again(names[fresh], times[fresh])
+        kept, fresh = fresh[again], fresh[~again]
+        if len(kept):
+            lattice, first_node = _words_lattice(pieces, grown, start[which[kept]], length[kept])
+            known.keep(lattice, names[kept], first_node)
+        wbegin = np.zeros(len(names), dtype=np.int64)
+        old = np.ones(len(names), dtype=bool)
+        old[fresh] = False
+        wbegin[old] = known.begin[np.searchsorted(known.hashes, names[old])]
+        lattice, first_node = _words_lattice(pieces, grown, start[which[fresh]], length[fresh])
+        wbegin[fresh] = first_node + known.size["nodes"]
+        lat = known.with_words(lattice)
         root = wbegin[word]
         shift = start - doc_at[doc_of] - root
         token_seed = seeds[doc_of]
@@ -508,13 +563,13 @@ def _seeds(keys, seed: int) -> np.ndarray:
 
 def _segmenter(shared, k: int, seed: int, digests: bool):
     def run(batches):
-        pieces, cache = shared.value, []
+        pieces, known = shared.value, Known()
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
             seeds = _seeds(b.column("_seed").to_numpy(), seed)
             for lo, hi in slices(offsets, SLICE):
                 part, offs = data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
-                row, number, sizes, log_prob, log_in, ids = sample_slice(pieces, part, offs, seeds[lo:hi], k, cache)
+                row, number, sizes, log_prob, log_in, ids = sample_slice(pieces, part, offs, seeds[lo:hi], k, known)
                 cols = [b.column(0).take(pa.array(row + lo)), pa.array(number.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(log_prob), pa.array(log_in)]
                 names = ["key", "sample", "n_pieces", "log_prob", "log_inclusion", "ids"]
                 cut = np.concatenate([[0], np.cumsum(sizes)])
@@ -532,16 +587,28 @@ def _segmenter(shared, k: int, seed: int, digests: bool):
 def _decodes(pieces: Pieces, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Whether the pieces of each path stand for its text, byte by byte."""
     n = pieces.size[ids]
-    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
-    got, wanted = np.diff(ends) - (sizes > 0), np.diff(offsets)[row]
-    same = got == wanted
-    text, raw = pieces.text_of(ids), data.tobytes()
-    laid = b"".join(b" " + raw[a:a + g] if ok else bytes(g + 1) for a, g, ok, some in zip(offsets[:-1][row].tolist(), got.tolist(), same.tolist(), (sizes > 0).tolist()) if some)
-    equal = text == np.frombuffer(laid, np.uint8)
-    begins = ends[:-1][sizes > 0]
-    equal[begins] = True  # the space before the text
-    if len(begins):
-        same[sizes > 0] &= np.logical_and.reduceat(equal, begins)
+    after = np.cumsum(n)
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.concatenate([[0], after])[cut]
+    some = sizes > 0
+    same = np.diff(ends) - some == np.diff(offsets)[row]
+    word = words(data)
+    # the place in its text of each piece, eight bytes at a time; the first piece's begins a byte before, with the space
+    at = after - n
+    at += np.repeat(offsets[:-1][row] - some - ends[:-1], sizes)
+    begins = cut[:-1][some]
+    unlike = word[np.clip(at, 0, len(data))]
+    unlike[begins] = word[at[begins] + 1] << np.uint64(8)
+    unlike ^= pieces.word[ids]
+    unlike &= pieces.mask[ids]
+    unlike[begins] &= ~_MASKS[1]
+    wrong = [np.flatnonzero(unlike)]
+    long = np.flatnonzero(n > 8)
+    for skip in range(8, int(n.max(initial=0)), 8):
+        long = long[n[long] > skip]
+        other = word[np.clip(at[long] + skip, 0, len(data))] ^ pieces.pool_word[pieces.start[ids[long]] + skip]
+        wrong.append(long[(other & _MASKS[np.minimum(n[long] - skip, 8)]) != 0])
+    same[np.searchsorted(cut, np.concatenate(wrong), side="right") - 1] = False
     return same
 
 
