@@ -49,9 +49,9 @@ SEED = 17
 SLICE = 1_000_000
 TABLE_BITS = 18
 #: Nodes of a partition's known words, about, and the size of the table of words seen.
-ROOM = 700_000
+ROOM = 1_000_000
 SEEN_BITS = 22
-NONE, SEVERAL = -1, -2
+NONE, SEVERAL = 0, 1
 #: Negated log of a share of all paths that double precision does not see beside the rest.
 NEGLIGIBLE = 45.0
 #: Units of fixed-point logarithms and shares.
@@ -109,16 +109,15 @@ class Pieces:
             h = string_key(word, prefix, self.start[own], n)
             order = np.argsort(h)
             h, own = h[order], own[order]
-            # by slot: the only piece there, NONE, or SEVERAL
+            # by slot: twice the only piece there and 2, NONE, or SEVERAL; odd where a longer piece may begin
             starts = np.unique(string_key(word, prefix, self.start[longer], n))
             bits = int(min(TABLE_BITS, max(10, np.ceil(np.log2(max(len(h), len(starts), 1))) + 4)))
-            which = np.full(1 << bits, NONE, dtype=np.int32)
+            which = np.full(1 << bits, 2 * NONE, dtype=np.int32)
             place, count = np.unique(slot(h, bits), return_counts=True)
-            which[slot(h, bits)] = np.arange(len(h))
-            which[place[count > 1]] = SEVERAL
-            on = np.zeros(1 << bits, dtype=bool)
-            on[slot(starts, bits)] = True
-            self.tables.append((n, h, own.astype(np.int32), which, on))
+            which[slot(h, bits)] = 2 * (np.arange(len(h)) + 2)
+            which[place[count > 1]] = 2 * SEVERAL
+            which[slot(starts, bits)] |= 1
+            self.tables.append((n, h, own.astype(np.int32), which))
 
     @classmethod
     def load(cls, path: str = MODEL, alpha: float = ALPHA) -> "Pieces":
@@ -164,17 +163,16 @@ class Lattice:
         found = []  # places, ids and size of the pieces of each size
         alone = np.zeros(size + 1, dtype=bool)
         pos = first
-        for n, hashes, ids, which, on in pieces.tables:
+        for n, hashes, ids, which in pieces.tables:
             pos = pos[pos + n <= stop[pos]]
             if not len(pos):
                 break
             h = string_key(word, prefix, pos, n)
-            place = slot(h, len(on).bit_length() - 1)
-            x = which[place]
-            maybe = np.flatnonzero(x != NONE)
+            there = which[slot(h, len(which).bit_length() - 1)]
+            maybe = np.flatnonzero(there > 1)
             if len(maybe):
-                x, hm = x[maybe], h[maybe]
-                many = np.flatnonzero(x == SEVERAL)
+                x, hm = (there[maybe] >> 1) - 2, h[maybe]
+                many = np.flatnonzero(x == SEVERAL - 2)
                 if len(many):
                     x[many] = np.minimum(np.searchsorted(hashes, hm[many]), len(hashes) - 1)
                 hit = hashes[x] == hm
@@ -182,7 +180,7 @@ class Lattice:
                 found.append((own, ids[x[hit]], n))
                 if n <= 4:
                     alone[own[width[own] == n]] = True
-            pos = pos[on[place]]
+            pos = pos[(there & 1) == 1]
         lost = first[~alone[first]]
         if len(lost):
             inner = _ragged(lost.astype(np.int64), width[lost]).astype(np.int32)
@@ -313,6 +311,18 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def _passed(lat: Lattice, rank: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The first edge of each node, by its rank, whose running sum is above ``key``; the node's end if there is none.  Nodes have few edges."""
+    x, end = lat.lo[rank], lat.hi[rank]
+    live = np.arange(len(x))
+    while len(live):
+        at = x[live]
+        live = live[lat.key[at] <= key[live]]
+        x[live] += 1
+        live = live[x[live] < end[live]]
+    return x
+
+
 def _draw(lat: Lattice, node: np.ndarray, token: np.ndarray, shift: np.ndarray, seed: np.ndarray, stream: int):
     """Paths from ``node`` to the end of each token's word: edges in order, and the number of each token.
 
@@ -329,7 +339,7 @@ def _draw(lat: Lattice, node: np.ndarray, token: np.ndarray, shift: np.ndarray,
         off = np.flatnonzero(u >= 0)
         if len(off):
             ro = lat.rank[cur[off]].astype(np.int64)
-            x = np.searchsorted(lat.key, (ro << 41) + (u[off] * _SHARES).astype(np.int64), side="right")
+            x = _passed(lat, ro, (ro << 41) + (u[off] * _SHARES).astype(np.int64))
             # rounding may pass the node's last edge: the likeliest stands for it
             e[off] = np.where(x < lat.hi[ro], x, e[off])
         steps.append((live, e))
@@ -522,7 +532,12 @@ def _sample_slice(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, seeds:
     parts = [(empty, np.zeros(len(empty), np.int64), np.zeros(0, np.int32), np.zeros(len(empty), np.int64), np.zeros(len(empty)), np.zeros(len(empty)))]
     if len(start):
         h = range_hash(prefix_hash(grown), start, end)
-        names, which, word, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(h)
+        head = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        which = order[head]
+        names, times = h[which], np.diff(np.append(head, len(h)))
+        word = np.empty(len(h), dtype=np.int64)
+        word[order] = np.repeat(np.arange(len(names)), times)
         length = (end - start)[which]
         known = known or Known()
         fresh = np.ones(len(names), dtype=bool)
