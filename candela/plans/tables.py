@@ -10,17 +10,26 @@ TASKS = {"1-URGENT": "counting", "2-HIGH": "attribute", "3-MEDIUM": "spatial", "
 
 #: Order lines of a partition of the candidates, about: a task holds as much whatever the size of the tables.
 ROWS = 200_000
+#: Partitions into which a shuffle writes rows as they come (spark.shuffle.sort.bypassMergeThreshold); on the way into more, a task holds its rows in memory.
+FEW = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parted(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Rows of a scan in partitions by key; into more than FEW they go by way of FEW, so that no task holds all rows of a file's split."""
+    if parts > FEW:
+        df = df.repartition(FEW, key).where(F.spark_partition_id() >= 0)  # true of every row: without a step between them, Spark makes one of two shuffles
+    return df.repartition(parts, key)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per order line: the order is the sample, its lines are the candidates.
 
     Partitions by order, as many as the rows call for, so that no task's sort or hash grows with the tables; what groups by sample needs no further shuffle.
-    Parts beyond ROWS are met in as many partitions by their key.  Lines of an order alike in number and price stand in the order of what else a candidate has,
+    Parts beyond ROWS are met in as many partitions by their key, FEW at most, where the lines pass by and only the parts are held.  Lines of an order alike in number and price stand in the order of what else a candidate has,
     so that their places are the same in every run and query.
     """
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
@@ -29,10 +38,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = max(1, -(-max(line.count(), orders.count()) // ROWS))
     if part.count() <= ROWS:
         part = F.broadcast(part)
+        line = line.repartition(FEW, "l_orderkey") if parts > FEW else line
     else:
-        line, part = line.repartition(parts, "l_partkey"), part.repartition(parts, "p_partkey").hint("shuffle_hash")
+        few = min(parts, FEW)
+        line, part = line.repartition(few, "l_partkey"), part.repartition(few, "p_partkey").hint("shuffle_hash")
     named = line.join(part, line.l_partkey == part.p_partkey).repartition(parts, "l_orderkey")
-    joined = named.join(orders.repartition(parts, "o_orderkey").hint("shuffle_hash"), named.l_orderkey == orders.o_orderkey)
+    joined = named.join(parted(orders, "o_orderkey", parts).hint("shuffle_hash"), named.l_orderkey == orders.o_orderkey)
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "p_name", "l_returnflag", "l_discount", "l_tax", "l_quantity", "o_orderpriority")) - 1
     task = F.lit("other")
     for label, name in TASKS.items():

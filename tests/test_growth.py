@@ -1,6 +1,7 @@
 """What a task holds and does for a row, where that once grew with the tables."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,21 @@ def test_many_parts_meet_in_partitions_by_rows(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, df.collect())) == whole
 
 
+@pytest.mark.parametrize("parts", [4, 40])
+def test_no_scan_is_shuffled_into_more_partitions_than_few(spark, tmp_path, monkeypatch, parts):
+    folder = _few_tables(spark, tmp_path / "t", False, parts)
+    whole = sorted(map(tuple, tables.candidates(spark, folder).collect()))
+    monkeypatch.setattr(tables, "ROWS", 30)
+    monkeypatch.setattr(tables, "FEW", 5, raising=False)
+    df = tables.candidates(spark, folder)
+    for few in (df, df.select("sample_id", "score_ties")):  # whatever columns are read
+        lines = [line for line in few._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line or "Scan parquet" in line]
+        above = [a for a, b in zip(lines, lines[1:]) if "Scan" in b and "Scan" not in a]
+        assert len(above) == (2 if parts == 4 else 3) and all(re.search(r", 5\), REPARTITION_BY_NUM", a) for a in above)
+        assert sum(", 8), REPARTITION_BY_NUM" in x for x in lines) == 2
+    assert sorted(map(tuple, df.collect())) == whole
+
+
 def test_first_occurrences_number_texts_in_the_partitions_of_candidates(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "ROWS", 30)
     c = tables.candidates(spark, _few_tables(spark, tmp_path / "t", False))
