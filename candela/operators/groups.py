@@ -79,14 +79,14 @@ def advantages(df: DataFrame, group: str, reward: str, flat: float = 1e-4) -> Da
     return df.withColumn("advantage", F.when(std < flat, away).otherwise(away / std))
 
 
-def step_metrics(df: DataFrame, group: str, reward: str, answer: str, correct: str) -> DataFrame:
-    """One row per group: size, mean, deviation, spread flags, distinct answers, counts of advantage signs."""
-    rows = advantages(df, group, reward)
+def step_metrics(df: DataFrame, group: str, reward: str, answer: str, correct: str, near: float = 1e-9) -> DataFrame:
+    """One row per group: size, mean, deviation, spread flags, distinct answers, counts of advantage signs; a reward within ``near`` of the mean, which is rounded, has none."""
+    rows = df.withColumn("_away", F.col(reward) - F.avg(reward).over(Window.partitionBy(group)))
     spread = F.max(reward) - F.min(reward)
     return rows.groupBy(group).agg(
         F.count("*").alias("n"), F.avg(reward).alias("mean_reward"), F.stddev_pop(reward).alias("std_reward"), ((spread < 1e-8) | (F.count("*") < 2)).alias("reward_identical"),
         F.count_distinct(answer).alias("n_answers"), (F.count_distinct(F.col(correct).cast("string")) <= 1).alias("correctness_identical"),
-        F.count_if(F.col("advantage") > 0).alias("n_positive"), F.count_if(F.col("advantage") < 0).alias("n_negative"), (F.stddev_pop(reward) < 1e-4).alias("zero_variance_fallback"))
+        F.count_if(F.col("_away") > near).alias("n_positive"), F.count_if(F.col("_away") < -near).alias("n_negative"), (F.stddev_pop(reward) < 1e-4).alias("zero_variance_fallback"))
 
 
 COLLAPSE_LAYERS = ("text/raw_response", "final_answer", "parse", "raw_delta", "score_base", "pre_kl", "final")

@@ -41,6 +41,12 @@ def test_advantage_without_spread_is_the_distance(spark):
     assert sorted(r.advantage for r in groups.advantages(df, "g", "r").collect()) == [-1.0, 0.0, 0.0, 1.0]
 
 
+def test_a_reward_at_the_rounded_mean_has_no_advantage_sign(spark):
+    rows = [(1, r) for r in (0.1, 0.2, 0.3)] + [(2, r) for r in (1.0, 1.0 + 1e-8)]
+    df = spark.createDataFrame(rows, "g long, r double").withColumns({"a": F.lit("x"), "c": F.lit(True)})
+    assert sorted((r.g, r.n_positive, r.n_negative) for r in groups.step_metrics(df, "g", "r", "a", "c").collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
 def test_greedy_selection(spark):
     rows = [(1, 0, "a x", "x"), (1, 1, "b x", "x"), (1, 2, "c y", "y"), (2, 0, "", "")]
     df = spark.createDataFrame(rows, "g long, ord int, raw string, final string")
